@@ -1,6 +1,6 @@
 """Every registered query; importing the modules fills the registry."""
 
-from querylight.plans import eval_queries  # noqa: F401
+from querylight.plans import catalog_queries, eval_queries, text_queries, token_queries  # noqa: F401
 from querylight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "querylight") -> SparkSessi
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

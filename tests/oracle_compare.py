@@ -51,7 +51,7 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool | None, str]:
     if left != right or not left:
         only_left = [r for r in left if r not in set(right)][:3]
         only_right = [r for r in right if r not in set(left)][:3]
-        return False, f"{len(left)} vs {len(right)} rows\n  spark  {only_left}\n  duckdb {only_right}"
+        return False, f"{len(left)} vs {len(right)} rows\n  spark  {str(only_left)[:700]}\n  duckdb {str(only_right)[:700]}"
     return True, f"{len(got)} rows, {took:.1f}s (duckdb {duck_took:.1f}s)"
 
 
