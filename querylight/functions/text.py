@@ -8,6 +8,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from querylight.functions.strings import strip_blank
 
@@ -40,7 +41,7 @@ def isolate_cjk(text: Column) -> Column:
     return F.regexp_replace(text, f"({CJK})", " $1 ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(text: pd.Series) -> pd.Series:
     """Decompose and drop the combining marks; Spark has no such function."""
     return text.map(lambda t: _MARKS.sub("", unicodedata.normalize("NFD", t)), na_action="ignore")

@@ -175,6 +175,6 @@ def pieces_to_text(tokens: Column) -> Column:
 
 def detokenize(ids: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """`(key, pos, id)` back to token lists through the inverse vocabulary."""
-    named = ids.join(vocab.select("id", "token"), "id")
+    named = ids.select(key, "pos", "id").join(vocab.select("id", "token"), "id")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
     return named.groupBy(key).agg(F.transform(ordered, lambda x: x["token"]).alias("tokens"))

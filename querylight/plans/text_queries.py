@@ -12,6 +12,7 @@ from querylight.plans.catalog_inputs import CATALOG_CTE
 from querylight.plans.catalog_queries import flat, plain_schema
 from querylight.plans.example_inputs import ANSWER, EXAMPLE_CTE, VARIANT, examples
 from querylight.plans.registry import query, table
+from querylight.session import stage
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -71,24 +72,22 @@ def sql_schema_link(spark, sf_dir):
     return schema_link(examples(spark, sf_dir), flat(spark, sf_dir))
 
 
+def _normal(column: str) -> str:
+    """DuckDB form of the normal text of a query."""
+    bare = rf"regexp_replace({column}, '(''[^'']*'')|--[^\n]*|/\*[\s\S]*?\*/', '\1', 'g')"
+    plain = r"regexp_replace(replace(replace(lower(x), '`', ''), chr(34), ''), '\s+', ' ', 'g')"
+    pieces = f"regexp_extract_all({bare}, '''[^'']*''|[^'']+|''')"
+    tidy = f"list_transform({pieces}, lambda x: case when starts_with(x, '''') then x else {plain} end)"
+    return rf"regexp_replace(array_to_string({tidy}, ''), '^\s+|[\s;]+$', '', 'g')"
+
+
 @query(
     "sql_exact_match",
-    rf"""with {EXAMPLE_CTE},
-    both as (select id, sql_type, sql as g, {VARIANT} as p from examples),
-    bare as (select id, sql_type,
-        regexp_replace(g, '(''[^'']*'')|--[^\n]*|/\*[\s\S]*?\*/', '\1', 'g') as g,
-        regexp_replace(p, '(''[^'']*'')|--[^\n]*|/\*[\s\S]*?\*/', '\1', 'g') as p from both),
-    normal as (select id, sql_type, {{g}} as g, {{p}} as p from bare)
-    select sql_type, count(*) as n, count(*) filter (g = p) as n_exact,
-      round(100 * round(count(*) filter (g = p) / count(*), 5), 3) as exact_match from normal group by sql_type""".format(
-        **{
-            c: "regexp_replace(array_to_string(list_transform(regexp_extract_all("
-            + c
-            + r", '''[^'']*''|[^'']+|'''), lambda x: case when starts_with(x, '''') then x else "
-            r"regexp_replace(replace(replace(lower(x), '`', ''), '""', ''), '\s+', ' ', 'g') end), ''), '^\s+|[\s;]+$', '', 'g')"
-            for c in ("g", "p")
-        }
-    ),
+    f"""with {EXAMPLE_CTE},
+    written as (select id, sql_type, sql as g, {VARIANT} as p from examples),
+    compared as (select sql_type, {_normal("g")} = {_normal("p")} as same from written)
+    select sql_type, count(*) as n, count(*) filter (same) as n_exact,
+      round(100 * round(count(*) filter (same) / count(*), 5), 3) as exact_match from compared group by sql_type""",
 )
 def sql_exact_match(spark, sf_dir):
     both = examples(spark, sf_dir).selectExpr("sql_type", "sql as g", f"{VARIANT} as p")
@@ -168,7 +167,7 @@ def prompt_conversation(spark, sf_dir):
 )
 def prompt_join_schema(spark, sf_dir):
     given = examples(spark, sf_dir).select("id", "db_id")
-    schemas = plain_schema(spark, sf_dir)
+    schemas = stage(plain_schema(spark, sf_dir), "schema")
     found = prompts.join_schema(given, schemas).withColumn("orphan", F.lit(False))
     lost = prompts.orphans(given, schemas).select("id", "db_id", F.lit("").alias("db_schema"), F.lit(True).alias("orphan"))
     return found.select("id", "db_id", "db_schema", "orphan").unionByName(lost)

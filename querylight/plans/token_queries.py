@@ -142,11 +142,11 @@ def tok_ids(spark, sf_dir):
     hits as materialized (select word, start, max(len) as len from spans join vocabulary
       on token = case when start > 1 then '##' else '' end || substr(word, start, len) group by word, start),
     walk as (
-      select word, 1 as at, '' as pieces from words where length(word) <= 200
+      select word, 1 as place, '' as pieces from words where length(word) <= 200
       union all
-      select w.word, w.at + len, w.pieces || case when w.at > 1 then ' ##' else '' end || substr(w.word, w.at, len)
-      from walk w join hits h on h.word = w.word and h.start = w.at)
-    select words.word, coalesce(max(pieces) filter (at > length(words.word)), '[UNK]') as pieces
+      select w.word, w.place + len, w.pieces || case when w.place > 1 then ' ##' else '' end || substr(w.word, w.place, len)
+      from walk w join hits h on h.word = w.word and h.start = w.place)
+    select words.word, coalesce(max(pieces) filter (place > length(words.word)), '[UNK]') as pieces
     from words left join walk using (word) group by words.word""",
 )
 def tok_wordpiece(spark, sf_dir):
@@ -174,8 +174,7 @@ def tok_bpe(spark, sf_dir):
     return vb.bpe(counts, merges).select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
-# The patterns look ahead to leave the last blank of a run to the next token. In the oracle, which
-# has no look-ahead, blank runs are split by hand: a run before a word loses its last blank to it.
+# The patterns look ahead, which DuckDB's regular expressions cannot do.
 @query("tok_pretoken")
 def tok_pretoken(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -201,9 +200,6 @@ def tok_paragraphs(spark, sf_dir):
     return paras.select("doc_id", F.col("para").cast("bigint").alias("para"), tx.mark_ideographs(F.col("t")).alias("t"))
 
 
-DETOK = "string_agg(coalesce(vocab.token, '[UNK]'), ' ' order by pos)"
-
-
 @query(
     "tok_detokenize",
     f"""with {VOCAB_CTE},
