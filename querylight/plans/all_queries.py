@@ -1,6 +1,13 @@
 """Every registered query; importing the modules fills the registry."""
 
-from querylight.plans import catalog_queries, encode_queries, eval_queries, text_queries, token_queries  # noqa: F401
+from querylight.plans import (  # noqa: F401
+    catalog_queries,
+    encode_queries,
+    eval_queries,
+    routing_queries,
+    text_queries,
+    token_queries,
+)
 from querylight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
