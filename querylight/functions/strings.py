@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from querylight.functions.vectors import let
+
 
 def shared_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix of two character arrays."""
@@ -19,8 +21,7 @@ def jaro_winkler(left: Column, right: Column) -> Column:
     """
     a, b = F.split(left, ""), F.split(right, "")
     packed = F.struct(a.alias("a"), b.alias("b"), shared_prefix(a, b).alias("p"))
-    # A one-element transform names the split texts, so they are computed once per pair.
-    score = F.transform(F.array(packed), lambda s: _scored(s["a"], s["b"], s["p"]))[0]
+    score = let(packed, lambda s: _scored(s["a"], s["b"], s["p"]))
     either_empty = (F.length(left) == 0) | (F.length(right) == 0)
     return F.when(left == right, 1.0).when(either_empty, 0.0).otherwise(score)
 
@@ -37,7 +38,7 @@ def _scored(a: Column, b: Column, p: Column) -> Column:
 
     rest = F.filter(F.sequence(p, la), lambda i: i < la)
     used = F.aggregate(rest, F.array().cast("array<int>"), take)
-    return F.transform(F.array(used), lambda u: _weight(u, b, p, la, lb))[0]
+    return let(used, lambda u: _weight(u, b, p, la, lb))
 
 
 def _weight(used: Column, b: Column, p: Column, la: Column, lb: Column) -> Column:

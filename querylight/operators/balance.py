@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylight.functions.vectors import argmax, log_softmax, softmax, top_k, total
+from querylight.functions.vectors import argmax, let, log_softmax, softmax, top_k, total
 from querylight.operators.routing import dialect_weighted, mean_vector, soft_weights
 
 
@@ -14,8 +14,9 @@ def expert_shares(rows: DataFrame, logits: Column, k: int, keys: list[str] | Non
     keys = keys or []
     scored = rows.select(*keys, softmax(logits).alias("s"))
     chosen = F.transform(top_k(F.col("s"), k), lambda c: c["e"])
-    marked = F.transform(
-        "s", lambda p, e: F.struct(p.alias("p"), F.array_contains(chosen, e).cast("int").alias("hit"))
+    marked = let(
+        chosen,
+        lambda c: F.transform("s", lambda p, e: F.struct(p.alias("p"), F.array_contains(c, e).cast("int").alias("hit"))),
     )
     each = scored.select(*keys, F.posexplode(marked).alias("e", "m"))
     return each.groupBy(*keys, "e").agg(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylight.functions.vectors import argmax, dot, softmax, top_k, total
+from querylight.functions.vectors import argmax, dot, let, softmax, top_k, total
 
 MAX_GATES = 4096
 
@@ -38,7 +38,10 @@ def gate_logits(tokens: DataFrame, gates: DataFrame, vector: str, out: str) -> D
 
 def dialect_weighted(experts: Column, dialects: Column, per_group: int) -> Column:
     """Expert weights times the weight of their dialect group."""
-    return F.transform(experts, lambda w, e: w * F.get(dialects, F.floor(e / per_group).cast("int")))
+    both = F.struct(experts.alias("e"), dialects.alias("d"))
+    return let(
+        both, lambda s: F.transform(s["e"], lambda w, e: w * F.get(s["d"], F.floor(e / per_group).cast("int")))
+    )
 
 
 def soft_weights(per_group: int) -> Column:
@@ -48,8 +51,10 @@ def soft_weights(per_group: int) -> Column:
 
 def renormalised(chosen: Column) -> Column:
     """Top-k weights that sum to 1."""
-    norm = total(F.transform(chosen, lambda c: c["w"])) + 1e-20
-    return F.transform(chosen, lambda c: F.struct(c["e"].alias("e"), (c["w"] / norm).alias("w")))
+    summed = F.struct(chosen.alias("c"), (total(F.transform(chosen, lambda c: c["w"])) + 1e-20).alias("t"))
+    return let(
+        summed, lambda s: F.transform(s["c"], lambda c: F.struct(c["e"].alias("e"), (c["w"] / s["t"]).alias("w")))
+    )
 
 
 def scaled(chosen: Column, factor: float) -> Column:
@@ -80,8 +85,12 @@ def group_limited(scores: Column, groups: int, per_group: int, keep_groups: int,
         lambda g: F.array_max(F.slice(scores, g * per_group + 1, per_group)),
     )
     kept = F.transform(top_k(best, keep_groups), lambda c: c["e"])
-    inside = F.transform(
-        scores, lambda s, e: F.when(F.array_contains(kept, F.floor(e / per_group).cast("int")), s).otherwise(0.0)
+    inside = let(
+        kept,
+        lambda groups_kept: F.transform(
+            scores,
+            lambda s, e: F.when(F.array_contains(groups_kept, F.floor(e / per_group).cast("int")), s).otherwise(0.0),
+        ),
     )
     return top_k(inside, k)
 

@@ -5,8 +5,11 @@ from querylight.plans import (  # noqa: F401
     encode_queries,
     eval_queries,
     routing_queries,
+    source_queries,
+    stream_queries,
     text_queries,
     token_queries,
+    workload_queries,
 )
 from querylight.plans.registry import ORACLES, QUERIES
 

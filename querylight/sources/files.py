@@ -34,17 +34,12 @@ def write_json_lines(df: DataFrame, path: str, partition_by: list[str] | None =
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
-def write_json_array(df: DataFrame, path: str, order: str) -> None:
-    """JSON arrays, one per range of `order`, so no single task holds all records."""
+def write_json_arrays(df: DataFrame, path: str, key: str, per_file: int = 1000) -> None:
+    """JSON array files of at most `per_file` records; `key` is a unique whole number."""
     record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    placed = df.repartitionByRange(order).select(F.spark_partition_id().alias("_file"), record.alias("value"))
-    # A line per record; the brackets and commas around it come from its neighbours in the file.
-    from pyspark.sql import Window
-
-    within = Window.partitionBy("_file").orderBy("value")
-    lead = F.when(F.row_number().over(within) == 1, "[").otherwise(",")
-    tail = F.when(F.lead("value").over(within).isNull(), "]").otherwise("")
-    placed.select(F.concat(lead, "value", tail).alias("value"), "_file").write.partitionBy("_file").text(path)
+    chunks = df.groupBy(F.floor(F.col(key) / per_file).alias("part")).agg(F.collect_list(record).alias("records"))
+    text = F.concat(F.lit("["), F.array_join("records", ",\n"), F.lit("]"))
+    chunks.select("part", text.alias("value")).write.partitionBy("part").text(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
