@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from querylight.functions.strings import jaro_winkler
 from querylight.operators.cells import result_rows
 from querylight.operators.match import bags_equal, side_bit
-from querylight.session import stage
+from querylight.session import fan_out, stage
 
 
 def row_sets(cells: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _align_large(sided: DataFrame, counts: DataFrame) -> DataFrame:
 
 def text_similarity(pairs: DataFrame, left: str, right: str, out: str = "similarity") -> DataFrame:
     """Jaro-Winkler similarity of two text columns, computed once per distinct text pair."""
-    distinct = pairs.filter(F.col(left) != F.col(right)).select(left, right).distinct()
+    distinct = fan_out(pairs.filter(F.col(left) != F.col(right)).select(left, right).distinct())
     scored = distinct.withColumn(out, jaro_winkler(F.col(left), F.col(right)))
     same = F.when(F.col(left) == F.col(right), 1.0)
     return pairs.join(scored, [left, right], "left").withColumn(out, F.coalesce(F.col(out), same))

@@ -12,20 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylight.operators.numbering import number_rows
-from querylight.session import stage
+from querylight.session import fan_out, stage
 
 # Special tokens, in id order.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 LONGEST_WORD = 200
 
 
-def tokens_of(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """`(key, pos, token)`: one row per token."""
-    return df.select(key, F.posexplode(tokens).alias("pos", "token"))
-
-
-def build_vocab(tokens: DataFrame, size: int = 2000) -> DataFrame:
-    """`vocab(id, token)`: specials, characters, `##` characters, then the most frequent longer tokens."""
+def build_vocab(lists: DataFrame, size: int = 2000) -> DataFrame:
+    """`vocab(id, token)` of token lists: specials, characters, `##` characters, the most frequent longer tokens."""
+    tokens = lists.select(F.explode("tokens").alias("token"))
     counts = stage(tokens.groupBy("token").agg(F.count("*").alias("n")), "counts")
     chars = stage(counts.select(F.explode(F.array_distinct(F.split("token", ""))).alias("token")).distinct(), "chars")
     top = counts.filter(F.length("token") > 1).orderBy(F.desc("n"), "token").limit(size)
@@ -40,19 +36,52 @@ def build_vocab(tokens: DataFrame, size: int = 2000) -> DataFrame:
     return number_rows(listed, [], ["part", "rank", "token"], out="id").select("id", "token")
 
 
-def token_ids(tokens: DataFrame, vocab: DataFrame, unknown: str | int = "[UNK]") -> DataFrame:
-    """Tokens with their ids; unknown ones get the id of `[UNK]`, or a given number."""
-    if isinstance(unknown, int):
-        fallback = F.lit(unknown).cast("long")
-    else:
-        fallback = F.lit(SPECIALS.index(unknown)).cast("long")
-    return tokens.join(vocab, "token", "left").withColumn("id", F.coalesce("id", fallback))
+# Up to this many entries a vocabulary travels to the tasks as a dictionary; beyond it is joined.
+MAX_LOCAL = 1_000_000
+
+
+def _local_map(rows: DataFrame, limit: int) -> dict | None:
+    """A two-column table as a dictionary when it has at most `limit` rows."""
+    listed = rows.limit(limit + 1).collect()
+    return dict((r[0], r[1]) for r in listed) if len(listed) <= limit else None
+
+
+def _map_lists(lists: DataFrame, key: str, column: str, pairs: DataFrame, out: str, fallback, limit: int) -> DataFrame:
+    """`(key, out)`: every element of an array column looked up in `pairs`.
+
+    A bounded table is looked up inside the row, so no token is shuffled; a larger one is joined
+    and the lists are put together again.
+    """
+    old, new = pairs.columns
+    kind = dict(pairs.dtypes)[new]
+    known = _local_map(pairs, limit)
+    if known is None:
+        each = lists.select(key, F.posexplode(column).alias("pos", old))
+        named = each.join(pairs, old, "left").withColumn(new, F.coalesce(F.col(new), F.lit(fallback).cast(kind)))
+        ordered = F.array_sort(F.collect_list(F.struct("pos", new)))
+        joined = named.groupBy(key).agg(F.transform(ordered, lambda x: x[new]).alias(out))
+        return lists.select(key).join(joined, key, "left").withColumn(
+            out, F.coalesce(out, F.array().cast(f"array<{kind}>"))
+        )
+    shared = lists.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf(f"array<{kind}>")
+    def look_up(values: pd.Series) -> pd.Series:
+        table = shared.value
+        return values.map(lambda l: [table.get(t, fallback) for t in l], na_action="ignore")
+
+    return lists.select(key, look_up(F.col(column)).alias(out))
+
+
+def id_lists(lists: DataFrame, vocab: DataFrame, key: str, unknown: str | int = "[UNK]", limit: int = MAX_LOCAL) -> DataFrame:
+    """`(key, ids)` for token lists `(key, tokens)`; unknown tokens get the id of `[UNK]`, or a given number."""
+    fallback = unknown if isinstance(unknown, int) else SPECIALS.index(unknown)
+    return _map_lists(lists, key, "tokens", vocab.select("token", "id"), "ids", fallback, limit)
 
 
-def id_lists(ids: DataFrame, key: str) -> DataFrame:
-    """`(key, ids)`: the ids of each text in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return ids.groupBy(key).agg(F.transform(ordered, lambda x: x["id"]).alias("ids"))
+def token_lists(lists: DataFrame, vocab: DataFrame, key: str, limit: int = MAX_LOCAL) -> DataFrame:
+    """`(key, tokens)` for id lists `(key, ids)`: the way back through the inverse vocabulary."""
+    return _map_lists(lists, key, "ids", vocab.select("id", "token"), "tokens", "[UNK]", limit)
 
 
 def wordpiece(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -63,7 +92,7 @@ def wordpiece(words: DataFrame, vocab: DataFrame) -> DataFrame:
     than 200 characters, becomes `[UNK]`.
     """
     longest = vocab.agg(F.max(F.length("token"))).first()[0] or 1
-    distinct = stage(words.select("word").distinct(), "words")
+    distinct = stage(fan_out(words.select("word").distinct()), "words")
     spans = distinct.filter(F.length("word") <= LONGEST_WORD).select(
         "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start")
     )
@@ -109,21 +138,19 @@ def top_merges(pairs: DataFrame, size: int) -> DataFrame:
     return number_rows(top, [], ["m", "left", "right"], out="rank").select("left", "right", "rank")
 
 
-MAX_MERGES = 200_000
-
-
 def bpe(words: DataFrame, merges: DataFrame) -> DataFrame:
     """`(word, pieces)` for the distinct words: merge the best ranked adjacent pair until none is ranked."""
-    listed = merges.limit(MAX_MERGES + 1).collect()
-    if len(listed) > MAX_MERGES:
-        raise ValueError(f"more than {MAX_MERGES} merges; they must fit in every task")
-    ranks = words.sparkSession.sparkContext.broadcast({(m["left"], m["right"]): m["rank"] for m in listed})
+    pair = F.struct("left", "right")
+    listed = _local_map(merges.select(pair, "rank"), MAX_LOCAL)
+    if listed is None:
+        raise ValueError(f"more than {MAX_LOCAL} merges; every word may need any of them, so they must fit in a task")
+    ranks = words.sparkSession.sparkContext.broadcast({tuple(p): r for p, r in listed.items()})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"word": batch["word"], "pieces": [merge_word(w, ranks.value) for w in batch["word"]]})
 
-    distinct = words.select("word").distinct()
+    distinct = fan_out(words.select("word").distinct())
     return distinct.mapInPandas(encode, "word string, pieces array<string>")
 
 
@@ -171,10 +198,3 @@ def pieces_to_text(tokens: Column) -> Column:
     return F.array_join(
         F.transform(kept, lambda t: F.when(t.startswith("##"), F.substr(t, F.lit(3))).otherwise(F.concat(F.lit(" "), t))), ""
     )
-
-
-def detokenize(ids: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """`(key, pos, id)` back to token lists through the inverse vocabulary."""
-    named = ids.select(key, "pos", "id").join(vocab.select("id", "token"), "id")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    return named.groupBy(key).agg(F.transform(ordered, lambda x: x["token"]).alias("tokens"))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from querylight.functions import text as tx
 from querylight.operators import encode, prompts
 from querylight.operators import vocab as vb
-from querylight.plans.example_inputs import EXAMPLE_CTE, examples
+from querylight.plans.example_inputs import EXAMPLE_COLUMNS, EXAMPLE_CTE, examples
 from querylight.plans.registry import query, table
 from querylight.plans.text_queries import SYSTEM
-from querylight.plans.token_queries import VOCAB_CTE, basic_sql, split_sql, tokens_cte, vocab_and_tokens
-from querylight.session import stage
+from querylight.plans.token_queries import VOCAB_CTE, basic_sql, doc_token_lists, split_sql, tokens_cte
+from querylight.session import spread, stage
 
 MAX_LEN = 512
 BATCH = 8
@@ -38,30 +38,35 @@ ENCODED_CTE = f"""{VOCAB_CTE}, {EXAMPLE_CTE},
 
 def chats(spark, sf_dir):
     """Two-turn chats: the whole document asks, the query of its example answers."""
-    rows = examples(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id"
+    rows = spread(table(spark, sf_dir, "documents")).selectExpr(
+        "text", *[f"{EXAMPLE_COLUMNS[c]} as {c}" for c in ("id", "sql_type", "db_id", "sql")]
     )
     turns = F.array(prompts.message("user", "text"), prompts.message("assistant", "sql"))
     return rows.select("id", "sql_type", "db_id", turns.alias("conversations"))
 
 
 def encoded(spark, sf_dir):
-    vocab, _ = vocab_and_tokens(spark, sf_dir)
-    rows = chats(spark, sf_dir)
+    """`(id, sql_type, n_prompt, ids)`.
+
+    The chat text starts with its prompt, which ends with a line end, so the tokens of the prompt
+    and of the rest are those of the whole and each text is tokenised once.
+    """
+    vocab = stage(vb.build_vocab(doc_token_lists(spark, sf_dir)), "vocab")
     opened = prompts.chat_text(prompts.first_only(F.col("conversations")), generation_prompt=True)
-    whole = prompts.chat_text(F.col("conversations"))
-    both = stage(
+    rows = chats(spark, sf_dir).select(
+        "id", "sql_type", opened.alias("opened"), prompts.chat_text(F.col("conversations")).alias("whole")
+    )
+    rest = F.substr("whole", F.length("opened") + 1)
+    split = stage(
         rows.select(
-            "id",
-            "sql_type",
-            tx.basic_tokens(whole).alias("tokens"),
-            F.size(tx.basic_tokens(opened)).alias("n_prompt"),
+            "id", "sql_type", tx.basic_tokens(F.col("opened")).alias("head"), tx.basic_tokens(rest).alias("tail")
         ),
         "chat-tokens",
     )
-    key = both.select(F.col("id").alias("row_id"), "tokens")
-    lists = vb.id_lists(vb.token_ids(vb.tokens_of(key, "row_id", F.col("tokens")), vocab), "row_id")
-    return both.select("id", "sql_type", "n_prompt").join(lists.withColumnRenamed("row_id", "id"), "id")
+    lists = split.select(
+        F.struct("id", "sql_type", F.size("head").alias("n_prompt")).alias("row"), F.concat("head", "tail").alias("tokens")
+    )
+    return vb.id_lists(lists, vocab, "row").select("row.*", "ids")
 
 
 def masked(spark, sf_dir):

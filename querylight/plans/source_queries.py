@@ -125,23 +125,15 @@ def eval_run_pairs(spark, sf_dir):
     for name in ("orders", "customer", "part", "nation", "lineitem", "events"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     pairs = table(spark, sf_dir, "documents").selectExpr("doc_id as pair_id", f"{GOLD_SQL} as gold_sql", f"{PRED_SQL} as pred_sql")
-    cells, errors = run_pairs(spark, pairs, seconds=120)
-    shape = shapes(cells)
-    sides = F.array(
-        F.struct(F.lit("gold").alias("side"), F.col("gold_rows").alias("n_rows"), F.col("gold_cols").alias("n_cols")),
-        F.struct(F.lit("pred").alias("side"), F.col("pred_rows").alias("n_rows"), F.col("pred_cols").alias("n_cols")),
-    )
-    asked = pairs.select("pair_id", F.explode(F.array(F.lit("gold"), F.lit("pred"))).alias("side"))
-    known = shape.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.*")
-    failed = errors.select("pair_id", "side", F.lit(True).alias("failed"))
-    return (
-        asked.join(known, ["pair_id", "side"], "left")
-        .join(failed, ["pair_id", "side"], "left")
-        .select(
-            "pair_id",
-            "side",
-            F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-            F.coalesce("n_cols", F.lit(0)).alias("n_cols"),
-            F.coalesce("failed", F.lit(False)).alias("failed"),
-        )
-    )
+    cases, cells, errors = run_pairs(spark, pairs, seconds=120)
+    shape = shapes(cells.withColumnRenamed("case_id", "pair_id")).withColumnRenamed("pair_id", "case_id")
+    failed = errors.groupBy("case_id").agg(F.collect_set("side").alias("failed"))
+
+    def side(name):
+        rows = F.coalesce(f"{name}_rows", F.lit(0)).alias("n_rows")
+        cols = F.coalesce(f"{name}_cols", F.lit(0)).alias("n_cols")
+        lost = F.coalesce(F.array_contains("failed", name), F.lit(False)).alias("failed")
+        return F.struct(F.lit(name).alias("side"), rows, cols, lost)
+
+    known = cases.join(shape, "case_id", "left").join(failed, "case_id", "left")
+    return known.select("pair_id", F.explode(F.array(side("gold"), side("pred"))).alias("s")).select("pair_id", "s.*")

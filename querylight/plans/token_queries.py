@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from querylight.functions import text as tx
 from querylight.operators import vocab as vb
 from querylight.plans.registry import query, table
-from querylight.session import stage, stage_path
+from querylight.session import spread, stage, stage_path
 from querylight.sources.files import read_vocab, write_lines
 
 CLEAN = r"regexp_replace(regexp_replace({}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}\p{{Cf}}\x{{FFFD}}]', '', 'g'), '[ \t\n\r\p{{Zs}}]', ' ', 'g')"
@@ -44,24 +44,26 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-def doc_tokens(spark, sf_dir):
-    return vb.tokens_of(documents(spark, sf_dir), "doc_id", tx.basic_tokens(F.col("text")))
+def doc_token_lists(spark, sf_dir):
+    """`(doc_id, tokens)`, written once."""
+    docs = spread(documents(spark, sf_dir))
+    return stage(docs.select("doc_id", tx.basic_tokens(F.col("text")).alias("tokens")), "tokens")
 
 
-def vocab_and_tokens(spark, sf_dir):
-    tokens = stage(doc_tokens(spark, sf_dir), "tokens")
-    return stage(vb.build_vocab(tokens), "vocab"), tokens
+def vocab_and_lists(spark, sf_dir):
+    lists = doc_token_lists(spark, sf_dir)
+    return stage(vb.build_vocab(lists), "vocab"), lists
 
 
 def word_counts(spark, sf_dir):
     """`(word, n)`: blank-separated words in lower case."""
-    each = documents(spark, sf_dir).select(F.explode(tx.words(F.lower("text"))).alias("word"))
+    each = spread(documents(spark, sf_dir)).select(F.explode(tx.words(F.lower("text"))).alias("word"))
     return each.groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query("tok_clean", f"select doc_id, {CLEAN.format('text')} as text from documents")
 def tok_clean(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.clean(F.col("text")).alias("text"))
+    return spread(documents(spark, sf_dir)).select("doc_id", tx.clean(F.col("text")).alias("text"))
 
 
 # The texts hold no ideographs, so every third one gets some.
@@ -76,12 +78,12 @@ def tok_cjk(spark, sf_dir):
 
 @query("tok_fold", "select doc_id, strip_accents(lower(text)) as text from documents")
 def tok_fold(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.strip_accents(F.lower("text")).alias("text"))
+    return spread(documents(spark, sf_dir)).select("doc_id", tx.strip_accents(F.lower("text")).alias("text"))
 
 
 @query("tok_punct", f"select doc_id, {PUNCT.format('text')} as text from documents")
 def tok_punct(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.space_punctuation(F.col("text")).alias("text"))
+    return spread(documents(spark, sf_dir)).select("doc_id", tx.space_punctuation(F.col("text")).alias("text"))
 
 
 @query(
@@ -95,7 +97,7 @@ def tok_punct(spark, sf_dir):
 def tok_basic_counts(spark, sf_dir):
     """Per-document numbers come from the token array itself; per language the distinct tokens of a
     document are counted first, so a language never meets in one task."""
-    lists = documents(spark, sf_dir).select("doc_id", "lang", tx.basic_tokens(F.col("text")).alias("l"))
+    lists = spread(documents(spark, sf_dir)).select("doc_id", "lang", tx.basic_tokens(F.col("text")).alias("l"))
     lists = stage(lists.withColumn("d", F.array_distinct("l")), "lists")
     per_doc = lists.select(
         F.lit("document").alias("level"),
@@ -112,7 +114,7 @@ def tok_basic_counts(spark, sf_dir):
 @query("tok_vocab", f"with {VOCAB_CTE} select id, token from vocab")
 def tok_vocab(spark, sf_dir):
     """Built from the documents, written one token per line and read back by line number."""
-    built, _ = vocab_and_tokens(spark, sf_dir)
+    built, _ = vocab_and_lists(spark, sf_dir)
     path = stage_path(spark, "vocab-lines")
     # One file, as a line number only exists within a file; the vocabulary size is bounded.
     write_lines(built.orderBy("id").select("token").coalesce(1), path)
@@ -126,9 +128,9 @@ def tok_vocab(spark, sf_dir):
     from doc_tokens left join vocab using (token) group by doc_id""",
 )
 def tok_ids(spark, sf_dir):
-    vocab, tokens = vocab_and_tokens(spark, sf_dir)
-    lists = vb.id_lists(vb.token_ids(tokens, vocab), "doc_id")
-    return lists.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    vocab, lists = vocab_and_lists(spark, sf_dir)
+    ids = vb.id_lists(lists, vocab, "doc_id").filter(F.size("ids") > 0)
+    return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query(
@@ -150,7 +152,7 @@ def tok_ids(spark, sf_dir):
     from words left join walk using (word) group by words.word""",
 )
 def tok_wordpiece(spark, sf_dir):
-    vocab, _ = vocab_and_tokens(spark, sf_dir)
+    vocab, _ = vocab_and_lists(spark, sf_dir)
     pieces = vb.wordpiece(word_counts(spark, sf_dir), vocab)
     return pieces.select("word", F.array_join("pieces", " ").alias("pieces"))
 
@@ -177,7 +179,7 @@ def tok_bpe(spark, sf_dir):
 # The patterns look ahead, which DuckDB's regular expressions cannot do.
 @query("tok_pretoken")
 def tok_pretoken(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     both = F.array(
         F.struct(F.lit("plain").alias("style"), tx.pretokens(F.col("text")).alias("l")),
         F.struct(F.lit("digits").alias("style"), tx.pretokens(F.col("text"), single_digits=True).alias("l")),
@@ -215,10 +217,12 @@ def tok_paragraphs(spark, sf_dir):
 )
 def tok_detokenize(spark, sf_dir):
     """Every fifth one-character token is turned into its inner piece, so that pieces occur."""
-    vocab, tokens = vocab_and_tokens(spark, sf_dir)
-    inner = (F.col("pos") % 5 == 4) & (F.length("token") == 1)
-    pieces = tokens.withColumn("token", F.when(inner, F.concat(F.lit("##"), "token")).otherwise(F.col("token")))
-    lists = vb.detokenize(vb.token_ids(pieces, vocab), vocab, "doc_id")
-    return lists.select(
+    vocab, lists = vocab_and_lists(spark, sf_dir)
+    pieces = F.transform(
+        "tokens", lambda t, i: F.when((i % 5 == 4) & (F.length(t) == 1), F.concat(F.lit("##"), t)).otherwise(t)
+    )
+    ids = vb.id_lists(lists.select("doc_id", pieces.alias("tokens")), vocab, "doc_id").filter(F.size("ids") > 0)
+    back = vb.token_lists(ids, vocab, "doc_id")
+    return back.select(
         "doc_id", vb.tokens_to_text(F.col("tokens")).alias("text"), vb.pieces_to_text(F.col("tokens")).alias("plain")
     )

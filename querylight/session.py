@@ -51,3 +51,22 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that yields fewer splits than there are cores, dealt out to all of them.
+
+    For work that costs much CPU per row. A table of many files has splits enough and passes
+    through untouched, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Aggregated rows dealt out to all shuffle partitions.
+
+    Adaptive execution merges shuffle partitions that are small in bytes; rows that cost much CPU
+    each would then meet in few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

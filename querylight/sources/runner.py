@@ -77,16 +77,26 @@ def _run_one(spark: SparkSession, sql: str, query_id: str, path: str, seconds: f
         context.removeJobTag(tag)
 
 
-def run_pairs(spark: SparkSession, pairs: DataFrame, seconds: float | None = 30.0) -> tuple[DataFrame, DataFrame]:
-    """`pairs(pair_id, gold_sql, pred_sql)` to `cells(pair_id, side, …)` and `errors(pair_id, side, err)`.
+def run_pairs(
+    spark: SparkSession, pairs: DataFrame, seconds: float | None = 30.0
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`pairs(pair_id, gold_sql, pred_sql)` to results per distinct text pair.
 
-    A text shared by many pairs runs once.
+    Gives `cases(pair_id, case_id)`, `cells(case_id, side, …)` and `errors(case_id, side, err)`. A
+    text shared by many pairs runs once, and results are laid out once per distinct text pair, so
+    compare the cases and join the verdicts back to the pairs.
     """
+    cases = stage(pairs.withColumn("case_id", F.md5(F.concat_ws("\0", "gold_sql", "pred_sql"))), "cases")
     sides = F.array(
         F.struct(F.lit("gold").alias("side"), F.col("gold_sql").alias("sql")),
         F.struct(F.lit("pred").alias("side"), F.col("pred_sql").alias("sql")),
     )
-    asked = stage(pairs.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.*"), "asked")
+    distinct = cases.select("case_id", "gold_sql", "pred_sql").distinct()
+    asked = stage(distinct.select("case_id", F.explode(sides).alias("s")).select("case_id", "s.*"), "asked")
     cells, errors = run_queries(spark, asked, seconds)
-    keyed = asked.withColumn("query_id", F.md5("sql")).select("pair_id", "side", "query_id")
-    return keyed.join(cells, "query_id").drop("query_id"), keyed.join(errors, "query_id").drop("query_id")
+    keyed = asked.withColumn("query_id", F.md5("sql")).select("case_id", "side", "query_id")
+    return (
+        cases.select("pair_id", "case_id"),
+        keyed.join(cells, "query_id").drop("query_id"),
+        keyed.join(errors, "query_id").drop("query_id"),
+    )
