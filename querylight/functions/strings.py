@@ -2,52 +2,45 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from querylight.functions.vectors import let
 
-
-def shared_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two character arrays."""
-    differ = F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
-    return F.coalesce(F.get(differ, F.lit(0)), F.least(F.size(a), F.size(b)))
-
-
-def jaro_winkler(left: Column, right: Column) -> Column:
+@F.pandas_udf(DoubleType())
+def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity in [0, 1], with the prefix bonus above 0.7 only.
 
-    The common prefix always matches itself, so the search starts behind it.
+    As a chain of Spark's array functions the same took about a hundred times as long.
     """
-    a, b = F.split(left, ""), F.split(right, "")
-    packed = F.struct(a.alias("a"), b.alias("b"), shared_prefix(a, b).alias("p"))
-    score = let(packed, lambda s: _scored(s["a"], s["b"], s["p"]))
-    either_empty = (F.length(left) == 0) | (F.length(right) == 0)
-    return F.when(left == right, 1.0).when(either_empty, 0.0).otherwise(score)
-
-
-def _scored(a: Column, b: Column, p: Column) -> Column:
-    la, lb = F.size(a), F.size(b)
-    reach = F.greatest(F.floor(F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
-
-    def take(used: Column, i: Column) -> Column:
-        lo, hi = F.greatest(p, i - reach), F.least(lb - 1, i + reach)
-        places = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-        hit = F.filter(places, lambda j: (F.get(b, j) == F.get(a, i)) & ~F.array_contains(used, j))
-        return F.when(F.size(hit) > 0, F.array_append(used, F.get(hit, F.lit(0)))).otherwise(used)
-
-    rest = F.filter(F.sequence(p, la), lambda i: i < la)
-    used = F.aggregate(rest, F.array().cast("array<int>"), take)
-    return let(used, lambda u: _weight(u, b, p, la, lb))
-
-
-def _weight(used: Column, b: Column, p: Column, la: Column, lb: Column) -> Column:
-    in_b = F.array_sort(used)
-    crossed = F.size(F.filter(F.zip_with(used, in_b, lambda x, y: F.get(b, x) != F.get(b, y)), lambda d: d))
-    m = (p + F.size(used)).cast("double")
-    jaro = F.when(m == 0, 0.0).otherwise((m / la + m / lb + (m - F.floor(crossed / 2)) / m) / 3)
-    bonus = F.least(p, F.lit(4)) * 0.1 * (1 - jaro)
-    return F.when(jaro > 0.7, jaro + bonus).otherwise(jaro)
+    return pd.Series([_jaro_winkler(a, b) for a, b in zip(left, right)], dtype="float64")
+
+
+def _jaro_winkler(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    if a == b:
+        return 1.0
+    shorter = min(len(a), len(b))
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    prefix = next((i for i in range(shorter) if a[i] != b[i]), shorter)
+    # The common prefix always matches itself, so the search starts behind it.
+    open_chars: list[str | None] = list(b)
+    used = []
+    for i in range(prefix, len(a)):
+        try:
+            j = open_chars.index(a[i], max(prefix, i - reach), min(len(b), i + reach + 1))
+        except ValueError:
+            continue
+        used.append(j)
+        open_chars[j] = None
+    matched = prefix + len(used)
+    if matched == 0:
+        return 0.0
+    crossed = sum(b[x] != b[y] for x, y in zip(used, sorted(used))) // 2
+    jaro = (matched / len(a) + matched / len(b) + (matched - crossed) / matched) / 3
+    return jaro + min(prefix, 4) * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
 def strip_blank(text: Column) -> Column:

@@ -67,9 +67,18 @@ def bag_print(*columns: Column | str) -> list[Column]:
 BAG = ["_h0", "_h1", "_h2", "_h3"]
 
 
-def column_prints(cells: DataFrame, ordered: bool = False) -> DataFrame:
+def as_rows(table: DataFrame) -> DataFrame:
+    """The row form of a cell table; a table already in row form passes through.
+
+    Operators take either form, so a caller that compares in several ways assembles rows once.
+    """
+    return table if "vals" in table.columns else result_rows(table)
+
+
+def column_prints(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """Fingerprint `fp` of the value bag (or, ordered, of the value list) of every column."""
     values = ["row_idx", "cell"] if ordered else ["cell"]
+    cells = rows.select("pair_id", "side", "row_idx", F.posexplode("vals").alias("col_idx", "cell"))
     return (
         cells.groupBy("pair_id", "side", "col_idx")
         .agg(*bag_print(*values), F.count("*").alias("_n"))
@@ -77,14 +86,27 @@ def column_prints(cells: DataFrame, ordered: bool = False) -> DataFrame:
     )
 
 
-def shapes(cells: DataFrame) -> DataFrame:
+def both_prints(rows: DataFrame) -> DataFrame:
+    """Bag and list fingerprints `fp` and `list_fp` of every column in one pass."""
+    cells = rows.select("pair_id", "side", "row_idx", F.posexplode("vals").alias("col_idx", "cell"))
+    lists = [c.alias(f"_l{i}") for i, c in enumerate(bag_print("row_idx", "cell"))]
+    sums = cells.groupBy("pair_id", "side", "col_idx").agg(*bag_print("cell"), *lists, F.count("*").alias("_n"))
+    return sums.select(
+        "pair_id",
+        "side",
+        "col_idx",
+        F.struct("_n", *BAG).alias("fp"),
+        F.struct("_n", *[f"_l{i}" for i in range(len(BAG))]).alias("list_fp"),
+    )
+
+
+def shapes(rows: DataFrame) -> DataFrame:
     """Row and column counts of both sides per pair."""
     gold, pred = F.col("side") == "gold", F.col("side") == "pred"
-    first = F.col("col_idx") == 0
-    width = F.col("col_idx") + 1
-    return cells.groupBy("pair_id").agg(
-        F.count(F.when(gold & first, 1)).alias("gold_rows"),
-        F.count(F.when(pred & first, 1)).alias("pred_rows"),
+    width = F.size("vals")
+    return rows.groupBy("pair_id").agg(
+        F.count_if(gold).alias("gold_rows"),
+        F.count_if(pred).alias("pred_rows"),
         F.coalesce(F.max(F.when(gold, width)), F.lit(0)).alias("gold_cols"),
         F.coalesce(F.max(F.when(pred, width)), F.lit(0)).alias("pred_cols"),
     )

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from querylight.operators.numbering import number_rows
 
@@ -85,17 +88,10 @@ def pad_batches(rows: DataFrame, pad_id: int = 0, left: bool = True) -> DataFram
     )
 
 
-def positions(mask: Column) -> Column:
+@F.pandas_udf(ArrayType(LongType()))
+def positions(mask: pd.Series) -> pd.Series:
     """Position ids: the running sum of the mask minus one, 1 where the mask is 0."""
-    empty = F.struct(F.lit(0).cast("long").alias("seen"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(state: Column, m: Column) -> Column:
-        seen = state["seen"] + m
-        return F.struct(
-            seen.alias("seen"), F.array_append(state["out"], F.when(m == 0, F.lit(1).cast("long")).otherwise(seen - 1)).alias("out")
-        )
-
-    return F.aggregate(mask, empty, step)["out"]
+    return mask.map(lambda m: np.where(np.asarray(m) == 0, 1, np.cumsum(m) - 1), na_action="ignore")
 
 
 def pack_offsets(padded: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylight.operators.cells import column_prints, result_rows, shapes
+from querylight.operators.cells import as_rows, column_prints, shapes
 from querylight.operators.match import for_all_pairs, mapping_arrays, paired_by_rank, permuted, side_bit
 from querylight.operators.numbering import number_rows
 from querylight.session import stage
@@ -27,18 +27,21 @@ def normalize(cells: DataFrame, ordered_pairs: Column) -> DataFrame:
 
     Where `ordered_pairs` holds (a condition on pair_id), rows keep their order of first occurrence.
     """
-    rows = result_rows(cells).withColumn("vals", by_column_name(F.col("vals")))
+    rows = as_rows(cells).withColumn("vals", by_column_name(F.col("vals")))
     keyed = distinct_rows(rows).withColumn("place", F.when(ordered_pairs, F.col("first_idx")).otherwise(0))
     return number_rows(keyed, ["pair_id", "side"], ["place", "vals"], out="new_idx").select(
         "pair_id", "side", "new_idx", "vals"
     )
 
 
-def rounded(cells: DataFrame, digits: int = 5) -> DataFrame:
+def rounded(vals: Column, digits: int = 5) -> Column:
     """Numbers rounded, so that values within float tolerance share one join key."""
-    number = F.round(F.expr("try_cast(substr(cell, 5) as double)"), digits)
-    tidy = F.when(F.col("cell").startswith("num:"), F.concat(F.lit("num:"), (number + 0.0).cast("string")))
-    return cells.withColumn("cell", F.coalesce(tidy, F.col("cell")))
+
+    def tidy(cell: Column) -> Column:
+        number = F.round(F.substr(cell, F.lit(5)).try_cast("double"), digits) + 0.0
+        return F.when(cell.startswith("num:"), F.concat(F.lit("num:"), number.cast("string"))).otherwise(cell)
+
+    return F.transform(vals, tidy)
 
 
 def subset_match(cells: DataFrame, pairs: DataFrame, ordered: bool = False) -> DataFrame:
@@ -47,12 +50,11 @@ def subset_match(cells: DataFrame, pairs: DataFrame, ordered: bool = False) -> D
     A gold column takes the first unused predicted column with the same values. Equality splits the
     columns into classes, so that is the k-th gold column of a class with the k-th predicted one.
     """
-    cells = rounded(cells)
-    gold_width = shapes(cells).filter("gold_rows > 0").select("pair_id", "gold_cols")
-    paired = paired_by_rank(column_prints(cells))
+    rows = as_rows(cells).withColumn("vals", rounded(F.col("vals")))
+    gold_width = shapes(rows).filter("gold_rows > 0").select("pair_id", "gold_cols")
+    paired = paired_by_rank(column_prints(rows))
     perms = mapping_arrays(paired).join(gold_width, "pair_id").filter(F.size("perm") == F.col("gold_cols"))
     perms = stage(perms, "perms")
-    rows = result_rows(cells.join(perms.select("pair_id"), "pair_id", "left_semi"))
     distinct = distinct_rows(permuted(rows, perms))
     keys = ["pair_id", "vals"]
     if ordered:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylight.operators.cells import BAG, bag_print, column_prints, result_rows, shapes
+from querylight.operators.cells import BAG, as_rows, bag_print, both_prints, column_prints, shapes
 from querylight.session import stage
 
 
@@ -28,7 +28,7 @@ def for_all_pairs(verdicts: DataFrame, pairs: DataFrame, column: str, when_absen
 
 def unordered_rows(cells: DataFrame) -> DataFrame:
     """Every row with its cells sorted by value, so column order no longer matters."""
-    return result_rows(cells).withColumn("vals", F.array_sort("vals"))
+    return as_rows(cells).withColumn("vals", F.array_sort("vals"))
 
 
 def quick_reject(cells: DataFrame, pairs: DataFrame, ordered: bool = False) -> DataFrame:
@@ -56,13 +56,13 @@ def bags_equal(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def multiset_eq(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """`same_bag`: both results hold the same rows with the same counts, columns in place."""
-    verdict = bags_equal(result_rows(cells), ["vals"]).withColumnRenamed("same", "same_bag")
+    verdict = bags_equal(as_rows(cells), ["vals"]).withColumnRenamed("same", "same_bag")
     return for_all_pairs(verdict, pairs, "same_bag", True)
 
 
 def column_candidates(cells: DataFrame) -> DataFrame:
     """Gold and predicted columns that hold the same value bag: the only possible partners."""
-    prints = column_prints(cells)
+    prints = column_prints(as_rows(cells))
     gold = prints.filter("side = 'gold'").select("pair_id", "fp", F.col("col_idx").alias("gold_col"))
     pred = prints.filter("side = 'pred'").select("pair_id", "fp", F.col("col_idx").alias("pred_col"))
     return gold.join(pred, ["pair_id", "fp"]).select("pair_id", "gold_col", "pred_col")
@@ -98,21 +98,15 @@ def result_eq(cells: DataFrame, pairs: DataFrame, ordered: bool = False, beam: i
     different columns of one result hold equal bags, and an exact comparison of whole rows has the
     last word for every surviving column order.
     """
-    shape = shapes(cells)
+    rows = as_rows(cells)
+    shape = stage(shapes(rows), "shape")
     gated = shape.filter("gold_rows = pred_rows and gold_cols = pred_cols and gold_rows > 0")
-    gated = stage(gated.select("pair_id", F.col("gold_cols").alias("width")), "gate")
-    live = cells.join(gated.select("pair_id"), "pair_id", "left_semi")
-
-    lists = column_prints(live, ordered=True).withColumnRenamed("fp", "list_fp")
-    bags = column_prints(live)
-    prints = stage(bags.join(lists, ["pair_id", "side", "col_idx"]), "prints")
-    keyed = prints.select("pair_id", "side", "col_idx", F.col("list_fp" if ordered else "fp").alias("fp"))
-    paired = paired_by_rank(keyed)
-    whole = (
-        paired.groupBy("pair_id").agg(F.count("*").alias("found")).join(gated, "pair_id").filter("found = width")
-    )
-    perms = mapping_arrays(paired.join(whole.select("pair_id"), "pair_id", "left_semi"))
-    rows = result_rows(live.join(whole.select("pair_id"), "pair_id", "left_semi"))
+    gated = gated.select("pair_id", F.col("gold_cols").alias("width"))
+    rows = rows.join(gated.select("pair_id"), "pair_id", "left_semi")
+
+    prints = stage(both_prints(rows), "prints")
+    paired = paired_by_rank(prints.withColumn("fp", F.col("list_fp")) if ordered else prints)
+    perms = mapping_arrays(paired).join(gated, "pair_id").filter(F.size("perm") == F.col("width")).drop("width")
 
     if not ordered:
         loose = (
@@ -120,14 +114,14 @@ def result_eq(cells: DataFrame, pairs: DataFrame, ordered: bool = False, beam: i
             .groupBy("pair_id", "fp")
             .agg(F.min("list_fp").alias("lo"), F.max("list_fp").alias("hi"))
             .filter("lo <> hi")
+            .join(perms, "pair_id", "left_semi")
             .select("pair_id")
             .distinct()
         )
-        loose = stage(loose.join(whole.select("pair_id"), "pair_id", "left_semi"), "loose")
         if not loose.isEmpty():
-            rows = stage(rows, "rows")
+            loose = stage(loose, "loose")
             found = search_permutations(
-                rows.join(loose, "pair_id", "left_semi"),
+                stage(rows.join(loose, "pair_id", "left_semi"), "rows"),
                 prints.join(loose, "pair_id", "left_semi"),
                 gated.join(loose, "pair_id", "left_semi"),
                 beam,

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from querylight.functions.strings import jaro_winkler
-from querylight.operators.cells import result_rows
+from querylight.operators.cells import as_rows
 from querylight.operators.match import bags_equal, side_bit
 from querylight.session import fan_out, stage
 
 
 def row_sets(cells: DataFrame) -> DataFrame:
     """Every row as its sorted set of values."""
-    return result_rows(cells).withColumn("vals", F.array_sort(F.array_distinct("vals")))
+    return as_rows(cells).withColumn("vals", F.array_sort(F.array_distinct("vals")))
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -34,8 +36,9 @@ def row_jaccard(cells: DataFrame) -> DataFrame:
 
 def sim_listview(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """`sim`: Jaccard of the (place, value) sets; two empty results give 1."""
+    each = as_rows(cells).select("pair_id", "side", "row_idx", F.explode("vals").alias("cell"))
     both = (
-        cells.groupBy("pair_id", "row_idx", "cell")
+        each.groupBy("pair_id", "row_idx", "cell")
         .agg(F.bit_or(side_bit()).alias("sides"))
         .groupBy("pair_id")
         .agg((F.count_if(F.col("sides") == 3) / F.count("*")).alias("sim"))
@@ -53,9 +56,10 @@ def df_sim_is_one(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     text = F.lower(F.concat_ws(" ", "gold_sql", "pred_sql"))
     marked = pairs.select("pair_id", F.contains(text, F.lit("order by")).alias("in_order"))
-    split = cells.join(marked, "pair_id")
+    split = as_rows(cells).join(marked, "pair_id")
     listed = (
         split.filter("in_order")
+        .select("pair_id", "side", "row_idx", F.explode("vals").alias("cell"))
         .groupBy("pair_id", "row_idx", "cell")
         .agg(F.bit_or(side_bit()).alias("sides"))
         .groupBy("pair_id")
@@ -70,13 +74,13 @@ def df_sim_is_one(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def align_score(cells: DataFrame, pairs: DataFrame, small: int = 64) -> DataFrame:
+def align_score(cells: DataFrame, pairs: DataFrame, small: int = 256) -> DataFrame:
     """`score`: frame similarity after greedy row alignment.
 
     The shorter side drives; its row i takes the most similar of the rows still open at places
     i and up (the first of equals), which swaps places with row i. The choice at i depends on all
     choices before it, so a pair is walked in order: results of at most `small` rows as one array
-    expression per pair, larger ones one place per round, each round a distributed search over the
+    per pair, larger ones one place per round, each round a distributed search over the
     open rows of all large pairs together. Both give the same score.
     """
     sets = stage(row_sets(cells), "sets")
@@ -109,24 +113,32 @@ def _align_small(sided: DataFrame) -> DataFrame:
         rows = F.collect_list(F.when(F.col("drives") == drives, F.struct("row_idx", "vals")))
         return F.transform(F.array_sort(rows), lambda r: r["vals"])
 
-    both = sided.groupBy("pair_id").agg(side(True).alias("short"), side(False).alias("long"))
-
-    def step(state: Column, i: Column) -> Column:
-        row = F.get("short", i)
-        ahead = F.slice(state["open"], i + 1, F.size(state["open"]))
-        ranked = F.transform(ahead, lambda r, k: F.struct(jaccard(row, r).alias("sim"), (-k).alias("near"), r.alias("r")))
-        best = F.array_max(F.transform(ranked, lambda c: F.struct(c["sim"], c["near"])))
-        j = i - best["near"]
-        taken, displaced = F.get(state["open"], j), F.get(state["open"], i)
-        swapped = F.transform(
-            state["open"], lambda r, k: F.when(k == i, taken).when(k == j, displaced).otherwise(r)
-        )
-        gained = F.size(F.array_intersect(row, taken))
-        return F.struct(swapped.alias("open"), (state["shared"] + gained).alias("shared"))
+    both = fan_out(sided.groupBy("pair_id").agg(side(True).alias("short"), side(False).alias("long")))
+
+    return both.select("pair_id", align_shared("short", "long").alias("shared"))
+
+
+@F.pandas_udf(LongType())
+def align_shared(short: pd.Series, long: pd.Series) -> pd.Series:
+    """Values shared by the two row lists after greedy alignment; the lists hold value sets."""
+    return pd.Series([_shared_after_swaps(s, o) for s, o in zip(short, long)], dtype="int64")
+
+
+def _shared_after_swaps(short: list, long: list) -> int:
+    open_rows = [frozenset(r) for r in long]
+    shared = 0
+    for i, row in enumerate(frozenset(r) for r in short):
+        # max keeps the first of equals
+        best = max(range(i, len(open_rows)), key=lambda j: _set_jaccard(row, open_rows[j]))
+        open_rows[i], open_rows[best] = open_rows[best], open_rows[i]
+        shared += len(row & open_rows[i])
+    return shared
+
 
-    start = F.struct(F.col("long").alias("open"), F.lit(0).alias("shared"))
-    places = F.filter(F.sequence(F.lit(0), F.size("short")), lambda i: i < F.size("short"))
-    return both.select("pair_id", F.aggregate(places, start, step)["shared"].cast("long").alias("shared"))
+def _set_jaccard(left: frozenset, right: frozenset) -> float:
+    both = len(left & right)
+    every = len(left) + len(right) - both
+    return both / every if every else 1.0
 
 
 def _align_large(sided: DataFrame, counts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querylight.operators.cells import as_rows
 from querylight.operators.frames import subset_match
 from querylight.operators.match import result_eq
 from querylight.operators.similarity import df_sim_is_one, text_similarity
@@ -19,9 +20,10 @@ METRICS = ["ex", "df_ex", "executable", "similarity"]
 def valid_gold(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """`valid`: the gold result has rows and no null cell."""
     clean = (
-        cells.filter("side = 'gold'")
+        as_rows(cells)
+        .filter("side = 'gold'")
         .groupBy("pair_id")
-        .agg((F.count_if(F.col("cell") == "null:") == 0).alias("valid"))
+        .agg((F.count_if(F.array_contains("vals", "null:")) == 0).alias("valid"))
     )
     return pairs.select("pair_id").join(clean, "pair_id", "left").na.fill(False, ["valid"])
 
@@ -30,7 +32,7 @@ def relational_verdicts(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """`execution_match`, `df_match`: -2 gold unusable, -1 prediction failed, else 1 or 0."""
     pairs = pairs.filter(F.col("sql_type").isin(RELATIONAL))
     valid = valid_gold(cells, pairs)
-    usable = pairs.join(valid.filter("valid"), "pair_id", "left_semi").filter("err is null")
+    usable = stage(pairs.join(valid.filter("valid"), "pair_id", "left_semi").filter("err is null"), "usable")
     compared = cells.join(usable.select("pair_id"), "pair_id", "left_semi")
     match = result_eq(compared, usable)
     subset = subset_match(compared, usable)
@@ -73,6 +75,7 @@ def graph_verdicts(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verdicts(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both verdict paths, with the similarity of the two query texts."""
+    cells = stage(as_rows(cells), "rows")
     relational = stage(relational_verdicts(cells, pairs), "relational")
     graph = stage(graph_verdicts(cells, pairs), "graph")
     return text_similarity(relational.unionByName(graph), "gold_sql", "pred_sql")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from querylight.operators.numbering import number_rows
 from querylight.session import fan_out, stage
@@ -84,12 +85,42 @@ def token_lists(lists: DataFrame, vocab: DataFrame, key: str, limit: int = MAX_L
     return _map_lists(lists, key, "ids", vocab.select("id", "token"), "tokens", "[UNK]", limit)
 
 
-def wordpiece(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def wordpiece(words: DataFrame, vocab: DataFrame, limit: int = MAX_LOCAL) -> DataFrame:
     """`(word, pieces)` for the distinct words: greedy longest match, `##` before inner pieces.
 
-    All substrings a piece may have are looked up in one join; the longest hit per start position
-    survives, and each word then walks from hit to hit. A word with a gap on its way, or of more
-    than 200 characters, becomes `[UNK]`.
+    A word with an unmatched rest, or of more than 200 characters, becomes `[UNK]`. A bounded
+    vocabulary is matched inside the row, a larger one by a join.
+    """
+    known = _local_map(vocab.select("token", "id"), limit)
+    if known is None:
+        return _wordpiece_joined(words, vocab)
+    shared = words.sparkSession.sparkContext.broadcast(frozenset(known))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def pieces_of(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda w: word_pieces(w, shared.value))
+
+    distinct = fan_out(words.select("word").distinct())
+    return distinct.select("word", pieces_of("word").alias("pieces"))
+
+
+def word_pieces(word: str, known: frozenset[str]) -> list[str]:
+    """The pieces of one word."""
+    pieces: list[str] = []
+    at = 0
+    while at < len(word) <= LONGEST_WORD:
+        mark = "##" if at else ""
+        end = next((e for e in range(len(word), at, -1) if mark + word[at:e] in known), None)
+        if end is None:
+            break
+        pieces.append(mark + word[at:end])
+        at = end
+    return pieces if at == len(word) else ["[UNK]"]
+
+
+def _wordpiece_joined(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """All substrings a piece may have are looked up in one join; the longest hit per start position
+    survives, and each word then walks from hit to hit.
     """
     longest = vocab.agg(F.max(F.length("token"))).first()[0] or 1
     distinct = stage(fan_out(words.select("word").distinct()), "words")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from querylight.operators import frames, match, similarity, verdicts
 from querylight.operators.cells import canonical_cells
-from querylight.plans.eval_inputs import EVAL_CTE, eval_inputs, eval_raw_cells
+from querylight.plans.eval_inputs import EVAL_CTE, eval_inputs, eval_pairs, eval_raw_cells
 from querylight.plans.registry import query, table
 from querylight.session import stage
 
@@ -208,7 +208,7 @@ def eval_df_sim_pair(spark, sf_dir):
     select pair_id, sql_type, round(jaro_winkler_similarity(gold_sql, pred_sql), 6) as similarity from pairs""",
 )
 def sim_jaro_winkler(spark, sf_dir):
-    _, pairs = eval_inputs(spark, sf_dir)
+    pairs = eval_pairs(spark, sf_dir)
     scored = similarity.text_similarity(pairs, "gold_sql", "pred_sql")
     return scored.select("pair_id", "sql_type", F.round("similarity", 6).alias("similarity"))
 

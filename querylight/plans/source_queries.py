@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querylight.operators.cells import shapes
+from querylight.operators.cells import result_rows, shapes
 from querylight.plans.example_inputs import EXAMPLE_CTE, examples
 from querylight.plans.registry import query, table
 from querylight.session import stage_path
@@ -126,7 +126,7 @@ def eval_run_pairs(spark, sf_dir):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     pairs = table(spark, sf_dir, "documents").selectExpr("doc_id as pair_id", f"{GOLD_SQL} as gold_sql", f"{PRED_SQL} as pred_sql")
     cases, cells, errors = run_pairs(spark, pairs, seconds=120)
-    shape = shapes(cells.withColumnRenamed("case_id", "pair_id")).withColumnRenamed("pair_id", "case_id")
+    shape = shapes(result_rows(cells.withColumnRenamed("case_id", "pair_id"))).withColumnRenamed("pair_id", "case_id")
     failed = errors.groupBy("case_id").agg(F.collect_set("side").alias("failed"))
 
     def side(name):
