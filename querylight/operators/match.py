@@ -90,7 +90,7 @@ def permuted(rows: DataFrame, perms: DataFrame) -> DataFrame:
     return joined.withColumn("vals", F.when(F.col("side") == "pred", moved).otherwise(F.col("vals"))).drop("perm")
 
 
-def result_eq(cells: DataFrame, pairs: DataFrame, ordered: bool = False, beam: int = 4) -> DataFrame:
+def result_eq(cells: DataFrame, pairs: DataFrame, ordered: bool = False, beam: int = 16) -> DataFrame:
     """`match`: some order of the predicted columns makes the two results equal.
 
     Unordered results compare as bags of rows, ordered ones as lists. Cheap counts and column
