@@ -126,7 +126,8 @@ def attach_predictions(rows: DataFrame, predictions: DataFrame) -> DataFrame:
 def sample_by_dialect(rows: DataFrame, caps: Mapping[str, int] | None, order: str = "id") -> DataFrame:
     """The first `cap` rows of each dialect in the map, with the dialect's place in the map; no map keeps all.
 
-    Rows are numbered in range chunks, so a dialect that holds most rows is not sorted in one task.
+    Only the keys are numbered, in range chunks, to find the last key each dialect keeps; whole rows
+    are then filtered where they lie. `order` is unique within a dialect.
     """
     if not caps:
         return rows.withColumn("part", F.lit(0))
@@ -138,5 +139,8 @@ def sample_by_dialect(rows: DataFrame, caps: Mapping[str, int] | None, order: st
         part = F.when(hit, i) if part is None else part.when(hit, i)
         cap = F.when(hit, n) if cap is None else cap.when(hit, n)
     wanted = rows.filter(F.col("sql_type").isin(*caps))
-    numbered = number_rows(wanted, ["sql_type"], [order], out="_at", below=max(caps.values()))
-    return numbered.filter(F.col("_at") < cap).withColumn("part", part).drop("_at")
+    numbered = number_rows(wanted.select("sql_type", order), ["sql_type"], [order], out="_at", below=max(caps.values()))
+    last = numbered.filter(F.col("_at") < cap).groupBy("sql_type").agg(F.max(order).alias("_last"))
+    # One row per dialect in the map, whatever the data.
+    kept = wanted.join(F.broadcast(last), "sql_type").filter(F.col(order) <= F.col("_last"))
+    return kept.withColumn("part", part).drop("_last")

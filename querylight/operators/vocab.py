@@ -38,7 +38,7 @@ def build_vocab(lists: DataFrame, size: int = 2000) -> DataFrame:
 
 
 # Up to this many entries a vocabulary travels to the tasks as a dictionary; beyond it is joined.
-MAX_LOCAL = 1_000_000
+MAX_LOCAL = 200_000
 
 
 def _local_map(rows: DataFrame, limit: int) -> dict | None:

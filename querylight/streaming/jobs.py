@@ -26,12 +26,20 @@ def interval_means(log: DataFrame, losses: list[str], interval: int, digits: int
 
 
 def window_means(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tumbling-window mean of `value` per event type, batch or streaming."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    """Tumbling-window mean of `value` per event type, batch or streaming.
+
+    Times without a zone are read as UTC, and window starts are given the same way.
+    """
+    here, utc = F.current_timezone(), F.lit("UTC")
+    ts = F.col("ts")
+    if dict(events.dtypes)["ts"] == "timestamp_ntz":
+        ts = F.convert_timezone(utc, here, ts).cast("timestamp")
+    timed = events.withColumn("ts", ts).withWatermark("ts", late)
     sums = timed.groupBy(F.window("ts", every), "event_type").agg(
         F.avg("value").alias("mean_value"), F.count("*").alias("n")
     )
-    return sums.select(F.col("window.start").alias("window_start"), "event_type", "mean_value", "n")
+    start = F.convert_timezone(here, utc, F.col("window.start").cast("timestamp_ntz"))
+    return sums.select(start.alias("window_start"), "event_type", "mean_value", "n")
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
