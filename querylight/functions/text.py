@@ -68,7 +68,8 @@ def basic_tokens(text: Column) -> Column:
 
 def pretokens(text: Column, single_digits: bool = False) -> Column:
     """Contractions, letter runs, digit runs (or single digits), symbol runs and blanks, in order."""
-    return F.regexp_extract_all(text, F.lit(PRETOKEN_DIGITS if single_digits else PRETOKEN), F.lit(0))
+    # The flag makes the blank class cover every Unicode blank.
+    return F.regexp_extract_all(text, F.lit("(?U)" + (PRETOKEN_DIGITS if single_digits else PRETOKEN)), F.lit(0))
 
 
 def paragraphs(text: Column) -> Column:

@@ -167,7 +167,29 @@ def eval_row_jaccard(spark, sf_dir):
     return similarity.row_jaccard(cells).withColumn("sim", F.round("sim", 6))
 
 
-@query("eval_align_score")
+# The walk over places carries the open rows of the longer side as a list of value sets.
+@query(
+    "eval_align_score",
+    f"""with recursive {EVAL_CTE},
+    sets as (select pair_id, side, row_idx, list(distinct cell) as vals from cells group by all),
+    lists as (
+      select pair_id, coalesce(list(vals order by row_idx) filter (side = 'gold'), []) as l,
+        coalesce(list(vals order by row_idx) filter (side = 'pred'), []) as r, sum(len(vals)) as total
+      from sets group by pair_id),
+    walk as (
+      select pair_id, 0 as i, case when len(l) > len(r) then r else l end as s,
+        case when len(l) > len(r) then l else r end as o, 0 as shared, total from lists
+      union all
+      select pair_id, i + 1, s, list_transform(range(len(o)), lambda k: case when k = i then o[j] when k = j - 1
+          then o[i + 1] else o[k + 1] end), shared + len(list_intersect(s[i + 1], o[j])), total
+      from (
+        select *, list_position(scores, list_max(scores)) + i as j from (
+          select *, list_transform(range(i, len(o)), lambda k: len(list_intersect(s[i + 1], o[k + 1]))
+            / len(list_distinct(list_concat(s[i + 1], o[k + 1])))) as scores
+          from walk where i < len(s)))),
+    scored as (select pair_id, arg_max(shared, i) / (any_value(total) - arg_max(shared, i)) as score from walk group by pair_id)
+    select pair_id, round(coalesce(score, 1.0), 6) as score from pairs left join scored using (pair_id)""",
+)
 def eval_align_score(spark, sf_dir):
     return similarity.align_score(*eval_inputs(spark, sf_dir)).withColumn("score", F.round("score", 6))
 

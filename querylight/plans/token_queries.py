@@ -169,15 +169,43 @@ def tok_pair_counts(spark, sf_dir):
     return vb.pair_counts(word_counts(spark, sf_dir))
 
 
-@query("tok_bpe")
+# In the oracle every symbol stands between two blanks, so a merge is one text replacement.
+@query(
+    "tok_bpe",
+    f"""with recursive words as (select unnest({split_sql("lower(text)")}) as word from documents),
+    counts as materialized (select word, count(*) as n from words group by word),
+    pairs as (select distinct word, n, substr(word, i, 1) as l, substr(word, i + 1, 1) as r
+              from (select word, n, unnest(range(1, length(word))) as i from counts)),
+    merges as materialized (select l, r, row_number() over (order by n desc, l, r) as rank
+      from (select l, r, sum(n) as n from pairs group by l, r order by n desc, l, r limit 200)),
+    walk as (
+      select word, ' ' || array_to_string(string_split(word, ''), '  ') || ' ' as s, 0 as step from counts
+      union all
+      select word, replace(s, ' ' || m[1] || '  ' || m[2] || ' ', ' ' || m[1] || m[2] || ' '), step + 1
+      from (select word, s, step, arg_min([l, r], rank) as m
+            from walk join merges on contains(s, ' ' || l || '  ' || r || ' ') group by word, s, step))
+    select word, replace(trim(arg_max(s, step)), '  ', ' ') as pieces from walk group by word""",
+)
 def tok_bpe(spark, sf_dir):
     counts = stage(word_counts(spark, sf_dir), "words")
     merges = vb.top_merges(vb.pair_counts(counts), 200)
     return vb.bpe(counts, merges).select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
-# The patterns look ahead, which DuckDB's regular expressions cannot do.
-@query("tok_pretoken")
+# DuckDB's expressions cannot look ahead, so the oracle first marks the place before the last blank
+# of a run that a word follows; nothing matches the mark.
+PLAIN_ORACLE = r"""regexp_extract_all(regexp_replace(text, '(\s+)(\s\S)', '\1¤\2', 'g'),
+    '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}¤]+|\s+')"""
+DIGIT_ORACLE = r"""regexp_extract_all(regexp_replace(text, '(\s+)([\t\f ]\S)', '\1¤\2', 'g'),
+    '(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\r\n\p{L}\p{N}¤]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}¤]+[\r\n]*|\s*[\r\n]+|\s+')"""
+
+
+@query(
+    "tok_pretoken",
+    f"""with lists as (select doc_id, 'plain' as style, {PLAIN_ORACLE} as l from documents
+      union all select doc_id, 'digits', {DIGIT_ORACLE} from documents)
+    select doc_id, style, len(l) as n, array_to_string(l, '¦') as tokens from lists""",
+)
 def tok_pretoken(spark, sf_dir):
     docs = spread(documents(spark, sf_dir))
     both = F.array(
