@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_written: list[str] = []
 
 
 def local_session(cores: int | str = "*", app: str = "querylight") -> SparkSession:
@@ -39,7 +40,19 @@ def stage_root(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the stage root."""
-    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the staged tables of this process; call it once the results built on them are written."""
+    conf = spark._jsc.hadoopConfiguration()
+    count = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

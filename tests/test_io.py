@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from querylight.session import stage, stage_path, stage_root
+from querylight.session import drop_stages, stage, stage_path, stage_root
 from querylight.sources import files, runner
 from querylight.streaming import jobs
 
@@ -13,6 +13,14 @@ def test_stage_uses_the_configured_folder(spark, tmp_path):
     assert all(stage_root(spark) in f for f in staged.inputFiles()) and staged.count() == 5
 
 
+def test_drop_stages_removes_only_what_was_staged(spark):
+    kept = stage_root(spark)
+    path = stage(spark.range(3)).inputFiles()[0]
+    assert drop_stages(spark) >= 1 and stage_root(spark) == kept
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_json_array_files(spark):
     path = stage_path(spark, "t")
     files.write_json_arrays(spark.range(25).withColumn("t", F.lit("é\n\"x\"")), path, "id", per_file=10)
