@@ -41,6 +41,34 @@ def test_result_eq_symmetric_tables(spark):
     assert got == {p: brute_equal(g, q, False) for p, (g, q) in given.items()} == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_one_pair_with_most_of_the_rows(spark):
+    """A large result beside many small ones: equal but for column and row order, then with one cell changed."""
+    n = 20000
+    ids = spark.range(n)
+    text = F.concat(F.lit("str:"), (F.col("id") % 7).cast("string"))
+    number = F.concat(F.lit("num:"), F.col("id").cast("double").cast("string"))
+
+    def side(pair, name, place, columns):
+        cells = F.posexplode(F.array(*columns)).alias("col_idx", "cell")
+        return ids.select(F.lit(pair).cast("long").alias("pair_id"), F.lit(name).alias("side"), place.alias("row_idx"), cells)
+
+    changed = F.when(F.col("id") == 77, F.lit("num:0.5")).otherwise(number)
+    parts = [
+        side(1, "gold", F.col("id"), [text, number]), side(1, "pred", n - 1 - F.col("id"), [number, text]),
+        side(2, "gold", F.col("id"), [text, number]), side(2, "pred", F.col("id"), [changed, text]),
+    ]
+    cells, pairs = cells_frame(spark, {p: ([("str:a",)], [("str:a",)]) for p in range(3, 50)})
+    for part in parts:
+        cells = cells.unionByName(part)
+    pairs = pairs.union(spark.createDataFrame([(1,), (2,)], "pair_id long"))
+    assert [p for p, ok in verdict_map(match.result_eq(cells, pairs), "match").items() if not ok] == [2]
+    in_order = verdict_map(match.result_eq(cells, pairs, ordered=True), "match")
+    assert sorted(p for p, ok in in_order.items() if not ok) == [1, 2]
+    subset = verdict_map(frames.subset_match(cells, pairs, ordered=True), "subset")
+    assert sorted(p for p, ok in subset.items() if not ok) == [1, 2]
+    assert verdict_map(frames.subset_match(cells, pairs), "subset")[1] is True
+
+
 def test_bag_and_quick_reject(spark):
     a, b = ("str:a", "str:b"), ("str:b", "str:a")
     given = {1: ([a, b], [b, a]), 2: ([a, a], [a]), 3: ([a], [b]), 4: ([], []), 5: ([a], [])}
