@@ -45,6 +45,13 @@ def melt(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return rows.select(*keys, F.explode(F.array(*cell)).alias("c")).select(*keys, "c.*")
 
 
+def row_form(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Wide rows straight to the row form `(keys, vals)`: nothing is exploded or shuffled."""
+    kinds = dict(rows.dtypes)
+    vals = F.array(*[canonical_cell(F.lit(kinds[c]), F.col(f"`{c}`").cast("string")) for c in columns])
+    return rows.select(*keys, vals.alias("vals"))
+
+
 def result_rows(cells: DataFrame) -> DataFrame:
     """One row per result row with its cells in column order; an array is as wide as the result."""
     pairs = F.array_sort(F.collect_list(F.struct("col_idx", "cell")))

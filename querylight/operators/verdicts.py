@@ -75,7 +75,7 @@ def graph_verdicts(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verdicts(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both verdict paths, with the similarity of the two query texts."""
-    cells = stage(as_rows(cells), "rows")
+    cells = cells if "vals" in cells.columns else stage(as_rows(cells), "rows")
     relational = stage(relational_verdicts(cells, pairs), "relational")
     graph = stage(graph_verdicts(cells, pairs), "graph")
     return text_similarity(relational.unionByName(graph), "gold_sql", "pred_sql")

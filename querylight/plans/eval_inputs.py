@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylight.operators.cells import canonical_cells, melt
+from querylight.operators.cells import melt, row_form
 from querylight.operators.numbering import number_rows
 from querylight.plans.registry import table
 from querylight.session import stage
@@ -79,8 +79,8 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.selectExpr("pair_id", *PAIR_SELECT)
 
 
-def eval_raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw cells of both sides; predicted prices arrive as doubles, gold ones as integers."""
+def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of both sides in columns c0 to c4; c4 counts only where `has_extra` holds."""
     orders = table(spark, sf_dir, "orders").filter("o_custkey % 13 <> 0")
     gold = number_rows(
         orders.selectExpr(
@@ -110,7 +110,7 @@ def eval_raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     swap = is_pred & (kind == 1)
     bump = F.when(is_pred & (kind == 4) & (idx == 0), 1).otherwise(0)
     price = F.col("c2") + bump
-    shaped = rows.select(
+    return rows.select(
         "pair_id",
         "side",
         F.col("place").alias("row_idx"),
@@ -119,9 +119,18 @@ def eval_raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         price.alias("c2"),
         "c3",
         F.col("place").alias("c4"),
+        (is_pred & (kind == 5)).alias("has_extra"),
     )
-    raw = melt(shaped, ["pair_id", "side", "row_idx"], ["c0", "c1", "c2", "c3", "c4"])
-    raw = raw.filter((F.col("col_idx") < 4) | ((F.col("side") == "pred") & (F.col("pair_id") % 8 == 5)))
+
+
+KEYS = ["pair_id", "side", "row_idx"]
+COLUMNS = ["c0", "c1", "c2", "c3", "c4"]
+
+
+def eval_raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw cells of both sides; predicted prices arrive as doubles, gold ones as integers."""
+    raw = melt(wide_rows(spark, sf_dir), [*KEYS, "has_extra"], COLUMNS)
+    raw = raw.filter((F.col("col_idx") < 4) | F.col("has_extra")).drop("has_extra")
     double_price = (F.col("side") == "pred") & (F.col("col_idx") == 2)
     return raw.withColumn("kind", F.when(double_price, "double").otherwise(F.col("kind"))).withColumn(
         "raw", F.when(double_price, F.concat("raw", F.lit(".0"))).otherwise(F.col("raw"))
@@ -129,6 +138,7 @@ def eval_raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The canonical cells and the pairs, both written once."""
-    cells = stage(canonical_cells(eval_raw_cells(spark, sf_dir)), "cells")
-    return cells, stage(eval_pairs(spark, sf_dir), "pairs")
+    """The result rows of both sides and the pairs, both written once."""
+    rows = row_form(wide_rows(spark, sf_dir), [*KEYS, "has_extra"], COLUMNS)
+    vals = F.when(F.col("has_extra"), F.col("vals")).otherwise(F.slice("vals", 1, 4))
+    return stage(rows.select(*KEYS, vals.alias("vals")), "rows"), stage(eval_pairs(spark, sf_dir), "pairs")
