@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from querylight.llm import (  # noqa: F401
     decontaminate,
+    line_templates,
     packing,
 )
 from querylight.llm.registry import ORACLES, QUERIES
