@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from querylight.llm import (  # noqa: F401
+    dart_minhash,
     decontaminate,
     line_templates,
     packing,
