@@ -8,6 +8,7 @@ from querylight.llm import (  # noqa: F401
     language_id,
     line_templates,
     packing,
+    url_reputation,
 )
 from querylight.llm.registry import ORACLES, QUERIES
 
