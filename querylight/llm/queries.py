@@ -9,6 +9,7 @@ from querylight.llm import (  # noqa: F401
     line_templates,
     packing,
     url_reputation,
+    warc,
 )
 from querylight.llm.registry import ORACLES, QUERIES
 
