@@ -7,6 +7,7 @@ from querylight.llm import (  # noqa: F401
     decontaminate,
     language_id,
     line_templates,
+    lm_score,
     packing,
     repeat_index,
     simhash,
