@@ -32,7 +32,8 @@ from querylight.llm.registry import query, table
 ORDER = 5
 SAMPLE_ROWS = 1000  # labelled documents per language for the models, and as many for the bounds
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
-LEAST_Z, SLACK = 6.0, 1.6  # a rejected text lies beyond both
+LEAST_Z, SLACK = 6.0, 2.0  # a rejected text lies beyond both
+BATCH_BYTES = 4 << 20  # text judged at once
 START, END = 2, 3
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,29 +108,32 @@ class CharModels:
             grams = gram_hashes(signs, order)
             for m in range(order):
                 at = np.flatnonzero(behind >= m)
-                context = grams[m - 1][at - 1] if m else np.zeros(len(at), dtype=np.uint64)
-                suffix = grams[m - 1][at] if m else np.zeros(len(at), dtype=np.uint64)
-                # The one sign more on the left; a gram at a word's start has none and counts its occurrences.
-                left = grams[m + 1][at] if m + 1 < order else grams[m][at]
+                gram, one, which = np.unique(grams[m][at], return_index=True, return_inverse=True)
+                context = grams[m - 1][at[one] - 1] if m else None
+                suffix = grams[m - 1][at[one]] if m else None
+                # Lower orders count the signs on the left; a gram at a word's start has none and counts its
+                # occurrences, and the start sign itself is never predicted.
                 raw = (behind[at] == m) | (m + 1 == order)
-                w = np.where((behind[at] == 0), 0.0, weight[at])  # the start sign is never predicted
-                seen[m].append((grams[m][at], context, suffix, left, raw, w))
+                w = np.where(behind[at] == 0, 0.0, weight[at])
+                own = np.bincount(which[raw], weights=w[raw], minlength=len(gram))
+                if not raw.all():
+                    other = np.flatnonzero(~raw & (w > 0))
+                    _, kinds = np.unique(grams[m + 1][at[other]], return_index=True)
+                    own += np.bincount(which[other[kinds]], minlength=len(gram))
+                seen[m].append((gram, context, suffix, own))
         keys, prob, back, floor = [], [], [], None
         for m in range(order):
             union = np.unique(np.concatenate([s[0] for s in seen[m]])) if langs else np.zeros(0, np.uint64)
             p = np.zeros((len(union), len(langs)))
             context_at = suffix_at = None
-            for lang, (gram, context, suffix, left, raw, w) in enumerate(seen[m]):
+            for lang, (gram, context, suffix, own) in enumerate(seen[m]):
                 at = np.searchsorted(union, gram)
                 if m:
                     if context_at is None:
                         context_at, suffix_at = np.zeros(len(union), np.int64), np.zeros(len(union), np.int64)
                     context_at[at], suffix_at[at] = np.searchsorted(keys[-1], context), np.searchsorted(keys[-1], suffix)
-                counts = np.bincount(at[raw], weights=w[raw], minlength=len(union))
-                if not raw.all():
-                    other = ~raw & (w > 0)
-                    _, one = np.unique(left[other], return_index=True)
-                    counts += np.bincount(at[other][one], minlength=len(union))
+                counts = np.zeros(len(union))
+                counts[at] = own
                 once, twice = (counts == 1).sum(), (counts == 2).sum()
                 discount = np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9)
                 where = context_at if m else np.zeros(len(union), np.int64)
@@ -137,9 +141,9 @@ class CharModels:
                 total = np.bincount(where, weights=counts, minlength=size)
                 kinds = np.bincount(where, weights=counts > 0, minlength=size)
                 give = np.where(total > 0, discount * kinds / np.maximum(total, 1e-9), 1.0)
-                own = np.maximum(counts - discount, 0) / np.maximum(total, 1e-9)[where]
+                seen_share = np.maximum(counts - discount, 0) / np.maximum(total, 1e-9)[where]
                 lower = prob[-1][suffix_at, lang] if m else 1.0 / (len(alphabet) + 1)
-                p[:, lang] = own + give[where] * lower
+                p[:, lang] = seen_share + give[where] * lower
                 if m:
                     back[-1][:, lang] = np.log(give)
                 else:
@@ -225,6 +229,19 @@ class CharModels:
         self.limit = max(LEAST_Z, 1.5 * float(np.quantile(far, 0.999)))
 
 
+def small_batches(batch: pa.RecordBatch, text_col: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `size` bytes of text, a row at least."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).cast(pa.int64())).to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+    if not batch.num_rows:
+        yield batch
+
+
 def sampled(labelled: DataFrame, rows: int) -> DataFrame:
     """About `rows` documents of each language at most, by hash of id and text."""
     counts = labelled.groupBy("lang").agg(F.count("*").alias("of"))
@@ -237,7 +254,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     """(lang, word, n) of labelled texts."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_batches(whole, "text")):
             lists, _ = letter_words(batch.column("text"))
             parents = pc.list_parent_indices(lists)
             pairs = pa.table({"lang": batch.column("lang").take(parents), "word": lists.flatten().cast(pa.string())})
@@ -277,7 +294,7 @@ def judge_texts(docs: DataFrame, text_col: str, models: CharModels) -> DataFrame
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_batches(whole, text_col)):
             out = shared.value.judge(batch.column(text_col))
             arrays = [pa.array(out["lang"], pa.string()), *[pa.array(out[c]) for c in ("score", "cross_entropy", "signs", "rejected")]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
