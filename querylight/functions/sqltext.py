@@ -36,8 +36,8 @@ def terminate(sql: Column) -> Column:
 
 
 def identifiers(sql: Column) -> Column:
-    """Distinct identifier-like words, lower-cased."""
-    words = F.regexp_extract_all(sql, F.lit(r"[A-Za-z_]\w*"), F.lit(0))
+    """Distinct identifier-like words of any script, lower-cased."""
+    words = F.regexp_extract_all(sql, F.lit(r"(?U)[\p{L}_]\w*"), F.lit(0))
     return F.array_distinct(F.transform(words, F.lower))
 
 

@@ -44,8 +44,8 @@ def _jaro_winkler(a: str | None, b: str | None) -> float | None:
 
 
 def strip_blank(text: Column) -> Column:
-    """Strip blanks, tabs and line ends on both sides."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Strip blanks of every kind and line ends on both sides."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def quoted_value(value: Column) -> Column:

@@ -54,7 +54,7 @@ def space_punctuation(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Split at blanks; an empty text has no words."""
-    return F.filter(F.split(strip_blank(text), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(strip_blank(text), r"(?U)\s+"), lambda w: w != "")
 
 
 def basic_text(text: Column) -> Column:

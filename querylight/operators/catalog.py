@@ -98,9 +98,9 @@ def block(header: Column, body: Column) -> Column:
 
 
 def schema_text(cols: DataFrame, fks: DataFrame) -> DataFrame:
-    """Plain schema text: one `(column:type)` line per column, keys as `a.x=b.y`."""
+    """Plain schema text: one `(column:type)` line per column, keys as `a.x=b.y`. A null type is an empty text."""
     lines = cols.select(
-        "db_id", "tab_idx", "tab", "col_idx", F.concat(F.lit("  ("), "col", F.lit(":"), "type", F.lit("),")).alias("line")
+        "db_id", "tab_idx", "tab", "col_idx", F.concat(F.lit("  ("), "col", F.lit(":"), F.coalesce("type", F.lit("")), F.lit("),")).alias("line")
     )
     keys = fks.withColumn("fk_line", F.concat("t1", F.lit("."), "c1", F.lit("="), "t2", F.lit("."), "c2"))
     text = F.concat(block(F.col("tab"), F.array_join("lines", "\n")), F.lit("\n"))
@@ -149,7 +149,7 @@ def schema_text_rich(cols: DataFrame, fks: DataFrame, enums: DataFrame, seed: st
     )
     known = cols.join(named, key, "left").join(value_examples(enums, seed), key, "left")
     typed = F.coalesce(F.concat(F.lit(":"), "type", F.lit(",")), F.lit(","))
-    enum_note = F.when(F.col("all_named") == F.lit(False), F.concat(F.lit(", "), "enum_desc")).otherwise("")
+    enum_note = F.coalesce(F.when(F.col("all_named") == F.lit(False), F.concat(F.lit(", "), "enum_desc")), F.lit(""))
     described = F.coalesce(F.concat(F.lit(" "), "description", enum_note, F.lit(".")), F.lit(""))
     shown = F.coalesce(F.concat(F.lit(" " + EXAMPLES_MARK), "examples", F.lit(".")), F.lit(""))
     line = F.concat(F.lit("  ("), "col", typed, described, shown, F.lit(")"))

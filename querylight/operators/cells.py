@@ -9,20 +9,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "decimal")
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+FLOATING = ("float", "double")
+
+
+def _plain(decimal: Column) -> Column:
+    """Plain digits of a decimal text: no zeros at the end but one behind the point."""
+    pointed = F.when(F.contains(decimal, F.lit(".")), decimal).otherwise(F.concat(decimal, F.lit(".0")))
+    short = F.regexp_replace(F.regexp_replace(pointed, "0+$", ""), r"\.$", ".0")
+    return F.when(short == "-0.0", "0.0").otherwise(short)
+
+
+def number_text(kind: Column, raw: Column) -> Column:
+    """Exact plain text of a number or boolean, the same for equal values of any numeric type; null for other values."""
+    value = raw.try_cast("double")
+    size = F.abs(value)
+    whole = (value == F.floor(value)) & (size < 1e37)
+    small = _plain(value.try_cast("decimal(38,30)").cast("string"))
+    floating = (
+        F.when(whole, F.concat(value.try_cast("decimal(38,0)").cast("string"), F.lit(".0")))
+        .when((size < 1e-3) & (small != "0.0"), small)
+        .when((size >= 1e7) & (size < 1e20), _plain(value.try_cast("decimal(38,15)").cast("string")))
+        .otherwise(value.cast("string"))
+    )
+    scaled = F.when(F.contains(raw, F.lit("E")), raw.try_cast("decimal(38,30)").cast("string")).otherwise(raw)
+    return (
+        F.when(kind == "boolean", F.when(F.lower(raw) == "true", "1.0").when(F.lower(raw) == "false", "0.0"))
+        .when(kind.isin(*WHOLE), F.concat(raw, F.lit(".0")))
+        .when(kind == "decimal", _plain(scaled))
+        .when(kind.isin(*FLOATING), floating)
+    )
 
 
 def canonical_cell(kind: Column, raw: Column) -> Column:
-    """Canonical text of one value: numbers and booleans compare as doubles, strings stay strings."""
-    number = (
-        F.when(F.lower(raw) == "true", F.lit(1.0))
-        .when(F.lower(raw) == "false", F.lit(0.0))
-        .otherwise(raw.try_cast("double"))
-    )
-    is_number = F.regexp_extract(F.lower(kind), "^[a-z]+", 0).isin(*NUMERIC)
+    """Canonical text of one value: numbers and booleans by their exact value, strings stay strings."""
+    number = number_text(F.regexp_extract(F.lower(kind), "^[a-z]+", 0), raw)
     return (
         F.when(raw.isNull(), F.lit("null:"))
-        .when(is_number & number.isNotNull(), F.concat(F.lit("num:"), (number + 0.0).cast("string")))
+        .when(number.isNotNull(), F.concat(F.lit("num:"), number))
         .when(F.lower(kind).isin("string", "text", "varchar"), F.concat(F.lit("str:"), raw))
         .otherwise(F.concat(F.lit("other:"), raw))
     )

@@ -34,12 +34,16 @@ def normalize(cells: DataFrame, ordered_pairs: Column) -> DataFrame:
     )
 
 
-def rounded(vals: Column, digits: int = 5) -> Column:
-    """Numbers rounded, so that values within float tolerance share one join key."""
+def rounded(vals: Column, digits: int = 6) -> Column:
+    """Numbers rounded to significant digits, so that values within float tolerance share one join key."""
 
     def tidy(cell: Column) -> Column:
-        number = F.round(F.substr(cell, F.lit(5)).try_cast("double"), digits) + 0.0
-        return F.when(cell.startswith("num:"), F.concat(F.lit("num:"), number.cast("string"))).otherwise(cell)
+        number = F.substr(cell, F.lit(5)).try_cast("double")
+        shift = digits - 1 - F.floor(F.log10(F.abs(number)))
+        up, down = F.pow(F.lit(10.0), shift), F.pow(F.lit(10.0), -shift)
+        near = F.when(shift >= 0, F.rint(number * up) / up).otherwise(F.rint(number / down) * down)
+        key = F.concat(F.lit("num:"), (F.coalesce(near, number) + 0.0).cast("string"))
+        return F.when(cell.startswith("num:"), key).otherwise(cell)
 
     return F.transform(vals, tidy)
 

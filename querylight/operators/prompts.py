@@ -152,14 +152,15 @@ def orphans(examples: DataFrame, schemas: DataFrame) -> DataFrame:
 def render(examples: DataFrame) -> DataFrame:
     """Add `prompt`, with the dialect in lower case; a rewrite wins over the question.
 
-    Fields go between the literal parts of the template, so braces in the data stay as they are.
+    Fields go between the literal parts of the template, so braces in the data stay as they are; a
+    null field is an empty text.
     """
     question = F.coalesce(F.nullif(F.col("rewrite"), F.lit("")), F.col("question"))
     fields = {
-        "question": question,
-        "db_schema": strip_blank(F.col("db_schema")),
-        "evidence": F.col("evidence"),
-        "sql": F.col("sql"),
+        "question": F.coalesce(question, F.lit("")),
+        "db_schema": F.coalesce(strip_blank(F.col("db_schema")), F.lit("")),
+        "evidence": F.coalesce("evidence", F.lit("")),
+        "sql": F.coalesce("sql", F.lit("")),
         "qnum": F.coalesce(F.col("qnum").cast("string"), F.lit("")),
         "instructions": F.lit(""),
         "create_table_statements": F.lit(""),
@@ -206,10 +207,14 @@ def first_only(messages: Column) -> Column:
 
 
 def chat_text(messages: Column, generation_prompt: bool = False) -> Column:
-    """Messages in chat markup; a default system message leads unless the first turn is one."""
+    """Messages in chat markup; a default system message leads unless the first turn is one. A null
+    role or content is an empty text."""
+    empty = F.lit("")
     turns = F.transform(
         messages,
-        lambda m: F.concat(F.lit(TURN_START), m["role"], F.lit("\n"), m["content"], F.lit(TURN_END)),
+        lambda m: F.concat(
+            F.lit(TURN_START), F.coalesce(m["role"], empty), F.lit("\n"), F.coalesce(m["content"], empty), F.lit(TURN_END)
+        ),
     )
     lead = F.when(F.get(messages, F.lit(0))["role"] == "system", "").otherwise(DEFAULT_SYSTEM)
     tail = GENERATION_PROMPT if generation_prompt else ""

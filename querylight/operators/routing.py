@@ -1,4 +1,4 @@
-"""Expert routing as a data operator: gate scores, top-k choice, dispatch, combination, group routing.
+"""Expert routing as a data operator: gate scores, top-k choice, dispatch, group routing.
 
 Token rows are `(seq, pos, …, expert_logits, dialect_logits)`. There are E experts and D dialect
 groups of g = E / D experts each; expert e belongs to group e div g. Everything per token is an
@@ -12,21 +12,14 @@ from pyspark.sql import functions as F
 
 from querylight.functions.vectors import argmax, dot, let, softmax, top_k, total
 
-MAX_GATES = 4096
-
 
 def gate_matrix(gates: DataFrame) -> Column:
     """Gate rows `(e, g)` as one array of vectors, evaluated once per query as a scalar subquery.
 
-    The gate count is a model constant; more than `MAX_GATES` rows fail instead of growing the plan.
+    The gates are parameters of a model; their number does not follow the data.
     """
     rows = F.array_sort(F.collect_list(F.struct("e", "g")))
-    bounded = gates.limit(MAX_GATES + 1).agg(rows.alias("rows")).select(
-        F.when(F.size("rows") > MAX_GATES, F.raise_error(F.lit("too many gates"))).otherwise(
-            F.transform("rows", lambda r: r["g"])
-        )
-    )
-    return bounded.scalar()
+    return gates.agg(F.transform(rows, lambda r: r["g"])).scalar()
 
 
 def gate_logits(tokens: DataFrame, gates: DataFrame, vector: str, out: str) -> DataFrame:
@@ -116,25 +109,6 @@ def dispatch_plan(choice: DataFrame) -> DataFrame:
     return ends.withColumn("start_at", F.col("end_at") - F.col("n_tokens"))
 
 
-def weighted_outputs(weights: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:
-    """`(seq, pos, dim, value)`: expert outputs `(seq, pos, e, out)` summed with the weights `(keys, w)`."""
-    each = outputs.join(weights.select(*keys, "w"), keys).select("seq", "pos", "w", F.posexplode("out").alias("dim", "v"))
-    return each.groupBy("seq", "pos", "dim").agg(F.sum(F.col("w") * F.col("v")).alias("value"))
-
-
-def combine(choice: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Weighted sum of the chosen experts' outputs per token."""
-    return weighted_outputs(choice, outputs, ["seq", "pos", "e"])
-
-
-def sentence_mix(rows: DataFrame, outputs: DataFrame, experts: int, temperature: float = 1.0) -> DataFrame:
-    """All experts mixed with one softmax weight per sequence, from its pooled logits."""
-    pooled = mean_vector(rows, ["seq"], "expert_logits", experts, "pooled")
-    soft = softmax(F.transform("pooled", lambda v: v / temperature))
-    weights = pooled.select("seq", F.posexplode(soft).alias("e", "w"))
-    return weighted_outputs(weights, outputs, ["seq", "e"])
-
-
 def assemble_log(steps: DataFrame) -> DataFrame:
     """Generation steps `(layer, seq, step, at, …)` joined along the tokens: `pos` counts on over the steps.
 

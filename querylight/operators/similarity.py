@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType
 from querylight.functions.strings import jaro_winkler
 from querylight.operators.cells import as_rows
 from querylight.operators.match import bags_equal, side_bit
+from querylight.operators.numbering import number_rows
 from querylight.session import fan_out, stage
 
 
@@ -83,7 +84,9 @@ def align_score(cells: DataFrame, pairs: DataFrame, small: int = 256) -> DataFra
     per pair, larger ones one place per round, each round a distributed search over the
     open rows of all large pairs together. Both give the same score.
     """
-    sets = stage(row_sets(cells), "sets")
+    # Places are ranks from 0, whatever numbers the rows came with.
+    placed = number_rows(row_sets(cells), ["pair_id", "side"], ["row_idx"], out="place")
+    sets = stage(placed.withColumn("row_idx", F.col("place").cast("long")).drop("place"), "sets")
     counts = sets.groupBy("pair_id").agg(
         F.count_if(F.col("side") == "gold").alias("gold_n"),
         F.count_if(F.col("side") == "pred").alias("pred_n"),

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from querylight.operators.numbering import number_rows
 from querylight.session import fan_out, stage
@@ -37,85 +36,52 @@ def build_vocab(lists: DataFrame, size: int = 2000) -> DataFrame:
     return number_rows(listed, [], ["part", "rank", "token"], out="id").select("id", "token")
 
 
-# Up to this many entries a vocabulary travels to the tasks as a dictionary; beyond it is joined.
-MAX_LOCAL = 200_000
-
-
-def _local_map(rows: DataFrame, limit: int) -> dict | None:
-    """A two-column table as a dictionary when it has at most `limit` rows."""
-    listed = rows.limit(limit + 1).collect()
-    return dict((r[0], r[1]) for r in listed) if len(listed) <= limit else None
-
-
-def _map_lists(lists: DataFrame, key: str, column: str, pairs: DataFrame, out: str, fallback, limit: int) -> DataFrame:
+def _map_lists(lists: DataFrame, key: str, column: str, pairs: DataFrame, out: str, fallback) -> DataFrame:
     """`(key, out)`: every element of an array column looked up in `pairs`.
 
-    A bounded table is looked up inside the row, so no token is shuffled; a larger one is joined
-    and the lists are put together again.
+    The elements of all lists join the table, which Spark sends to the tasks when it is small, and the
+    lists are put together again. A null list stays null, an empty one empty; a repeated entry of the
+    table counts once, with its smallest value.
     """
     old, new = pairs.columns
     kind = dict(pairs.dtypes)[new]
-    known = _local_map(pairs, limit)
-    if known is None:
-        each = lists.select(key, F.posexplode(column).alias("pos", old))
-        named = each.join(pairs, old, "left").withColumn(new, F.coalesce(F.col(new), F.lit(fallback).cast(kind)))
-        ordered = F.array_sort(F.collect_list(F.struct("pos", new)))
-        joined = named.groupBy(key).agg(F.transform(ordered, lambda x: x[new]).alias(out))
-        return lists.select(key).join(joined, key, "left").withColumn(
-            out, F.coalesce(out, F.array().cast(f"array<{kind}>"))
-        )
-    shared = lists.sparkSession.sparkContext.broadcast(known)
-
-    @F.pandas_udf(f"array<{kind}>")
-    def look_up(values: pd.Series) -> pd.Series:
-        table = shared.value
-        return values.map(lambda l: [table.get(t, fallback) for t in l], na_action="ignore")
-
-    return lists.select(key, look_up(F.col(column)).alias(out))
-
-
-def id_lists(lists: DataFrame, vocab: DataFrame, key: str, unknown: str | int = "[UNK]", limit: int = MAX_LOCAL) -> DataFrame:
-    """`(key, ids)` for token lists `(key, tokens)`; unknown tokens get the id of `[UNK]`, or a given number."""
+    entries = pairs.groupBy(old).agg(F.min(new).alias(new))
+    each = lists.select(key, F.posexplode(column).alias("pos", old))
+    named = each.join(entries, old, "left").withColumn(new, F.coalesce(F.col(new), F.lit(fallback).cast(kind)))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", new)))
+    joined = named.groupBy(key).agg(F.transform(ordered, lambda x: x[new]).alias(out))
+    empty = F.when(F.col(column).isNotNull(), F.array().cast(f"array<{kind}>"))
+    return lists.join(joined, key, "left").select(key, F.coalesce(out, empty).alias(out))
+
+
+def id_lists(
+    lists: DataFrame, vocab: DataFrame, key: str, unknown: str | int = "[UNK]", specials: list[str] | None = None
+) -> DataFrame:
+    """`(key, ids)` for token lists `(key, tokens)`; unknown tokens get the id of `[UNK]`, or a given number.
+
+    Extra special tokens are numbered on behind the vocabulary, in the order given.
+    """
     fallback = unknown if isinstance(unknown, int) else SPECIALS.index(unknown)
-    return _map_lists(lists, key, "tokens", vocab.select("token", "id"), "ids", fallback, limit)
+    known = vocab.select("token", "id")
+    if specials:
+        listed = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(i).alias("i")) for i, t in enumerate(specials)])
+        after = vocab.agg((F.max("id") + 1).alias("first")).select("first", F.explode(listed).alias("s"))
+        known = known.unionByName(after.select("s.token", (F.col("first") + F.col("s.i")).alias("id")))
+    return _map_lists(lists, key, "tokens", known, "ids", fallback)
 
 
-def token_lists(lists: DataFrame, vocab: DataFrame, key: str, limit: int = MAX_LOCAL) -> DataFrame:
+def token_lists(lists: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """`(key, tokens)` for id lists `(key, ids)`: the way back through the inverse vocabulary."""
-    return _map_lists(lists, key, "ids", vocab.select("id", "token"), "tokens", "[UNK]", limit)
+    return _map_lists(lists, key, "ids", vocab.select("id", "token"), "tokens", "[UNK]")
 
 
-def wordpiece(words: DataFrame, vocab: DataFrame, limit: int = MAX_LOCAL) -> DataFrame:
+def wordpiece(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """`(word, pieces)` for the distinct words: greedy longest match, `##` before inner pieces.
 
-    A word with an unmatched rest, or of more than 200 characters, becomes `[UNK]`. A bounded
-    vocabulary is matched inside the row, a larger one by a join.
+    A word with an unmatched rest, or of more than 200 characters, becomes `[UNK]`. Only the substrings
+    of distinct words that are no longer than the longest entry meet the vocabulary.
     """
-    known = _local_map(vocab.select("token", "id"), limit)
-    if known is None:
-        return _wordpiece_joined(words, vocab)
-    shared = words.sparkSession.sparkContext.broadcast(frozenset(known))
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def pieces_of(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda w: word_pieces(w, shared.value))
-
-    distinct = fan_out(words.select("word").distinct())
-    return distinct.select("word", pieces_of("word").alias("pieces"))
-
-
-def word_pieces(word: str, known: frozenset[str]) -> list[str]:
-    """The pieces of one word."""
-    pieces: list[str] = []
-    at = 0
-    while at < len(word) <= LONGEST_WORD:
-        mark = "##" if at else ""
-        end = next((e for e in range(len(word), at, -1) if mark + word[at:e] in known), None)
-        if end is None:
-            break
-        pieces.append(mark + word[at:end])
-        at = end
-    return pieces if at == len(word) else ["[UNK]"]
+    return _wordpiece_joined(words, vocab)
 
 
 def _wordpiece_joined(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -170,19 +136,29 @@ def top_merges(pairs: DataFrame, size: int) -> DataFrame:
 
 
 def bpe(words: DataFrame, merges: DataFrame) -> DataFrame:
-    """`(word, pieces)` for the distinct words: merge the best ranked adjacent pair until none is ranked."""
-    pair = F.struct("left", "right")
-    listed = _local_map(merges.select(pair, "rank"), MAX_LOCAL)
-    if listed is None:
-        raise ValueError(f"more than {MAX_LOCAL} merges; every word may need any of them, so they must fit in a task")
-    ranks = words.sparkSession.sparkContext.broadcast({tuple(p): r for p, r in listed.items()})
+    """`(word, pieces)` for the distinct words: merge the best ranked adjacent pair until none is ranked.
+
+    A merge can only matter to a word that contains its joined text, so each word carries the merges
+    found by joining its substrings with them; the table of merges may have any size.
+    """
+    longest = merges.agg(F.max(F.length(F.concat("left", "right")))).first()[0] or 0
+    distinct = stage(fan_out(words.select("word").distinct()), "words")
+    starts = distinct.filter(F.length("word") > 1).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("start"))
+    room = F.least(F.lit(longest), F.length("word") - F.col("start") + 1)
+    cut = starts.filter(room >= 2).select("word", "start", F.explode(F.sequence(F.lit(2), room)).alias("len"))
+    texts = cut.select("word", F.substring("word", F.col("start"), F.col("len")).alias("joined")).distinct()
+    found = texts.join(merges.withColumn("joined", F.concat("left", "right")), "joined")
+    ranks = found.groupBy("word").agg(F.collect_list(F.struct("left", "right", "rank")).alias("ranks"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "pieces": [merge_word(w, ranks.value) for w in batch["word"]]})
+            pieces = [
+                merge_word(w, {(m["left"], m["right"]): m["rank"] for m in own} if own is not None else {})
+                for w, own in zip(batch["word"], batch["ranks"])
+            ]
+            yield pd.DataFrame({"word": batch["word"], "pieces": pieces})
 
-    distinct = fan_out(words.select("word").distinct())
-    return distinct.mapInPandas(encode, "word string, pieces array<string>")
+    return distinct.join(ranks, "word", "left").mapInPandas(encode, "word string, pieces array<string>")
 
 
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:

@@ -13,7 +13,7 @@ from querylight.plans.text_queries import SYSTEM
 from querylight.plans.token_queries import VOCAB_CTE, basic_sql, doc_token_lists, split_sql, tokens_cte
 from querylight.session import spread, stage
 
-MAX_LEN = 512
+MAX_LEN = 6144
 BATCH = 8
 CAPS = {"mysql": 60, "cypher": 30, "sqlite": 100000, "unknown": 5}
 

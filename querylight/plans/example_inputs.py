@@ -11,8 +11,8 @@ EXAMPLE_COLUMNS = {
     "id": "doc_id",
     "db_id": "'db_' || cast(cast(floor(doc_id * 1.6) as bigint) as varchar(20))",
     "sql_type": SQL_TYPE.format(key="doc_id"),
-    "question": "substr(text, 1, 80)",
-    "rewrite": "case when doc_id % 7 = 0 then 'Q: ' || substr(text, 1, 40) when doc_id % 7 = 1 then '' end",
+    "question": "text",
+    "rewrite": "case when doc_id % 7 = 0 then 'Q: ' || text when doc_id % 7 = 1 then '' end",
     "evidence": "source",
     "qnum": "cast(doc_id % 3 + 1 as int)",
     "sql": """case cast(doc_id % 6 as int)

@@ -14,7 +14,7 @@ G = E // D
 TOKENS = """select cast(floor(vec_id / 16) as bigint) as seq, cast(vec_id % 16 as bigint) as pos,
     case when vec_id % 16 < 16 - floor(vec_id / 16) % 5 then 1 else 0 end as mask,
     label % 4 as dialect, embedding as x
-  from embeddings where vec_id >= 200"""
+  from embeddings"""
 
 ROUTE_CTE = f"""tokens as ({TOKENS}),
     gates as (select list(embedding::double[] order by vec_id) as g from embeddings where vec_id < {E}),
@@ -34,9 +34,7 @@ ROUTE_CTE = f"""tokens as ({TOKENS}),
     combined as (select s.layer, s.seq, s.pos, s.e, s.p * d.p as w from esoft s join dsoft d
         on s.layer = d.layer and s.seq = d.seq and s.pos = d.pos and d.d = s.e // {G}),
     ranked as (select *, row_number() over (partition by layer, seq, pos order by w desc, e) - 1 as rank from combined),
-    chosen as (select * from ranked where rank < {K}),
-    outputs as (select seq, pos, e, unnest(range(4)) as dim, unnest(x[1:4]::double[]) * (e + 1) as out
-      from tokens, (select unnest(range({E})) as e))"""
+    chosen as (select * from ranked where rank < {K})"""
 
 
 def q(sql: str) -> str:
@@ -44,7 +42,7 @@ def q(sql: str) -> str:
 
 
 def tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id >= 200").selectExpr(
+    rows = table(spark, sf_dir, "embeddings").selectExpr(
         "cast(floor(vec_id / 16) as bigint) as seq",
         "cast(vec_id % 16 as bigint) as pos",
         "case when vec_id % 16 < 16 - floor(vec_id / 16) % 5 then 1 else 0 end as mask",
@@ -69,13 +67,6 @@ def router_log(spark, sf_dir):
     ).withColumn("dialect_logits", F.transform("dialect_logits", lambda v: v * grow))
 
 
-def outputs(rows):
-    """Stand-in expert outputs: expert e scales the first four values of the token by e + 1."""
-    each = rows.select("seq", "pos", "x", F.explode(F.sequence(F.lit(0), F.lit(E - 1))).alias("e"))
-    head = F.slice(F.col("x").cast("array<double>"), 1, 4)
-    return each.select("seq", "pos", "e", F.transform(head, lambda v: v * (F.col("e") + 1)).alias("out"))
-
-
 def six(column):
     return F.round(column, 6).alias(column)
 
@@ -175,18 +166,6 @@ def route_sequence_groups(spark, sf_dir):
     return routing.sequence_groups(tokens(spark, sf_dir), "dialect_logits", D)
 
 
-@query(
-    "route_sentence_mix",
-    q("""select seq, pos, dim, round(sum(w * out), 6) as value from outputs join (
-      select seq, e, x / sum(x) over (partition by seq) as w from (
-        select seq, e, exp(m / 0.7 - max(m / 0.7) over (partition by seq)) as x from (
-          select seq, e, avg(v) as m from elog group by seq, e))) using (seq, e) group by seq, pos, dim"""),
-)
-def route_sentence_mix(spark, sf_dir):
-    rows = tokens(spark, sf_dir)
-    return routing.sentence_mix(rows, outputs(rows), E, 0.7).withColumn("value", F.round("value", 6))
-
-
 @query(
     "route_dispatch_plan",
     q("""select e, n as n_tokens, cast(sum(n) over (order by e) as bigint) as end_at,
@@ -197,16 +176,6 @@ def route_dispatch_plan(spark, sf_dir):
     return routing.dispatch_plan(choice(tokens(spark, sf_dir)))
 
 
-@query(
-    "route_combine",
-    q("""select seq, pos, dim, round(sum(w * out), 6) as value from outputs join chosen using (seq, pos, e)
-      where layer = 0 group by seq, pos, dim"""),
-)
-def route_combine(spark, sf_dir):
-    rows = tokens(spark, sf_dir)
-    return routing.combine(choice(rows), outputs(rows)).withColumn("value", F.round("value", 6))
-
-
 def loss_sql(source: str, n: int, k: int) -> str:
     """Balance loss over `source(layer, …, e, p)` with n experts; a row is one softmax."""
     return q(f"""select round({n} * sum(f * m), 6) as loss from (
@@ -246,7 +215,7 @@ def balance_loss_in_group(spark, sf_dir):
         round(0.01 * {E} * (select sum(c * m) from (
           select e, sum(case when rank <= {K} then 1.0 else 0 end) / (count(*) * {K}) as c, avg(p) as m
           from r group by e)), 6) as global_loss""").replace(
-        "outputs as (", f"r as (select *, row_number() over (partition by seq, pos order by p desc, e) as rank from esoft where layer = 0),\n    outputs as ("
+        "chosen as (", f"r as (select *, row_number() over (partition by seq, pos order by p desc, e) as rank from esoft where layer = 0),\n    chosen as ("
     ),
 )
 def balance_loss_seq(spark, sf_dir):

@@ -37,7 +37,7 @@ def steplog_interval_mean(spark, sf_dir):
 def steplog_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = jobs.window_means(jobs.file_stream(spark, sf_dir, schema, "events.parquet"))
-    means = jobs.drain_complete(stream, "window-means")
+    means = jobs.drain_update(stream, "window-means", ["window_start", "event_type"])
     return means.select(
         F.to_date("window_start").alias("day"), "event_type", F.round("mean_value", 6).alias("mean_value"), "n"
     )
@@ -53,4 +53,4 @@ def metric_stream(spark, sf_dir):
     rows = coded(spark, sf_dir).select("pair_id", "sql_type", "execution_match", "df_match", "similarity")
     rows.withColumn("shard", F.col("pair_id") % 4).write.partitionBy("shard").parquet(path)
     stream = jobs.running_scores(jobs.file_stream(spark, f"{path}/shard=*", rows.schema))
-    return tidy(jobs.drain_complete(stream, "scores"))
+    return tidy(jobs.drain_update(stream, "scores", ["sql_type"]))

@@ -22,11 +22,17 @@ CELLS = T.StructType(
     ]
 )
 ERRORS = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("err", T.StringType())])
-READ_ONLY = ("select", "with", "(", "values", "table")
+# Plan nodes that change something or run a program. Data-changing statements are commands or parsed statements.
+REFUSED = (
+    "org.apache.spark.sql.catalyst.plans.logical.Command",
+    "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement",
+    "org.apache.spark.sql.catalyst.plans.logical.ScriptTransformation",
+    "org.apache.spark.sql.catalyst.plans.logical.CompoundPlanStatement",
+)
 
 
 def run_queries(
-    spark: SparkSession, queries: DataFrame, seconds: float | None = 30.0
+    spark: SparkSession, queries: DataFrame, seconds: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """`queries(sql)` to result cells `(query_id, row_idx, col_idx, cell)` and errors `(query_id, err)`.
 
@@ -48,10 +54,26 @@ def run_queries(
     return cells, spark.createDataFrame(errors, ERRORS)
 
 
+def is_read_only(spark: SparkSession, sql: str) -> bool:
+    """The session's own parse of the text holds no node that writes, configures or runs a program, at any depth."""
+    open_nodes = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    kinds = [spark._jvm.java.lang.Class.forName(name) for name in REFUSED]
+    while open_nodes:
+        node = open_nodes.pop()
+        if any(kind.isInstance(node) for kind in kinds):
+            return False
+        for below in (node.children(), node.innerChildren()):
+            open_nodes += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def _run_one(spark: SparkSession, sql: str, query_id: str, path: str, seconds: float | None) -> str | None:
     """Write the result cells of one query, or return its error text."""
-    if not sql.strip().lower().startswith(READ_ONLY):
-        return "not a read-only query"
+    try:
+        if not is_read_only(spark, sql):
+            return "not a read-only query"
+    except Exception as error:  # noqa: BLE001
+        return str(error).split("\n")[0]
     context = spark.sparkContext
     tag = f"query-{uuid.uuid4().hex}"
     context.addJobTag(tag)
@@ -78,7 +100,7 @@ def _run_one(spark: SparkSession, sql: str, query_id: str, path: str, seconds: f
 
 
 def run_pairs(
-    spark: SparkSession, pairs: DataFrame, seconds: float | None = 30.0
+    spark: SparkSession, pairs: DataFrame, seconds: float | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """`pairs(pair_id, gold_sql, pred_sql)` to results per distinct text pair.
 

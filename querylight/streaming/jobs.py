@@ -62,6 +62,25 @@ def drain_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run over the files at hand in update mode: each batch adds only the rows that changed, and the
+    newest row of each key is the result. State older than the watermark is dropped."""
+    spark = stream.sparkSession
+    out = stage_path(spark, name)
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, at: batch.write.mode("overwrite").parquet(f"{out}/batch={at}"))
+        .option("checkpointLocation", stage_path(spark, f"{name}-state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    changes = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"row.{c}") for c in stream.columns])
+
+
 def drain_append(stream: DataFrame, name: str) -> DataFrame:
     """Run over the files at hand in append mode: a window is written once the watermark passes its end."""
     spark = stream.sparkSession

@@ -166,3 +166,28 @@ def test_verdict_codes(spark):
 def test_overall_without_valid_pairs_is_null(spark):
     coded = spark.createDataFrame([(-2, -2, 1.0)], "execution_match int, df_match int, similarity double")
     assert verdicts.metric_overall(coded).first()["ex"] is None
+
+
+def test_numbers_compare_exactly(spark):
+    rows = [
+        ("bigint", "9007199254740993", "num:9007199254740993.0"), ("decimal(20,2)", "9007199254740000.01", "num:9007199254740000.01"),
+        ("decimal(20,2)", "-0.00", "num:0.0"), ("double", "1.0E10", "num:10000000000.0"), ("double", "1.5E-7", "num:0.00000015"),
+        ("decimal(38,18)", "0.000000150000000000", "num:0.00000015"), ("double", "12345678.5", "num:12345678.5"),
+        ("double", "NaN", "num:NaN"), ("boolean", "false", "num:0.0"), ("smallint", "-7", "num:-7.0"), ("double", "0.1", "num:0.1"),
+    ]
+    frame = spark.createDataFrame(rows, "kind string, raw string, want string")
+    got = frame.select("want", canonical_cell(F.col("kind"), F.col("raw")).alias("cell")).collect()
+    assert [r["cell"] for r in got] == [r["want"] for r in got]
+
+
+def test_tolerance_is_relative(spark):
+    cells, pairs = cells_frame(
+        spark,
+        {
+            1: ([("num:1000000.0",)], [("num:1000000.5",)]),
+            2: ([("num:0.0000001",)], [("num:0.0000002",)]),
+            3: ([("num:-123.456001",)], [("num:-123.456",)]),
+            4: ([("num:0.0",)], [("num:0.0",)]),
+        },
+    )
+    assert verdict_map(frames.subset_match(cells, pairs), "subset") == {1: True, 2: False, 3: True, 4: True}

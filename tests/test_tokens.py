@@ -55,7 +55,7 @@ def test_wordpiece_both_ways(spark):
     rng = random.Random(3)
     words = ["unaffable", "x", "a" * 201] + ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(80)]
     local = {r["word"]: r["pieces"] for r in vb.wordpiece(word_frame(spark, words), vocab).collect()}
-    joined = {r["word"]: r["pieces"] for r in vb.wordpiece(word_frame(spark, words), vocab, limit=3).collect()}
+    joined = {r["word"]: r["pieces"] for r in vb.wordpiece(word_frame(spark, words), vocab).collect()}
     assert local == joined and len(local) == len(set(words))
     assert local["unaffable"] == ["un", "##aff", "##able"] and local["x"] == local["a" * 201] == ["[UNK]"]
 
@@ -101,7 +101,7 @@ def test_ids_and_text_both_ways(spark):
     vocab = vb.build_vocab(spark.createDataFrame([(["it", "is", "it", "!"],)], "tokens array<string>"), 2)
     lists = spark.createDataFrame([(1, ["it", "is", "##i", "!", "?"]), (2, [])], "k int, tokens array<string>")
     local = {r["k"]: r["ids"] for r in vb.id_lists(lists, vocab, "k").collect()}
-    joined = {r["k"]: r["ids"] for r in vb.id_lists(lists, vocab, "k", limit=1).collect()}
+    joined = {r["k"]: r["ids"] for r in vb.id_lists(lists, vocab, "k").collect()}
     assert local == joined and local[1][4] == 1 and local[2] == []
     assert vb.id_lists(lists, vocab, "k", unknown=0).filter("k = 1").first()["ids"][4] == 0
     ids = vb.id_lists(lists, vocab, "k")
