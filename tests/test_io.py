@@ -85,3 +85,21 @@ def test_append_mode_drops_late_rows_and_keeps_closed_windows(spark):
     assert [(str(r["window_start"])[:10], r["mean_value"], r["n"]) for r in got] == [
         ("2024-01-01", 2.0, 2), ("2024-01-03", 5.0, 2),
     ]
+
+
+def test_writes_are_refused_at_any_depth(spark):
+    spark.sql("create or replace temporary view given as select 1 as a")
+    path = stage_path(spark, "guarded")
+    spark.sql("select 1 as a").write.parquet(path)
+    texts = [
+        "/* a comment */ select a from given",
+        f"with q as (select 7 as a) insert into parquet.`{path}` select * from q",
+        "set spark.sql.shuffle.partitions = 1",
+        "select transform(a) using 'cat' as (b) from given",
+        "table given",
+    ]
+    frame = spark.createDataFrame([(t,) for t in texts], "sql string")
+    cells, errors = runner.run_queries(spark, frame)
+    assert cells.select("query_id").distinct().count() == 2
+    assert {r["err"] for r in errors.collect()} == {"not a read-only query"} and errors.count() == 3
+    assert spark.read.parquet(path).count() == 1
