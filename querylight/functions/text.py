@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -26,9 +25,12 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 PRETOKEN_DIGITS = (
     r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
-IDEOGRAPH = r"[\p{IsIdeographic}\x{3006}\x{3007}][\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]?"
-
-_MARKS = regex.compile(r"\p{Mn}+")
+# Unified ideographs by block, twelve of them among the compatibility ones; two more signs; variation selectors.
+IDEOGRAPH = (
+    r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{FA0E}\x{FA0F}\x{FA11}\x{FA13}\x{FA14}\x{FA1F}\x{FA21}\x{FA23}\x{FA24}"
+    r"\x{FA27}-\x{FA29}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B739}\x{2B740}-\x{2B81D}\x{2B820}-\x{2CEA1}\x{2CEB0}-\x{2EBE0}"
+    r"\x{2EBF0}-\x{2EE5D}\x{30000}-\x{3134A}\x{31350}-\x{323AF}\x{3006}\x{3007}][\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]?"
+)
 
 
 def clean(text: Column) -> Column:
@@ -42,9 +44,17 @@ def isolate_cjk(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    """Decompose and drop the combining marks; Spark has no such function."""
-    return text.map(lambda t: _MARKS.sub("", unicodedata.normalize("NFD", t)), na_action="ignore")
+def decompose(text: pd.Series) -> pd.Series:
+    """Canonical decomposition; Spark has no such function."""
+    return text.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
+
+
+def strip_accents(text: Column | str) -> Column:
+    """Decompose and drop the combining marks. Only texts beyond ASCII pass through Python."""
+    plain = F.col(text) if isinstance(text, str) else text
+    ascii_only = F.octet_length(plain) == F.char_length(plain)
+    rest = F.regexp_replace(decompose(F.when(~ascii_only, plain)), r"\p{Mn}+", "")
+    return F.when(ascii_only, plain).otherwise(rest)
 
 
 def space_punctuation(text: Column) -> Column:
@@ -80,6 +90,16 @@ def paragraphs(text: Column) -> Column:
     )
 
 
+def paragraph_tokens(text: Column) -> Column:
+    """Ideographs one by one and the pre-tokens of what stands between them, paragraph by paragraph."""
+    # The blank at the end of a stretch sees the paragraph's end, not the next ideograph's text.
+    stretches = F.flatten(
+        F.transform(paragraphs(text), lambda p: F.split(F.regexp_replace(p, f"({IDEOGRAPH})", "\x00$1\x00"), "\x00"))
+    )
+    whole = F.filter(stretches, lambda t: t != "")
+    return F.flatten(F.transform(whole, lambda t: F.when(t.rlike(f"^{IDEOGRAPH}$"), F.array(t)).otherwise(pretokens(t))))
+
+
 def mark_ideographs(text: Column, mark: str = "¦") -> Column:
     """Set every ideograph (with its variation selector) apart from its neighbours."""
     return F.regexp_replace(text, f"({IDEOGRAPH})", f"{mark}$1{mark}")

@@ -108,3 +108,24 @@ def test_ids_and_text_both_ways(spark):
     back = vb.token_lists(ids, vocab, "k").filter("k = 1")
     row = back.select(vb.tokens_to_text(F.col("tokens")).alias("t"), vb.pieces_to_text(F.col("tokens")).alias("p")).first()
     assert (row["t"], row["p"]) == ("it isi! [UNK]", " it isi ! [UNK]")
+
+
+def test_only_unified_ideographs_stand_alone(spark):
+    texts = {"a中㐀b": "a¦中¦¦㐀¦b", "\U00020000x": "¦\U00020000¦x", "豈y": "豈y", "\U00017000z": "\U00017000z", "﨎": "¦﨎¦"}
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["m"] for r in frame.select("t", tx.mark_ideographs(F.col("t")).alias("m")).collect()}
+    assert got == texts
+
+
+def test_paragraph_tokens(spark):
+    frame = spark.createDataFrame([("I'm at 北京站 42!\n\n中 ok\n\nend",)], "t string")
+    tokens = frame.select(tx.paragraph_tokens(F.col("t")).alias("l")).first()["l"]
+    assert tokens == ["I", "'m", " at", " ", "北", "京", "站", " 42", "!", "\n\n", "中", " ok", "\n\n", "end"]
+    assert "".join(tokens) == "I'm at 北京站 42!\n\n中 ok\n\nend"
+
+
+def test_special_tokens_follow_the_vocabulary(spark):
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "id long, token string")
+    lists = spark.createDataFrame([(1, ["b", "<x>", "c", "<y>"]), (2, None), (3, [])], "k long, tokens array<string>")
+    ids = {r["k"]: r["ids"] for r in vb.id_lists(lists, vocab, "k", unknown=0, specials=["<x>", "<y>"]).collect()}
+    assert ids == {1: [1, 2, 0, 3], 2: None, 3: []}
