@@ -39,7 +39,7 @@ def test_every_piece_has_its_own_seat():
             assert not places & taken
             taken |= places
     windows = sum(t for t, _ in fills)
-    assert windows <= -(-int((counts * np.arange(65)).sum()) // 64) + 2
+    assert windows <= 1.05 * int((counts * np.arange(65)).sum()) / 64
 
 
 def check(pieces, docs):
