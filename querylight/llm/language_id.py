@@ -125,18 +125,17 @@ class CharModels:
         for m in range(order):
             union = np.unique(np.concatenate([s[0] for s in seen[m]])) if langs else np.zeros(0, np.uint64)
             p = np.zeros((len(union), len(langs)))
-            context_at = suffix_at = None
-            for lang, (gram, context, suffix, own) in enumerate(seen[m]):
+            # A gram's context and suffix are the same in every language that has it.
+            context_at, suffix_at = np.zeros(len(union), np.int64), np.zeros(len(union), np.int64)
+            for gram, context, suffix, _ in seen[m] if m else ():
                 at = np.searchsorted(union, gram)
-                if m:
-                    if context_at is None:
-                        context_at, suffix_at = np.zeros(len(union), np.int64), np.zeros(len(union), np.int64)
-                    context_at[at], suffix_at[at] = np.searchsorted(keys[-1], context), np.searchsorted(keys[-1], suffix)
+                context_at[at], suffix_at[at] = np.searchsorted(keys[-1], context), np.searchsorted(keys[-1], suffix)
+            for lang, (gram, _, _, own) in enumerate(seen[m]):
                 counts = np.zeros(len(union))
-                counts[at] = own
+                counts[np.searchsorted(union, gram)] = own
                 once, twice = (counts == 1).sum(), (counts == 2).sum()
                 discount = np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9)
-                where = context_at if m else np.zeros(len(union), np.int64)
+                where = context_at
                 size = len(keys[-1]) if m else 1
                 total = np.bincount(where, weights=counts, minlength=size)
                 kinds = np.bincount(where, weights=counts > 0, minlength=size)
@@ -187,7 +186,7 @@ class CharModels:
         owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
         word_scores = self.word_scores(vocabulary)
         sizes = np.array([len(w) + 1 for w in vocabulary], dtype=np.float64)
-        signs = np.bincount(owner, weights=sizes[codes], minlength=n)
+        signs = np.bincount(owner, weights=sizes[codes], minlength=n).astype(np.float64)
         some = lettered.to_numpy(zero_copy_only=False) & (langs > 0)
         out = {
             "lang": np.full(n, "und", dtype=object),

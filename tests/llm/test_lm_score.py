@@ -84,7 +84,7 @@ def test_fitting_lowers_the_cost():
     rng = np.random.default_rng(4)
     ids = np.repeat(rng.integers(0, 50, (256, 11)), 3, axis=1)  # each id thrice
     before = m.window_scores(ids[:, :-1], ids[:, 1:], np.zeros((256, 32), bool), 0).mean()
-    m.fit(ids, np.zeros(ids.shape, bool), epochs=6)
+    m.fit(ids, np.zeros(ids.shape, bool), epochs=60)
     assert m.window_scores(ids[:, :-1], ids[:, 1:], np.zeros((256, 32), bool), 0).mean() > before + 0.2
 
 
