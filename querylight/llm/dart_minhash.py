@@ -13,9 +13,11 @@ earliest dart of a coordinate is its value. Two documents share it with the prob
 weighted similarity, so bands of equal values find the candidates, and those are verified exactly.
 
 Skew: texts of equal words meet in one representative first. A bucket links its members to one
-pivot, not to each other; after the first components, members outside a bucket's largest component
-are compared with the rest of it until no bucket leaves an unseen pair of components. Pairs are
-dealt out by pivot and salt.
+pivot, the member that meets most others, not to each other. After the first components, members
+outside a bucket's largest component are compared with the other components there, except where the
+bound rules it out: two documents share no more than the weight that each has in common with any
+other, and the threshold asks for similarity / (1 + similarity) of both weights together. No pair of
+components that shares a bucket is left undecided. Pairs are dealt out by pivot and salt.
 
 Results for odd input: null counts as empty text, and texts without words are one class only if
 equal. Repeated rows and ids are members each. A null id belongs to the class of its text; a class
@@ -31,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylight.llm.common import text_or_empty, words
+from querylight.functions.vectors import let
+from querylight.llm.common import small, text_or_empty, with_row_key, words
 from querylight.llm.components import components
 from querylight.llm.registry import query, table
 from querylight.session import stage
@@ -41,7 +44,7 @@ SIMILARITY = 0.8
 ROWS_PER_BAND = 5
 BANDS = 25
 SALT_ROWS = 512  # pairs of one pivot that share a copy of its elements
-DARTS_AT_ONCE = 1 << 21
+DARTS_AT_ONCE = 1 << 19
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,12 +209,41 @@ def similarities(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(compared, "a binary, b binary, similarity double")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+def texts_of(keyed: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes): the word hashes of the wanted nodes, from one row (id, h) of `keyed` for each."""
+    row = F.struct(F.coalesce(F.col("id").cast("string"), F.lit("")), "h", "id")
+    rows = ids.join(small(wanted, wanted.count(), 64), "node").groupBy("node").agg(F.min(row).alias("r"))
+    rows = stage(rows.select(F.col("node"), F.col("r.id").alias("i2"), F.col("r.h").alias("h2")), "text_rows")
+    same = F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))
+    found = keyed.join(small(rows, rows.count(), 96), same).select("node", "text").dropDuplicates(["node"])
+    return stage(found.select("node", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes")), "texts")
+
+
+def node_elements(texts: DataFrame, k: int) -> DataFrame:
+    """(element, node, weight) of every node of `texts` (node, hashes)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = list_column(batch.column("hashes"))
+            for part in chunks(np.diff(offsets), DARTS_AT_ONCE):
+                own = offsets[part.start : part.stop + 1]
+                e, d, w = weighted_elements(*shingle_elements(flat[own[0] : own[-1]], own - own[0], k))
+                node = batch.column("node").take(pa.array(d + part.start))
+                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), node, pa.array(w)], names=["element", "node", "weight"])
+
+    return texts.select("node", "hashes").mapInArrow(cut, "element long, node binary, weight double")
+
+
+def shared_weights(texts: DataFrame, k: int) -> DataFrame:
+    """(node, s): how much of a node's weight lies in elements that another node has, too."""
+    each = stage(node_elements(texts, k), "elements")
+    twice = each.groupBy("element").agg(F.count("*").alias("c")).filter("c > 1").select("element")
+    return each.join(twice, "element").groupBy("node").agg(F.sum("weight").alias("s"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold. A hot `a` is dealt out by salt."""
     degrees = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = nodes.join(used, "node").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    texts = stage(texts, "pair_texts")
     dealt = pairs.join(degrees, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     right = dealt.join(texts.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b")
     left = degrees.join(texts.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
@@ -221,8 +253,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> D
 
 def node_of(tokens: Column, text: Column) -> Column:
     """Digest of the words, or of the text where it has none: texts that agree in it are one node."""
-    said = F.when(F.size(tokens) > 0, F.array_join(tokens, " ")).otherwise(F.concat(F.lit("\0"), text_or_empty(text)))
-    return F.unhex(F.md5(said))
+    said = let(tokens, lambda w: F.when(F.size(w) > 0, F.array_join(w, " ")))
+    return F.unhex(F.md5(F.coalesce(said, F.concat(F.lit("\0"), text_or_empty(text)))))
 
 
 def near_classes(
@@ -234,39 +266,60 @@ def near_classes(
     bands: int = BANDS,
     rows: int = ROWS_PER_BAND,
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has a row per row of `docs`: id, node (its words), class_id, class_size;
+    """(members, links): members has a row per row of `docs`: id, h (of its text), node (its words), root (the
+    node that stands for its class), class_id, class_size;
     links (a, b, similarity) are the verified pairs of nodes that hold the classes together."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words(F.col(text_col)).alias("w"))
-    tokens = tokens.select("id", node_of(F.col("w"), F.col("text")).alias("node"), "w")
-    nodes = tokens.select("node", F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
-    ids = stage(tokens.select("id", "node"), "node_ids")
+    keyed = with_row_key(docs, id_col, text_col)
+    tokens = keyed.select("id", "h", "text", words(F.col("text")).alias("w"))
+    node = node_of(F.col("w"), F.col("text")).alias("node")
+    nodes = tokens.select(node, F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
+    ids = stage(tokens.select("id", "h", node), "node_ids")
     buckets = stage(bucket_rows(nodes, bands, rows, k), "buckets")
 
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    shared = shared.filter("pivot <> last").select("bucket", "pivot")
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count("*").alias("size"))
+    shared = shared.filter("least <> last").select("bucket", "size")
     members = stage(buckets.join(shared, "bucket").distinct(), "members")
+    # The pivot of a bucket is the member that meets most others over all its buckets: the middle of a group of copies.
+    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    pivots = members.join(degrees, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p"))
+    members = members.drop("size").join(pivots.select("bucket", F.col("p.node").alias("pivot")), "bucket")
+    members = stage(members, "members")
+    texts = texts_of(keyed, ids, stage(members.select("node").distinct(), "member_nodes"))
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(verified(stage(stars, "stars"), nodes, k, similarity), "links")
+    links = stage(verified(stage(stars, "stars"), texts, k, similarity), "links")
     roots = components(links)
 
-    # Members beyond the largest component of their bucket: every pair of two components not yet compared.
+    # Members beyond the largest component of their bucket: every pair of two components not yet compared,
+    # but for pairs that cannot be similar because too much of one of them occurs nowhere else.
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stage(placed, "placed")
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
-    largest = stage(largest.filter("roots > 1").select("bucket", F.col("top.root").alias("top")), "largest")
-    open_rows = placed.join(largest, "bucket")
-    x = open_rows.filter("root <> top and node <> pivot").select(
-        "bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a")
+    largest = largest.filter("roots > 1").select("bucket", F.col("top.root").alias("top"))
+    open_rows = stage(placed.join(largest, "bucket").filter("node <> pivot"), "open_rows")
+    weights = shared_weights(texts.join(open_rows.select("node").distinct(), "node"), k)
+    open_rows = stage(open_rows.join(weights, "node").filter(F.col("s") >= F.col("n") * similarity - 1e-6), "open_rows")
+    # A pair that shares several of these buckets is made in the first of them only.
+    lists = open_rows.groupBy("node").agg(F.collect_set("bucket").alias("own"))
+    open_rows = stage(open_rows.join(lists, "node"), "open_rows")
+    x = open_rows.filter("root <> top").select(
+        "bucket",
+        F.col("node").alias("a"),
+        F.col("root").alias("root_a"),
+        F.col("n").alias("n_a"),
+        F.col("s").alias("s_a"),
+        F.col("own").alias("own_a"),
     )
-    y = open_rows.filter("node <> pivot").select("bucket", F.col("node").alias("b"), "root", "n", "top")
+    y = open_rows.select("bucket", F.col("node").alias("b"), "root", "n", "s", "top", "own")
     rest = x.join(y, "bucket").filter(
         (F.col("root_a") != F.col("root"))
+        & (F.array_min(F.array_intersect("own", "own_a")) == F.col("bucket"))
         & ((F.col("root") == F.col("top")) | (F.col("a") < F.col("b")))
-        & (F.least("n", "n_a") >= F.greatest("n", "n_a") * similarity)
+        & (F.least("s", "s_a") >= (F.col("n") + F.col("n_a")) * (similarity / (1 + similarity)) - 1e-6)
+        & (F.least("n", "n_a") >= F.greatest("n", "n_a") * similarity - 1e-6)
     )
     rest = stage(rest.select("a", "b").distinct(), "rest")
-    links = links.unionByName(stage(verified(rest, nodes, k, similarity), "links"))
+    links = stage(links.unionByName(verified(rest, texts, k, similarity)), "links")
     roots = components(links)
 
     per_node = ids.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
@@ -274,7 +327,7 @@ def near_classes(
     classed = stage(classed, "classed")
     classes = classed.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     classed = stage(classed.join(classes, "root").select("node", "root", "class_id", "class_size"), "classes")
-    return ids.join(classed, "node").select("id", "node", "root", "class_id", "class_size"), links
+    return ids.join(classed, "node").select("id", "h", "node", "root", "class_id", "class_size"), links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -284,25 +337,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     of rows equal throughout, one.
     """
     members, _ = near_classes(docs)
+    members = stage(members.select("id", "h", "root"), "classed_rows")
+    order = F.struct(F.coalesce(F.col("id").cast("long"), F.lit(2**63 - 1)), "h", "id")
+    first = members.groupBy("root").agg(F.min(order).alias("o"), F.count("*").alias("rows")).select("o.id", "o.h")
+    first = stage(first.select(F.col("id").alias("_id"), F.col("h").alias("_h")), "kept_rows")
+    rows = docs.withColumn("_hash", F.xxhash64(F.lit(7), text_or_empty(F.col("text"))))
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["_id"]) & (rows["_hash"] == first["_h"]), "left_semi")
+    repeated = members.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("c")).filter("c > 1")
+    repeated = stage(repeated.select("_id", "_h"), "repeated_rows")
+    if repeated.isEmpty():
+        return kept.drop("_hash")
+    again = kept["doc_id"].eqNullSafe(repeated["_id"]) & (kept["_hash"] == repeated["_h"])
     every = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns])
-    rows = docs.withColumn("_row", every)
-    keys = stage(rows.select("doc_id", "_row", "text", words(F.col("text")).alias("w")).select(
-        "doc_id", "_row", node_of(F.col("w"), F.col("text")).alias("_node")
-    ), "row_keys")
-    roots = members.select(F.col("node").alias("_node"), "root").distinct()
-    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_row")
-    first = (
-        keys.join(roots, "_node")
-        .groupBy("root")
-        .agg(F.min(order).alias("o"))
-        .select(F.col("o._row").alias("_row"), F.col("o.col1").alias("_id"))
-    )
-    first = stage(first, "kept_rows")
-    same = (rows["_row"] == first["_row"]) & (F.coalesce(rows["doc_id"], F.lit(2**63 - 1)) == first["_id"])
-    kept = rows.join(first, same, "left_semi")
-    repeated = stage(keys.groupBy("_row").agg(F.count("*").alias("c")).filter("c > 1").select("_row"), "repeated_rows")
-    single = kept.join(repeated, "_row", "left_anti").drop("_row")
-    return single.unionByName(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row"))
+    one = kept.join(repeated, again, "left_semi").groupBy("doc_id", "_hash").agg(F.min_by(F.struct(*docs.columns), every).alias("_row"))
+    return kept.join(repeated, again, "left_anti").drop("_hash").unionByName(one.select("_row.*"))
 
 
 @query("op7_dart_minhash")
