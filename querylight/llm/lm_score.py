@@ -54,7 +54,7 @@ WINDOW, OVERLAP = 32, 8
 PASSAGES, PASSAGE_WORDS, EPOCHS, BATCH, RATE = 12_000, 16, 4, 128, 0.01
 COMMON_WORDS = 100_000
 PAIRS, PAIR_PRIOR = 500_000, 2.0
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 250_000
 WINDOWS_AT_ONCE = 512
 FOLDS, HELD_OUT = 7, 2
 
@@ -78,7 +78,8 @@ def word_ids(words: pa.Array, ranks: str = RANKS) -> tuple[np.ndarray, np.ndarra
     coding, lengths = coder(ranks)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    ids = coding.encode_to_numpy(" " + " ".join(words.to_pylist())).astype(np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+    ids = coding.encode_to_numpy(" " + joined).astype(np.int64)
     word_ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
     id_ends = np.cumsum(lengths[ids])
     return ids, np.concatenate([[0], np.searchsorted(id_ends, word_ends, side="left") + 1])
@@ -112,6 +113,7 @@ class AttentionModel:
     v: np.ndarray
     u: np.ndarray
     bias: np.ndarray  # by distance
+    _v_one: np.ndarray | None = None
 
     @classmethod
     def start(
@@ -136,31 +138,51 @@ class AttentionModel:
         n = np.where(self.pairs[at] == key, self.pair_n[at], 0.0) if len(self.pairs) else np.zeros(len(key))
         return np.log((n + PAIR_PRIOR * self.in_class[ids]) / (self.pair_sums[last, self.class_of[ids]] + PAIR_PRIOR))
 
+    def mask(self, t: int, first: int) -> np.ndarray:
+        """Bias by distance for queries from place `first` on; what lies ahead gets no weight."""
+        apart = np.arange(first, t)[:, None] - np.arange(t)[None, :]
+        return np.where(apart >= 0, self.bias[np.clip(apart, 0, WINDOW - 1)], -1e9).astype(np.float32)
+
     def attend(self, rows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Queries from place `first` on, keys, values and attention weights of windows (n, t) of embedding rows."""
-        t = rows.shape[1]
         q, k, v = self.q[rows[:, first:]], self.k[rows], self.v[rows]
-        apart = np.arange(first, t)[:, None] - np.arange(t)[None, :]
-        mask = np.where(apart >= 0, self.bias[np.clip(apart, 0, WINDOW - 1)], -1e9).astype(np.float32)
         w = np.matmul(q, k.transpose(0, 2, 1))
         w *= np.float32(WIDTH**-0.5)
-        w += mask
+        w += self.mask(rows.shape[1], first)
         w -= w.max(axis=2, keepdims=True)
         np.exp(w, out=w)
         w /= w.sum(axis=2, keepdims=True)
         return q, k, v, w
 
+    def bounded(self) -> None:
+        """Shrink weights whose products could leave the range in which exp needs no shift by the largest."""
+        for left, right in ((self.q, self.k), (self.v, self.u.T)):
+            most = np.linalg.norm(left, axis=1).max() * np.linalg.norm(right, axis=1).max()
+            if most > 30:
+                left *= np.float32(30 / most)
+        np.clip(self.bias, -30, 30, out=self.bias)
+
     def window_scores(self, ids: np.ndarray, targets: np.ndarray, starts_word: np.ndarray, first: int) -> np.ndarray:
         """Natural log probabilities (n, t - first) of the classes of the targets of windows (n, t) of ids."""
-        _, _, v, w = self.attend(self.row_of[ids], first)
-        last = np.where(starts_word[:, first:], WORD_START, ids[:, first:]).ravel()
-        logits = self.base[last]
-        logits += np.matmul(w, v).reshape(-1, WIDTH) @ self.u
-        logits -= logits.max(axis=1, keepdims=True)
+        rows = self.row_of[ids]
+        q = self.q[rows[:, first:]] * np.float32(WIDTH**-0.5)
+        w = np.matmul(q, self.k[rows].transpose(0, 2, 1))
+        w += self.mask(ids.shape[1], first)
+        np.exp(w, out=w)
+        # A column of ones behind the values sums the weights in the same product.
+        mixed = np.matmul(w, self.v_one[rows]).reshape(-1, WIDTH + 1)
+        logits = self.base[np.where(starts_word[:, first:], WORD_START, ids[:, first:]).ravel()]
+        logits += (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ self.u
         target = targets[:, first:].ravel()
         own = logits[np.arange(len(target)), self.class_of[target]]
         np.exp(logits, out=logits)
-        return (own - np.log(logits.sum(axis=1))).reshape(len(ids), -1)
+        return (own - np.log(logits @ np.ones(CLASSES, dtype=np.float32))).reshape(len(ids), -1)
+
+    @property
+    def v_one(self) -> np.ndarray:
+        if self._v_one is None:
+            self._v_one = np.concatenate([self.v, np.ones((len(self.v), 1), dtype=np.float32)], axis=1)
+        return self._v_one
 
     def text_scores(self, ids: np.ndarray, begins: np.ndarray, inside: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural log probability of each text: runs of `sizes` ids that start and stop with the end id;
@@ -193,7 +215,7 @@ class AttentionModel:
         names = ["q", "k", "v", "u", "bias"]
         moments = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in names}
         apart = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        step = 0
+        step, self._v_one = 0, None
         for _ in range(epochs):
             order = rng.permutation(len(ids))
             for a in range(0, len(order), BATCH):
@@ -230,6 +252,7 @@ class AttentionModel:
                     m += 0.1 * (grads[name] - m)
                     s += 0.001 * (grads[name] ** 2 - s)
                     getattr(self, name)[...] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        self.bounded()
 
 
 def words_of(text: Column) -> Column:
@@ -354,18 +377,17 @@ def passage_ids(sample: pa.Table, ranks: str) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
-SCORED = "id {kind}, h long, n_tokens long, n_common long, common_log double, score double, rare array<long>"
-
+SCORED = "id {kind}, h long, n_tokens long, n_common long, common_log double, score double, rare array<string>"
 
-def scored(keyed: DataFrame, model: AttentionModel, common: tuple[np.ndarray, np.ndarray], ranks: str = RANKS) -> DataFrame:
-    """Per text its score, the sums over its common words, and the hashes of its other words."""
-    import xxhash
 
+def scored(keyed: DataFrame, model: AttentionModel, common: tuple[pa.Array, np.ndarray], ranks: str = RANKS) -> DataFrame:
+    """Per text its score, the sums over its common words (given with their counts), and its other words."""
     schema = SCORED.format(kind=keyed.schema["id"].dataType.simpleString())
     shared = keyed.sparkSession.sparkContext.broadcast((model, common))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (keys, counts) = shared.value
+        model, (common_words, counts) = shared.value
+        common_logs = np.append(np.log10(counts + 1.0), 0.0)
         for batch in batches:
             sizes = np.diff(batch.column("w").offsets.to_numpy())
             ends = np.cumsum(sizes)
@@ -380,10 +402,8 @@ def scored(keyed: DataFrame, model: AttentionModel, common: tuple[np.ndarray, np
                 coded = part.column("w").flatten().dictionary_encode()
                 codes = coded.indices.to_numpy().astype(np.int64)
                 ids, offsets = word_ids(coded.dictionary, ranks)
-                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in coded.dictionary.to_pylist()], dtype=np.uint64).view(np.int64)
-                at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
-                known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
-                logs = np.where(known, np.log10(counts[at] + 1.0), 0.0) if len(keys) else np.zeros(len(hashes))
+                at = pc.fill_null(pc.index_in(coded.dictionary, value_set=common_words), len(counts)).to_numpy()
+                known, logs = at < len(counts), common_logs[at]
                 owner = np.repeat(np.arange(n), own)
                 rare = ~known[codes]
                 rare_sizes = np.bincount(owner[rare], minlength=n)
@@ -407,9 +427,12 @@ def scored(keyed: DataFrame, model: AttentionModel, common: tuple[np.ndarray, np
                         part.column("h"),
                         pa.array(own.astype(np.int64) + 1),
                         pa.array(np.bincount(owner, weights=known[codes], minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(owner, weights=logs[codes], minlength=n)),
+                        pa.array(np.bincount(owner, weights=logs[codes], minlength=n).astype(np.float64)),
                         pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]).astype(np.int32)), pa.array(hashes[codes[rare]])),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]).astype(np.int32)),
+                            coded.dictionary.take(pa.array(codes[rare])),
+                        ),
                     ],
                     names=["id", "h", "n_tokens", "n_common", "common_log", "score", "rare"],
                 )
@@ -422,19 +445,19 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     keyed = with_row_key(docs, id_col, text_col)
     training = keyed.filter(~held_out)
     words = training.select(F.explode(words_of(F.col("text"))).alias("word"))
-    counts = stage(words.groupBy("word").agg(F.count("*").alias("c")).withColumn("wh", F.xxhash64("word")), "word_counts")
+    counts = stage(words.groupBy("word").agg(F.count("*").alias("c")), "word_counts")
     n_docs = training.count()
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train, n_types = totals[0] + n_docs, totals[1] + (1 if n_docs else 0)
     model = train_model(training, counts, n_docs)
-    top = counts.orderBy(F.col("c").desc(), "wh").limit(common_words).select("wh", "c").toArrow().sort_by("wh")
-    common = (top["wh"].to_numpy(), top["c"].to_numpy().astype(np.float64))
+    top = counts.orderBy(F.col("c").desc(), "word").limit(common_words).toArrow()
+    common = (top["word"].combine_chunks().cast(pa.string()), top["c"].to_numpy().astype(np.float64))
     rows = stage(scored(keyed, model, common), "scored")
-    rare = rows.select("id", "h", F.explode("rare").alias("wh")).groupBy("id", "h", "wh").agg(F.count("*").alias("n"))
+    rare = rows.select("id", "h", F.explode("rare").alias("word")).withColumn("word", F.xxhash64("word"))
     # Rows that agree in id and text are counted together here, and divided again below.
     same = rows.groupBy(F.col("id").alias("i2"), F.col("h").alias("h2")).agg(F.count("*").alias("rows"))
-    met = rare.join(counts.groupBy("wh").agg(F.sum("c").alias("c")), "wh")
-    met = met.groupBy("id", "h").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"))
+    met = rare.join(counts.groupBy(F.xxhash64("word").alias("word")).agg(F.sum("c").alias("c")), "word")
+    met = met.groupBy("id", "h").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("c") + 1)).alias("rare_log"))
     met = met.join(same, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))).select(
         "i2", "h2", (F.col("n_rare") / F.col("rows")).cast("long").alias("n_rare"), (F.col("rare_log") / F.col("rows")).alias("rare_log")
     )
