@@ -15,8 +15,11 @@ smaller id or earlier in the same one. Finding all such strings takes four steps
    statistics), and following the rows above gives the first position of each repeated string.
 4. Marks. The strings found are joined to byte ranges per document and cut out.
 
-Skew: equal segments of an anchor collapse before they meet, so copies cost one segment each. An anchor with more than `BUCKET_SEGMENTS`
-different segments is settled by grouping its strings by their bytes, which needs no bucket.
+Skew: equal segments of an anchor collapse before they meet, so copies cost one segment each. Where
+more than `FEW` different segments share an anchor, each is cut into parts of at most `STEP` strings,
+and only parts that agree in the bytes common to all their strings meet; a frequent line shorter than
+`LENGTH` falls apart there. Parts of which more than `BUCKET_SEGMENTS` agree are settled by grouping
+their strings by their bytes, which needs no bucket.
 
 Results for odd input: null counts as empty, and texts under `LENGTH` bytes keep all. A null id comes
 before all others, and rows of equal id follow the order of their texts' hashes; rows that agree in
@@ -42,9 +45,11 @@ from querylight.session import stage
 LENGTH = 100
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 PLACE_BITS = np.uint64(22)
-BUCKET_SEGMENTS = 4000
+FEW = 200
+STEP = 16
+BUCKET_SEGMENTS = 8000
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,12 +145,13 @@ def anchor_hashes(keyed: DataFrame) -> DataFrame:
     return keyed.select("id", "text").mapInArrow(hashed, "anchor long, id long")
 
 
-SEGMENT = "anchor long, digest long, id long, h long, start long, strings int, seg binary"
+SEGMENT = "anchor long, digest long, id long, h long, start long, strings int, anchor_at int, seg binary"
 
 
 def segments(texts: DataFrame) -> DataFrame:
     """Segments of the anchors listed in `repeated`, per text: anchor, digest, id, h, start of the first
-    string, number of strings, and the bytes (null after a segment's first place in a batch)."""
+    string, number of strings, the anchor's place in it, and the bytes (null after a segment's first place
+    in a batch)."""
     values = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
     inverse = np.uint64(pow(int(GOLD), -1, 1 << 64))
 
@@ -153,7 +159,7 @@ def segments(texts: DataFrame) -> DataFrame:
         for batch in batches:
             wanted = batch.column("repeated").flatten().to_numpy().view(np.uint64)
             wanted = np.unique(wanted)
-            held: set[tuple[int, int]] = set()
+            held = np.zeros(0, dtype=np.uint64)  # digests whose bytes the batch has sent
             for data, starts, ends, rows, shift in runs_of_texts(batch.column("text")):
                 text, h, place, lo, hi = text_anchors(data, starts, ends)
                 at = np.searchsorted(wanted, h)
@@ -168,11 +174,13 @@ def segments(texts: DataFrame) -> DataFrame:
                 back = np.multiply.accumulate(back)
                 digest = mix((sums[hi + LENGTH] - sums[lo]) * back[lo])
                 shape = ((place - lo).astype(np.uint64) << np.uint64(16)) + (hi - lo).astype(np.uint64)
-                digest = mix(digest ^ mix(shape + GOLD))
-                raw, seg = data.tobytes(), []
-                for key, a, b in zip(zip(h.tolist(), digest.tolist()), lo.tolist(), (hi + LENGTH).tolist()):
-                    seg.append(None if key in held else raw[a:b])
-                    held.add(key)
+                digest = mix(digest ^ mix(shape + GOLD) ^ h)
+                distinct, one = np.unique(digest, return_index=True)
+                one = one[~np.isin(distinct, held)]
+                held = np.union1d(held, distinct)
+                raw, seg = data.tobytes(), [None] * len(digest)
+                for i, a, b in zip(one.tolist(), lo[one].tolist(), (hi[one] + LENGTH).tolist()):
+                    seg[i] = raw[a:b]
                 own = pa.array(rows[text])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -182,6 +190,7 @@ def segments(texts: DataFrame) -> DataFrame:
                         batch.column("h").take(own),
                         pa.array(lo - starts[text] + shift[text]),
                         pa.array((hi - lo + 1).astype(np.int32)),
+                        pa.array((place - lo).astype(np.int32)),
                         pa.array(seg, pa.binary()),
                     ],
                     names=[f.split()[0] for f in SEGMENT.split(", ")],
@@ -238,22 +247,32 @@ class RunIndex:
 
 
 def suffix_order(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and the rank of each, by doubling the length compared."""
-    n, width = len(signs), 1
-    _, rank = np.unique(signs, return_inverse=True)
-    rank = rank.astype(np.int64)
+    """Suffixes in order, and the rank of each: sorted by the first signs, then by doubling the length
+    compared, where only suffixes not yet told apart are sorted again."""
+    n = len(signs)
+    bits = int(signs.max() + 1).bit_length()
+    width = max(1, min(63 // bits, n))
+    key = np.zeros(n, dtype=np.int64)
+    for i in range(width):
+        key <<= bits
+        key[: n - i] += signs[i:] + 1
+    order = np.argsort(key, kind="stable")
+    slots, moved = np.arange(n), key[order]
+    rank = np.empty(n, dtype=np.int64)
     while True:
-        behind = np.zeros(n, dtype=np.int64)
-        if width < n:
-            behind[:-width] = rank[width:] + 1
-        key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
-        moved = key[order]
-        step = np.concatenate([[0], (moved[1:] != moved[:-1]).cumsum()])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = step
-        if step[-1] == n - 1:
+        head = np.ones(len(slots), dtype=bool)
+        head[1:] = moved[1:] != moved[:-1]
+        rank[order[slots]] = np.maximum.accumulate(np.where(head, slots, 0))
+        alone = head.copy()
+        alone[:-1] &= head[1:]
+        slots = slots[~alone]
+        if not len(slots):
             return order, rank
+        live = order[slots]
+        behind = live + width
+        key = rank[live] * (n + 1) + np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        order[slots], moved = live[by], key[by]
         width *= 2
 
 
@@ -299,6 +318,30 @@ def mark_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def agreeing_parts(known: DataFrame) -> DataFrame:
+    """Segments cut by how far their strings reach before the anchor; parts with others of the same core.
+
+    The strings that begin between a and a + STEP - 1 bytes before the anchor all cover the LENGTH - STEP + 1
+    bytes from a before it on. Equal strings lie in parts of the same a with the same core.
+    """
+    reach = F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1), F.lit(STEP)))
+    cut = known.select("anchor", "id", "h", "start", "strings", "anchor_at", "seg", reach.alias("a"))
+    first = F.greatest(F.col("anchor_at") - F.col("a") - (STEP - 1), F.lit(0))
+    last = F.least(F.col("anchor_at") - F.col("a"), F.col("strings") - 1)
+    cut = cut.withColumns({"first": first, "last": last}).filter("first <= last")
+    core = F.substring("seg", F.col("anchor_at") - F.col("a") + 1, F.lit(LENGTH - STEP + 1))
+    parts = cut.select(
+        F.xxhash64("anchor", "a", core).alias("anchor"),
+        "id",
+        "h",
+        (F.col("start") + F.col("first")).alias("start"),
+        (F.col("last") - F.col("first") + 1).alias("strings"),
+        F.substring("seg", F.col("first") + 1, F.col("last") - F.col("first") + LENGTH).alias("seg"),
+    )
+    several = parts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    return parts.join(several, "anchor")
+
+
 def repeated_ranges(keyed: DataFrame) -> DataFrame:
     """(id, h, start, end): byte ranges to remove from the texts of `keyed` (id, h, text); they may overlap."""
     found = stage(anchor_hashes(keyed), "anchors")
@@ -315,10 +358,14 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
 
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     several = stage(kinds.join(several, "anchor").select("anchor", "digest", "kinds", "first"), "several")
-    bytes_of = cut.filter("seg is not null").select("anchor", "digest", "seg").join(several, ["anchor", "digest"])
-    bytes_of = bytes_of.groupBy("anchor", "digest").agg(F.first("seg").alias("seg"), F.first("kinds").alias("kinds"), F.first("first").alias("f"))
-    known = stage(bytes_of.select("anchor", "f.id", "f.h", "f.start", "f.strings", "kinds", "seg"), "different")
-    usual, hot = known.filter(F.col("kinds") <= BUCKET_SEGMENTS), known.filter(F.col("kinds") > BUCKET_SEGMENTS)
+    bytes_of = cut.filter("seg is not null").select("anchor", "digest", "anchor_at", "seg").join(several, ["anchor", "digest"])
+    bytes_of = bytes_of.groupBy("anchor", "digest").agg(
+        F.first("seg").alias("seg"), F.first("anchor_at").alias("anchor_at"), F.first("kinds").alias("kinds"), F.first("first").alias("f")
+    )
+    known = stage(bytes_of.select("anchor", "f.id", "f.h", "f.start", "f.strings", "anchor_at", "kinds", "seg"), "different")
+    parts = stage(agreeing_parts(known.filter(F.col("kinds") > FEW)), "parts")
+    hot = parts.filter(F.col("kinds") > BUCKET_SEGMENTS)
+    usual = known.filter(F.col("kinds") <= FEW).select(*parts.columns).unionByName(parts.filter(F.col("kinds") <= BUCKET_SEGMENTS))
     total = usual.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0))).first()[0]
     buckets = int(total // CHUNK_BYTES) + 1
     indexed = (

@@ -25,8 +25,9 @@ def brute(docs, length=100):
     return out
 
 
-@pytest.mark.parametrize("most", [1000, 2])
-def test_query_matches_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("few, most", [(200, 8000), (2, 8000), (2, 2)])
+def test_query_matches_brute_force(spark, monkeypatch, few, most):
+    monkeypatch.setattr(repeat_index, "FEW", few)
     monkeypatch.setattr(repeat_index, "BUCKET_SEGMENTS", most)
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     got = entrypoint.queries()["op8_repeat_index"](spark, SF).collect()
