@@ -37,7 +37,8 @@ FIELD = "<*>"
 
 def tidy(line: Column) -> Column:
     """The line with single blanks and its variable tokens as `<*>`."""
-    plain = F.trim(F.regexp_replace(line, BLANKS, " "))
+    uneven = line.rlike(r"[\x09-\x0D]|  ")
+    plain = F.trim(F.when(uneven, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
@@ -75,8 +76,13 @@ def keepers(keyed: DataFrame, lines: DataFrame, min_docs: int, lead: int, simila
     leaves = leaves.filter((F.col("leaf_docs") >= min_docs) & (F.col("leaf_lines") > 1)).select("leaf")
     rest = stage(rest.join(leaves, "leaf").select("leaf", "line", "docs", "keeper"), "leaf_lines")
 
-    said = tree_lines(keyed, lead).select("leaf", "line", "norm")
-    said = said.join(small(rest, rest.count(), 32), ["leaf", "line"]).groupBy("leaf", "line")
+    # Only documents that hold such a line are read again.
+    rest = small(rest, rest.count(), 32)
+    holders = lines.join(rest, ["leaf", "line"]).select(F.col("id").alias("i2"), F.col("h").alias("h2")).distinct()
+    holders = stage(holders, "holders")
+    found = F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))
+    again = keyed.join(small(holders, holders.count(), 32), found, "left_semi")
+    said = tree_lines(again, lead).select("leaf", "line", "norm").join(rest, ["leaf", "line"]).groupBy("leaf", "line")
     said = stage(said.agg(F.first("docs").alias("docs"), F.first("keeper").alias("keeper"), F.first("norm").alias("norm")), "leaf_texts")
     tokens = said.select("leaf", "line", "docs", F.posexplode(F.split("norm", " ")).alias("place", "token"))
     tokens = tokens.filter((F.col("place") >= lead) & (F.col("token") != FIELD))
@@ -116,8 +122,10 @@ def drop_templates(
     min_docs: int = MIN_DOCS,
     lead: int = LEAD,
     similarity: float = SIMILARITY,
+    added: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """All rows and columns of `docs` with the kept lines in `text_col`; adds n_lines, n_dropped."""
+    """All rows and columns of `docs` with the kept lines in `text_col`, and how many lines there were and
+    went as the columns named in `added` (replaced where there)."""
     keyed = with_row_key(docs, id_col, text_col)
     lines = stage(
         tree_lines(keyed, lead).select("id", "h", "doc", "line_no", "leaf", "line", "has_fixed"), "tree_lines"
@@ -145,15 +153,15 @@ def drop_templates(
     text = F.when(marks["_drops"].isNull(), rows[text_col]).otherwise(kept)
     lines_of = F.when(rows[text_col].isNull(), 0).otherwise(F.size(F.split(rows[text_col], "\n")))
     return joined.select(
-        *[text.alias(c) if c == text_col else rows[c] for c in docs.columns],
-        lines_of.cast("long").alias("n_lines"),
-        F.coalesce(marks["n_dropped"], F.lit(0)).cast("long").alias("n_dropped"),
+        *[text.alias(c) if c == text_col else rows[c] for c in docs.columns if c not in added],
+        lines_of.cast("long").alias(added[0]),
+        F.coalesce(marks["n_dropped"], F.lit(0)).cast("long").alias(added[1]),
     )
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang, source, n_chars) with the kept text and its length."""
-    kept = drop_templates(docs)
+    kept = drop_templates(docs, added=("_n_lines", "_n_dropped"))
     return kept.select(
         *[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     )
