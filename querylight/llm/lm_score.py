@@ -15,8 +15,9 @@ so each id is scored once, with at least that many ids before it (or all there a
 
 What is gathered from the corpus: the counts of all words of all training texts. From them come the
 word-level base score, the counts n and the table, each by one pass of Spark over the counted words;
-the `PAIRS` most frequent pairs of ids are kept. The attention weights are fitted in numpy on about `PASSAGES` passages, one
-from a hashed place of each sampled training text.
+the `PAIRS` most frequent pairs of ids are kept. The attention weights start from a fit on about `PASSAGES` passages, one
+from a hashed place of each sampled training text, and are then fitted on every id of every training text: each of `ROUNDS`
+hashed slices of the texts gives one step, whose gradients are summed in Spark.
 
 Words beyond the `COMMON_WORDS` most frequent are not sent to the tasks: each text's rare words are
 joined with the counts by shuffle, and summed per text.
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +53,7 @@ OWN_ROWS, SHARED_ROWS = 4096, 512  # embeddings of the most frequent ids; the ot
 WIDTH = 8
 WINDOW, OVERLAP = 32, 8
 PASSAGES, PASSAGE_WORDS, EPOCHS, BATCH, RATE = 12_000, 16, 4, 128, 0.01
+ROUNDS, CHUNK = 16, 4096
 COMMON_WORDS = 100_000
 PAIRS, PAIR_PRIOR = 500_000, 2.0
 WORDS_AT_ONCE = 250_000
@@ -209,51 +211,82 @@ class AttentionModel:
                 out += np.bincount(own, weights=np.where(there[:, first:], scores, 0.0).sum(axis=1), minlength=len(sizes))
         return out
 
+    def gradients(self, ids: np.ndarray, starts_word: np.ndarray) -> tuple[int, np.ndarray]:
+        """Of passages (n, WINDOW + 1) of ids: how many ids are predicted, and the gradient of the summed cross-entropy of
+        their classes, as one row in the order of `FITTED`; ids below 0 are padding."""
+        x, y = np.maximum(ids[:, :-1], 0), ids[:, 1:]
+        real = (y >= 0).ravel()
+        rows = self.row_of[x]
+        q, k, v, w = self.attend(rows, 0)
+        mixed = np.matmul(w, v)
+        p = self.base[np.where(starts_word[:, 1:], WORD_START, x).ravel()] + mixed.reshape(-1, WIDTH) @ self.u
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(p)), self.class_of[np.maximum(y, 0).ravel()]] -= 1
+        p *= real[:, None]
+        d_mixed = (p @ self.u.T).reshape(mixed.shape)
+        d_w = np.matmul(d_mixed, v.transpose(0, 2, 1))
+        d_s = w * (d_w - (w * d_w).sum(axis=2, keepdims=True))
+        scale = np.float32(WIDTH**-0.5)
+        flat, out = rows.ravel(), []
+        for d in (np.matmul(d_s, k) * scale, np.matmul(d_s.transpose(0, 2, 1), q) * scale, np.matmul(w.transpose(0, 2, 1), d_mixed)):
+            columns = d.reshape(-1, WIDTH).T
+            out.append(np.stack([np.bincount(flat, weights=c, minlength=len(self.q)) for c in columns], axis=1).ravel())
+        apart = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        by_distance = np.where(apart >= 0, d_s.sum(axis=0), 0).ravel()
+        out += [(mixed.reshape(-1, WIDTH).T @ p).ravel(), np.bincount(np.clip(apart, 0, None).ravel(), weights=by_distance, minlength=WINDOW)]
+        return int(real.sum()), np.concatenate(out)
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([getattr(self, name).ravel() for name in FITTED])
+
+    def with_weights(self, flat: np.ndarray) -> AttentionModel:
+        at, parts = 0, {}
+        for name in FITTED:
+            own = getattr(self, name)
+            parts[name] = flat[at : at + own.size].reshape(own.shape).astype(np.float32)
+            at += own.size
+        return replace(self, **parts, _v_one=None)
+
     def fit(self, ids: np.ndarray, starts_word: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> None:
         """Adam on the cross-entropy of the classes of passages (n, WINDOW + 1) of ids; ids below 0 are padding."""
         rng = np.random.default_rng(seed)
-        names = ["q", "k", "v", "u", "bias"]
-        moments = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in names}
-        apart = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        step, self._v_one = 0, None
+        adam = Adam(self.weights())
         for _ in range(epochs):
             order = rng.permutation(len(ids))
             for a in range(0, len(order), BATCH):
                 own = order[a : a + BATCH]
-                x, y = np.maximum(ids[own, :-1], 0), ids[own, 1:]
-                real = (y >= 0).ravel()
-                rows = self.row_of[x]
-                q, k, v, w = self.attend(rows, 0)
-                mixed = np.matmul(w, v)
-                logits = self.base[np.where(starts_word[own, 1:], WORD_START, x).ravel()] + mixed.reshape(-1, WIDTH) @ self.u
-                logits -= logits.max(axis=1, keepdims=True)
-                p = np.exp(logits)
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(p)), self.class_of[np.maximum(y, 0).ravel()]] -= 1
-                p *= (real / max(real.sum(), 1))[:, None].astype(np.float32)
-                d_mixed = (p @ self.u.T).reshape(mixed.shape)
-                d_w = np.matmul(d_mixed, v.transpose(0, 2, 1))
-                d_s = w * (d_w - (w * d_w).sum(axis=2, keepdims=True))
-                scale = np.float32(WIDTH**-0.5)
-                grads = {
-                    "u": mixed.reshape(-1, WIDTH).T @ p,
-                    "bias": np.bincount(np.clip(apart, 0, None).ravel(), weights=np.where(apart >= 0, d_s.sum(axis=0), 0).ravel(), minlength=WINDOW),
-                }
-                for name, d in (
-                    ("q", np.matmul(d_s, k) * scale),
-                    ("k", np.matmul(d_s.transpose(0, 2, 1), q) * scale),
-                    ("v", np.matmul(w.transpose(0, 2, 1), d_mixed)),
-                ):
-                    grads[name] = np.zeros_like(getattr(self, name))
-                    np.add.at(grads[name], rows.ravel(), d.reshape(-1, WIDTH))
-                step += 1
-                for name in names:
-                    m, s = moments[name]
-                    m += 0.1 * (grads[name] - m)
-                    s += 0.001 * (grads[name] ** 2 - s)
-                    getattr(self, name)[...] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                self.take(adam.step(*self.gradients(ids[own], starts_word[own])))
         self.bounded()
 
+    def take(self, flat: np.ndarray) -> None:
+        other = self.with_weights(flat)
+        for name in FITTED:
+            getattr(self, name)[...] = getattr(other, name)
+        self._v_one = None
+
+
+FITTED = ["q", "k", "v", "u", "bias"]
+
+
+class Adam:
+    """The weights as one row, and the moments of their gradients."""
+
+    def __init__(self, flat: np.ndarray) -> None:
+        self.flat, self.steps = flat.astype(np.float64), 0
+        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat)
+
+    def step(self, n: int, total: np.ndarray) -> np.ndarray:
+        """The weights after a step along a gradient summed over `n` predicted ids."""
+        d = total / max(n, 1)
+        self.steps += 1
+        self.mean += 0.1 * (d - self.mean)
+        self.square += 0.001 * (d**2 - self.square)
+        m, s = self.mean / (1 - 0.9**self.steps), self.square / (1 - 0.999**self.steps)
+        self.flat -= RATE * m / (np.sqrt(s) + 1e-8)
+        return self.flat
+
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_az(text_or_empty(text)), r"[\x09-\x0D\x20]+"), "")
@@ -352,9 +385,65 @@ def train_model(keyed: DataFrame, counts: DataFrame, docs: int, passages: int =
     sample = picked.select("w", "opens", "closes").toArrow()  # bounded by `passages`
     if sample.num_rows:
         model.fit(*passage_ids(sample, ranks))
+        fit_on_all(keyed, model, ranks)
     return model
 
 
+def fit_on_all(keyed: DataFrame, model: AttentionModel, ranks: str = RANKS, rounds: int = ROUNDS) -> None:
+    """One step of Adam for each hashed slice of the texts, so that every id of every text is predicted once."""
+    context = keyed.sparkSession.sparkContext
+    fixed = context.broadcast(model)
+    adam = Adam(model.weights())
+    for i in range(rounds):
+        n, total = slice_gradients(keyed, fixed, adam.flat, i, rounds, ranks)
+        if n:
+            adam.step(n, total)
+    model.take(adam.flat)
+    model.bounded()
+
+
+def slice_gradients(keyed: DataFrame, fixed, flat: np.ndarray, i: int, rounds: int, ranks: str = RANKS) -> tuple[int, np.ndarray]:
+    """How many ids slice `i` of `rounds` of the texts has, ends included, and the gradient summed over them
+    for the weights `flat`; `fixed` is the broadcast model."""
+    weights = keyed.sparkSession.sparkContext.broadcast(flat.astype(np.float32))
+    n_chunks = -(-len(flat) // CHUNK)
+    schema = "chunk int, n long, total array<double>"
+
+    def rows(chunks: list[int], n: int, totals: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.arange(len(chunks) + 1) * CHUNK, pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(totals))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(chunks, pa.int32()), pa.array([n] * len(chunks), pa.int64()), lists], names=["chunk", "n", "total"]
+        )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fixed.value.with_weights(weights.value)
+        n, total = 0, np.zeros(n_chunks * CHUNK)
+        for batch in batches:
+            for part in runs(batch):
+                text = Texts(part.column("w"), ranks)
+                for ids, begins in text.windows():
+                    k, d = model.gradients(ids, begins)
+                    n += k
+                    total[: len(d)] += d
+        if n:
+            yield rows(list(range(n_chunks)), n, total)
+
+    def together(table: pa.Table) -> pa.Table:
+        n, chunk = pc.sum(table.column("n")).as_py(), table.column("chunk")[0].as_py()
+        lists = table.column("total").combine_chunks()
+        return pa.Table.from_batches([rows([chunk], n, lists.flatten().to_numpy().reshape(-1, CHUNK).sum(axis=0))])
+
+    slice_of = keyed.filter(F.pmod(F.xxhash64(F.lit(11), "id", "h"), F.lit(rounds)) == i)
+    parts = slice_of.select(words_of(F.col("text")).alias("w")).mapInArrow(summed, schema)
+    # As many rows as chunks of the weights, whatever the corpus.
+    got = parts.groupBy("chunk").applyInArrow(together, schema).toArrow().sort_by("chunk")
+    weights.unpersist()
+    if not got.num_rows:
+        return 0, np.zeros(len(flat))
+    return got["n"][0].as_py(), got["total"].combine_chunks().flatten().to_numpy()[: len(flat)]
+
+
 def passage_ids(sample: pa.Table, ranks: str) -> tuple[np.ndarray, np.ndarray]:
     """(n, WINDOW + 1) ids of the passages, -1 where there is none, and which begin a word."""
     lists = sample["w"].combine_chunks()
@@ -377,6 +466,51 @@ def passage_ids(sample: pa.Table, ranks: str) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
+def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `WORDS_AT_ONCE` words each."""
+    ends = np.cumsum(np.diff(batch.column("w").offsets.to_numpy()))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + WORDS_AT_ONCE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+class Texts:
+    """Texts given as lists of words, as one line of ids with an end before and behind each text."""
+
+    def __init__(self, words: pa.ListArray, ranks: str = RANKS) -> None:
+        n = len(words)
+        self.n_words = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.word_ids, self.offsets = word_ids(self.words, ranks)
+        self.owner = np.repeat(np.arange(n), self.n_words)
+        self.place, lengths = ragged(self.offsets, self.codes)
+        begin = np.zeros(len(self.place), dtype=bool)
+        begin[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        per = np.bincount(self.owner, weights=lengths, minlength=n).astype(np.int64)
+        self.sizes = per + 2
+        ends = np.cumsum(self.sizes)
+        self.ids, self.begins = np.full(ends[-1], END, dtype=np.int64), np.ones(ends[-1], dtype=bool)
+        self.inside = np.ones(len(self.ids), dtype=bool)
+        self.inside[ends - 1], self.inside[ends - self.sizes] = False, False
+        self.ids[self.inside], self.begins[self.inside] = self.word_ids[self.place], begin
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(n, WINDOW + 1) ids, -1 behind a text's end, and which begin a word; each id but the first ends is predicted in one."""
+        ends = np.cumsum(self.sizes)
+        many = -(-(self.sizes - 1) // WINDOW)
+        owner = np.repeat(np.arange(len(many)), many)
+        start = (ends - self.sizes)[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * WINDOW
+        for a in range(0, len(owner), WINDOWS_AT_ONCE):
+            place = start[a : a + WINDOWS_AT_ONCE, None] + np.arange(WINDOW + 1)[None, :]
+            there = place < ends[owner[a : a + WINDOWS_AT_ONCE], None]
+            place = np.minimum(place, len(self.ids) - 1)
+            yield np.where(there, self.ids[place], -1), self.begins[place] & there
+
+
 SCORED = "id {kind}, h long, n_tokens long, n_common long, common_log double, score double, rare array<string>"
 
 
@@ -389,38 +523,17 @@ def scored(keyed: DataFrame, model: AttentionModel, common: tuple[pa.Array, np.n
         model, (common_words, counts) = shared.value
         common_logs = np.append(np.log10(counts + 1.0), 0.0)
         for batch in batches:
-            sizes = np.diff(batch.column("w").offsets.to_numpy())
-            ends = np.cumsum(sizes)
-            start = 0
-            while start < batch.num_rows:
-                before = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, before + WORDS_AT_ONCE, side="right")))
-                part = batch.slice(start, stop - start)
-                start = stop
-                n = part.num_rows
-                own = np.diff(part.column("w").offsets.to_numpy())
-                coded = part.column("w").flatten().dictionary_encode()
-                codes = coded.indices.to_numpy().astype(np.int64)
-                ids, offsets = word_ids(coded.dictionary, ranks)
-                at = pc.fill_null(pc.index_in(coded.dictionary, value_set=common_words), len(counts)).to_numpy()
+            for part in runs(batch):
+                n, text = part.num_rows, Texts(part.column("w"), ranks)
+                own, codes, owner = text.n_words, text.codes, text.owner
+                at = pc.fill_null(pc.index_in(text.words, value_set=common_words), len(counts)).to_numpy()
                 known, logs = at < len(counts), common_logs[at]
-                owner = np.repeat(np.arange(n), own)
                 rare = ~known[codes]
                 rare_sizes = np.bincount(owner[rare], minlength=n)
-                place, lengths = ragged(offsets, codes)
-                flat, begin = ids[place], np.zeros(len(place), dtype=bool)
-                begin[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-                within = model.inside(ids_before(ids, offsets), ids)[place]
-                # An end before and behind each text.
-                per = np.bincount(owner, weights=lengths, minlength=n).astype(np.int64)
-                text_ends = np.cumsum(per + 2)
-                line, marks = np.full(text_ends[-1], END, dtype=np.int64), np.ones(text_ends[-1], dtype=bool)
-                inside = np.ones(len(line), dtype=bool)
-                inside[text_ends - 1], inside[text_ends - per - 2] = False, False
-                line[inside], marks[inside] = flat, begin
-                chances = np.full(len(line), model.inside(np.array([WORD_START]), np.array([END]))[0])
-                chances[inside] = within
-                score = model.text_scores(line, marks, chances, per + 2) / np.log(10)
+                chances = np.full(len(text.ids), model.inside(np.array([WORD_START]), np.array([END]))[0])
+                within = model.inside(ids_before(text.word_ids, text.offsets), text.word_ids)
+                chances[text.inside] = within[text.place]
+                score = model.text_scores(text.ids, text.begins, chances, text.sizes) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
@@ -431,7 +544,7 @@ def scored(keyed: DataFrame, model: AttentionModel, common: tuple[pa.Array, np.n
                         pa.array(score),
                         pa.ListArray.from_arrays(
                             pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]).astype(np.int32)),
-                            coded.dictionary.take(pa.array(codes[rare])),
+                            text.words.take(pa.array(codes[rare])),
                         ),
                     ],
                     names=["id", "h", "n_tokens", "n_common", "common_log", "score", "rare"],

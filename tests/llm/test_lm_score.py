@@ -100,3 +100,32 @@ def test_odd_rows(spark, monkeypatch):
     assert lm_scores(no_documents(spark), held).count() == 0
     untaught = lm_scores(docs.filter("doc_id = 7"), held).collect()[0]
     assert untaught["train_tokens"] == 0 and untaught["n_known"] == 0 and untaught["base_score"] == 0
+
+
+def test_every_id_is_fitted_once(spark):
+    texts = [" ".join(f"word{i * j % 50} next" for j in range(i * 7)) for i in range(12)] + ["", "one"]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", F.xxhash64("text")).repartition(3)
+    m = model(5)
+    fixed = spark.sparkContext.broadcast(m)
+    parts = [lm_score.slice_gradients(keyed, fixed, m.weights(), i, 4) for i in range(4)]
+    want, total = 0, 0.0
+    for text in texts:
+        row = lm_score.Texts(lm_score.pa.array([text.split()], lm_score.pa.list_(lm_score.pa.string())))
+        assert len(row.ids) == len(lm_score.word_ids(row.words.take(row.codes))[0]) + 2
+        want += len(row.ids) - 1
+        for ids, begins in row.windows():
+            total = total + m.gradients(ids, begins)[1]
+    assert sum(n for n, _ in parts) == want
+    assert np.allclose(sum(d for _, d in parts), total, rtol=1e-3, atol=1e-3)
+
+
+def test_weights_follow_texts_outside_the_passages(spark):
+    # 40 words each, so a passage of 16 holds less than half; only one text may give one.
+    docs = [(i, " ".join(f"{'abcdefgh'[(i + j) % 8]}x" for j in range(40))) for i in range(30)]
+    keyed = spark.createDataFrame(docs, "id long, text string").withColumn("h", F.xxhash64("text"))
+    m = model(6)
+    before = m.weights()
+    lm_score.fit_on_all(keyed, m, rounds=4)
+    seen = lm_score.Texts(lm_score.pa.array([docs[3][1].split()]))
+    rows = np.unique(m.row_of[seen.ids])
+    assert (np.abs(m.v[rows] - m.with_weights(before).v[rows]).max(axis=1) > 0).all()
