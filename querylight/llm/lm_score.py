@@ -15,12 +15,12 @@ so each id is scored once, with at least that many ids before it (or all there a
 
 What is gathered from the corpus: the counts of all words of all training texts. From them come the
 word-level base score, the counts n and the table, each by one pass of Spark over the counted words;
-the `PAIRS` most frequent pairs of ids are kept. The attention weights start from a fit on about `PASSAGES` passages, one
+the `PAIRS` most frequent pairs of ids are sent to the tasks. The attention weights start from a fit on about `PASSAGES` passages, one
 from a hashed place of each sampled training text, and are then fitted on every id of every training text: each of `ROUNDS`
 hashed slices of the texts gives one step, whose gradients are summed in Spark.
 
 Words beyond the `COMMON_WORDS` most frequent are not sent to the tasks: each text's rare words are
-joined with the counts by shuffle, and summed per text.
+joined with the counts by shuffle, and summed per text. So are pairs of ids beyond the `PAIRS` most frequent.
 
 Results for odd input: null counts as empty text, whose only token is the end. Rows with a null id
 are not held out. Rows that agree in id and text get equal rows, one each. Without training texts
@@ -105,9 +105,9 @@ def ragged(offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class AttentionModel:
     class_of: np.ndarray  # class of each id
     in_class: np.ndarray  # p(id | class)
-    pairs: np.ndarray  # sorted keys of (last, id)
+    pairs: np.ndarray  # sorted keys of (last, id), the most frequent
     pair_n: np.ndarray  # their counts
-    pair_sums: np.ndarray  # and sums per last id and class
+    pair_sums: np.ndarray  # and the sums of all pairs per last id and class
     base: np.ndarray  # (ids + 1, classes) logits by last id
     row_of: np.ndarray  # embedding row of each id
     q: np.ndarray
@@ -119,12 +119,21 @@ class AttentionModel:
 
     @classmethod
     def start(
-        cls, unigrams: np.ndarray, class_of: np.ndarray, base: np.ndarray, pairs: np.ndarray, pair_n: np.ndarray, seed: int = 1
+        cls,
+        unigrams: np.ndarray,
+        class_of: np.ndarray,
+        base: np.ndarray,
+        pairs: np.ndarray,
+        pair_n: np.ndarray,
+        seed: int = 1,
+        pair_sums: np.ndarray | None = None,
     ) -> AttentionModel:
+        """`pair_sums` are given when `pairs` are not all there are."""
         rng = np.random.default_rng(seed)
         in_class = (unigrams + 0.5) / np.bincount(class_of, weights=unigrams + 0.5, minlength=CLASSES)[class_of]
-        pair_sums = np.zeros((IDS + 1, CLASSES), dtype=np.float32)
-        np.add.at(pair_sums, (pairs // IDS, class_of[pairs % IDS]), pair_n)
+        if pair_sums is None:
+            pair_sums = np.zeros((IDS + 1, CLASSES), dtype=np.float32)
+            np.add.at(pair_sums, (pairs // IDS, class_of[pairs % IDS]), pair_n)
         row_of = OWN_ROWS + np.arange(IDS) % SHARED_ROWS
         row_of[np.argsort(-unigrams, kind="stable")[:OWN_ROWS]] = np.arange(OWN_ROWS)
         shape = (OWN_ROWS + SHARED_ROWS, WIDTH)
@@ -134,11 +143,16 @@ class AttentionModel:
         return cls(class_of, in_class, pairs, pair_n, pair_sums, base, row_of, q, k, v, u, bias)
 
     def inside(self, last: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural log of p(id | class, last)."""
+        """Natural log of p(id | class, last), as if pairs that the model does not hold had no count."""
+        at, held = self.held(last, ids)
+        n = np.where(held, self.pair_n[at], 0.0) if len(self.pairs) else np.zeros(len(ids))
+        return np.log((n + PAIR_PRIOR * self.in_class[ids]) / (self.pair_sums[last, self.class_of[ids]] + PAIR_PRIOR))
+
+    def held(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs in the model, and which of them it holds."""
         key = last * IDS + ids
         at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-        n = np.where(self.pairs[at] == key, self.pair_n[at], 0.0) if len(self.pairs) else np.zeros(len(key))
-        return np.log((n + PAIR_PRIOR * self.in_class[ids]) / (self.pair_sums[last, self.class_of[ids]] + PAIR_PRIOR))
+        return at, self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), dtype=bool)
 
     def mask(self, t: int, first: int) -> np.ndarray:
         """Bias by distance for queries from place `first` on; what lies ahead gets no weight."""
@@ -333,8 +347,9 @@ def id_classes(unigrams: np.ndarray, features: np.ndarray, rounds: int = 12, see
     return out
 
 
-def train_model(keyed: DataFrame, counts: DataFrame, docs: int, passages: int = PASSAGES, ranks: str = RANKS) -> AttentionModel:
-    """`keyed` (id, h, text) are the training texts, `counts` (word, c) their words, `docs` how many they are."""
+def train_model(keyed: DataFrame, counts: DataFrame, docs: int, passages: int = PASSAGES, ranks: str = RANKS) -> tuple[AttentionModel, DataFrame | None]:
+    """The model, and (pair, gain) of the pairs that it does not hold: what the log of p(id | class, last) gains by their counts.
+    `keyed` (id, h, text) are the training texts, `counts` (word, c) their words, `docs` how many they are."""
     pairs = stage(pair_counts(counts, ranks), "id_pairs")
     unigrams = np.zeros(IDS)
     for row in pairs.groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most as many rows as ids
@@ -363,9 +378,18 @@ def train_model(keyed: DataFrame, counts: DataFrame, docs: int, passages: int =
     prior = overall / overall.sum()
     base = np.log((sums + 4 * prior) / (sums.sum(axis=1, keepdims=True) + 4))
     kept = pairs.orderBy(F.col("n").desc(), "last", "id").limit(PAIRS).toArrow()
+    others = None
+    if kept.num_rows == PAIRS:
+        least = F.lit(kept["n"][-1].as_py())
+        last, at = F.lit(kept["last"][-1].as_py()), F.lit(kept["id"][-1].as_py())
+        behind = (F.col("last") > last) | ((F.col("last") == last) & (F.col("id") > at))
+        others = pairs.filter((F.col("n") < least) | ((F.col("n") == least) & behind))
     keys = np.append(kept["last"].to_numpy() * IDS + kept["id"].to_numpy(), WORD_START * IDS + END)
     order = np.argsort(keys)
-    model = AttentionModel.start(unigrams, class_of, base, keys[order], np.append(kept["n"].to_numpy(), docs)[order].astype(np.float32))
+    held_n = np.append(kept["n"].to_numpy(), docs)[order].astype(np.float32)
+    model = AttentionModel.start(unigrams, class_of, base, keys[order], held_n, pair_sums=sums.astype(np.float32))
+    if others is not None:
+        others = pair_gains(others, model.in_class)
 
     of = F.greatest(F.size("w") - PASSAGE_WORDS + 1, F.lit(1))
     place = F.pmod(F.xxhash64(F.lit(5), "id", "h"), of)
@@ -386,7 +410,20 @@ def train_model(keyed: DataFrame, counts: DataFrame, docs: int, passages: int =
     if sample.num_rows:
         model.fit(*passage_ids(sample, ranks))
         fit_on_all(keyed, model, ranks)
-    return model
+    return model, others
+
+
+def pair_gains(pairs: DataFrame, in_class: np.ndarray) -> DataFrame:
+    """(pair, gain): the natural log of (n + A p(id | class)) over A p(id | class)."""
+    shared = pairs.sparkSession.sparkContext.broadcast(in_class)
+
+    def gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            gain = np.log1p(batch.column("n").to_numpy() / (PAIR_PRIOR * shared.value[ids]))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("last").to_numpy() * IDS + ids), pa.array(gain)], names=["pair", "gain"])
+
+    return pairs.mapInArrow(gained, "pair long, gain double")
 
 
 def fit_on_all(keyed: DataFrame, model: AttentionModel, ranks: str = RANKS, rounds: int = ROUNDS) -> None:
@@ -511,11 +548,14 @@ class Texts:
             yield np.where(there, self.ids[place], -1), self.begins[place] & there
 
 
-SCORED = "id {kind}, h long, n_tokens long, n_common long, common_log double, score double, rare array<string>"
+SCORED = "id {kind}, h long, n_tokens long, n_common long, common_log double, score double, rare array<string>, open array<long>"
 
 
-def scored(keyed: DataFrame, model: AttentionModel, common: tuple[pa.Array, np.ndarray], ranks: str = RANKS) -> DataFrame:
-    """Per text its score, the sums over its common words (given with their counts), and its other words."""
+def scored(
+    keyed: DataFrame, model: AttentionModel, common: tuple[pa.Array, np.ndarray], whole: bool = True, ranks: str = RANKS
+) -> DataFrame:
+    """Per text its score, the sums over its common words (given with their counts), its other words, and the pairs
+    of ids inside its words that the model does not hold; none when it holds all (`whole`)."""
     schema = SCORED.format(kind=keyed.schema["id"].dataType.simpleString())
     shared = keyed.sparkSession.sparkContext.broadcast((model, common))
 
@@ -531,8 +571,13 @@ def scored(keyed: DataFrame, model: AttentionModel, common: tuple[pa.Array, np.n
                 rare = ~known[codes]
                 rare_sizes = np.bincount(owner[rare], minlength=n)
                 chances = np.full(len(text.ids), model.inside(np.array([WORD_START]), np.array([END]))[0])
-                within = model.inside(ids_before(text.word_ids, text.offsets), text.word_ids)
+                before = ids_before(text.word_ids, text.offsets)
+                within = model.inside(before, text.word_ids)
                 chances[text.inside] = within[text.place]
+                lacks = np.zeros(len(before), dtype=bool) if whole else ~model.held(before, text.word_ids)[1]
+                lacking = lacks[text.place]
+                lacking_sizes = np.bincount(np.repeat(np.arange(n), text.sizes - 2)[lacking], minlength=n)
+                lacking_keys = (before * IDS + text.word_ids)[text.place[lacking]]
                 score = model.text_scores(text.ids, text.begins, chances, text.sizes) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -546,8 +591,11 @@ def scored(keyed: DataFrame, model: AttentionModel, common: tuple[pa.Array, np.n
                             pa.array(np.concatenate([[0], np.cumsum(rare_sizes)]).astype(np.int32)),
                             text.words.take(pa.array(codes[rare])),
                         ),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.concatenate([[0], np.cumsum(lacking_sizes)]).astype(np.int32)), pa.array(lacking_keys)
+                        ),
                     ],
-                    names=["id", "h", "n_tokens", "n_common", "common_log", "score", "rare"],
+                    names=["id", "h", "n_tokens", "n_common", "common_log", "score", "rare", "open"],
                 )
 
     return keyed.select("id", "h", words_of(F.col("text")).alias("w")).mapInArrow(judged, schema)
@@ -562,10 +610,10 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     n_docs = training.count()
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train, n_types = totals[0] + n_docs, totals[1] + (1 if n_docs else 0)
-    model = train_model(training, counts, n_docs)
+    model, others = train_model(training, counts, n_docs)
     top = counts.orderBy(F.col("c").desc(), "word").limit(common_words).toArrow()
     common = (top["word"].combine_chunks().cast(pa.string()), top["c"].to_numpy().astype(np.float64))
-    rows = stage(scored(keyed, model, common), "scored")
+    rows = stage(scored(keyed, model, common, others is None), "scored")
     rare = rows.select("id", "h", F.explode("rare").alias("word")).withColumn("word", F.xxhash64("word"))
     # Rows that agree in id and text are counted together here, and divided again below.
     same = rows.groupBy(F.col("id").alias("i2"), F.col("h").alias("h2")).agg(F.count("*").alias("rows"))
@@ -575,7 +623,16 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         "i2", "h2", (F.col("n_rare") / F.col("rows")).cast("long").alias("n_rare"), (F.col("rare_log") / F.col("rows")).alias("rare_log")
     )
     met = stage(met, "rare_sums")
-    out = rows.drop("rare").join(met, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left")
+    out = rows.drop("rare", "open").join(met, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left").drop("i2", "h2")
+    score = F.col("score")
+    if others is not None:
+        # A pair counts as often as it occurs in the text.
+        open_pairs = rows.select("id", "h", F.explode("open").alias("pair"))
+        gains = open_pairs.join(others, "pair").groupBy("id", "h").agg(F.sum("gain").alias("gain"))
+        gains = gains.join(same, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")))
+        gains = stage(gains.select("i2", "h2", (F.col("gain") / F.col("rows")).alias("gain")), "pair_gains")
+        out = out.join(gains, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2")), "left")
+        score = score + F.coalesce("gain", F.lit(0.0)) / float(np.log(10))
     end_log = float(np.log10(n_docs + 1))
     base = F.col("common_log") + F.coalesce("rare_log", F.lit(0.0)) + end_log - F.col("n_tokens") * float(np.log10(n_train + n_types + 1))
     return out.select(
@@ -584,7 +641,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + (1 if n_docs else 0)).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        score.alias("score"),
     )
 
 

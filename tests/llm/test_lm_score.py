@@ -129,3 +129,17 @@ def test_weights_follow_texts_outside_the_passages(spark):
     seen = lm_score.Texts(lm_score.pa.array([docs[3][1].split()]))
     rows = np.unique(m.row_of[seen.ids])
     assert (np.abs(m.v[rows] - m.with_weights(before).v[rows]).max(axis=1) > 0).all()
+
+
+def test_pairs_beyond_the_most_frequent_count(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "EPOCHS", 1)
+    monkeypatch.setattr(lm_score, "ROUNDS", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40).localCheckpoint()
+    docs = docs.union(docs.filter("doc_id % 5 = 0"))  # rows that agree in id and text
+    held = F.col("id") % 4 == 0
+    scores = lambda: sorted((r["id"], r["score"]) for r in lm_scores(docs, held).select("id", "score").collect())
+    every = scores()
+    monkeypatch.setattr(lm_score, "PAIRS", 100)
+    few = scores()
+    assert len(every) == len(few)
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-4) for a, b in zip(every, few))
