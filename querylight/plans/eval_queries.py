@@ -248,6 +248,21 @@ def sim_fuzzy_join(spark, sf_dir):
     return near.select("p_partkey", "p_name", "representative", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    "sim_fuzzy_pairs",
+    """with named as (select p_type, p_size, p_name, count(*) as n from part where p_name is not null group by all)
+    select l.p_type, l.p_size, l.p_name as left_name, r.p_name as right_name, l.n as left_rows, r.n as right_rows,
+      round(jaro_winkler_similarity(l.p_name, r.p_name), 6) as similarity
+    from named l join named r on l.p_type = r.p_type and l.p_size = r.p_size
+      and (l.p_name < r.p_name or l.p_name = r.p_name and l.n > 1)
+    where jaro_winkler_similarity(l.p_name, r.p_name) >= 0.7""",
+)
+def sim_fuzzy_pairs(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select("p_name", "p_type", "p_size")
+    near = similarity.fuzzy_pairs(names, "p_name", ["p_type", "p_size"], 0.7)
+    return near.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "eval_valid_gold",
     f"""with {EVAL_CTE},
