@@ -39,6 +39,7 @@ from querylight.session import stage, stage_path
 ROLL_BYTES = 64 << 20  # compressed bytes at which a new file begins
 SHARD_BYTES = 32 << 20  # payload bytes aimed at per shard
 CUT_SAMPLE = 20_000
+IDS_A_SHARD = 8  # sampled ids a shard, at least
 REVISIT_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"  # the tables carry no capture time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,11 +110,13 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str)
 def shard_cuts(records: DataFrame, shard_bytes: int) -> np.ndarray:
     """Ids at which shards begin, from a hash sample of ids and the bytes of all payloads."""
     total = records.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()
-    every = max(1, total[0] // CUT_SAMPLE)
+    shards = max(1, -(-total[1] // shard_bytes))
+    every = max(1, total[0] // max(CUT_SAMPLE, IDS_A_SHARD * shards))
     picked = records.select("page").filter(F.col("page").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "page"), F.lit(every)) == 0))
     ids = np.sort(np.array([r[0] for r in picked.distinct().collect()], dtype=np.int64))
-    shards = max(1, -(-total[1] // shard_bytes))
-    return np.unique(ids[[len(ids) * i // shards for i in range(1, shards)]]) if len(ids) > shards else ids[:0]
+    if len(ids) <= shards:
+        return ids[1:]
+    return np.unique(ids[[len(ids) * i // shards for i in range(1, shards)]])
 
 
 def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:

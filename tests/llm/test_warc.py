@@ -70,3 +70,10 @@ def test_empty_table(spark):
     folder, manifest = written(spark, pages(spark).limit(0))
     assert manifest.count() == 0 and read_archives(manifest, folder).count() == 0
     assert "op5_warc" in entrypoint.oracle_sql()
+
+
+def test_large_pages_get_shards_of_their_own(spark):
+    rows = [(i, f"http://a/{i}", f"{i}" * 3000) for i in range(6)]
+    folder, manifest = written(spark, pages(spark, rows), shard_bytes=1000)
+    assert sorted(r["shard"] for r in manifest.collect()) == [0, 1, 2, 3, 4, 5]
+    assert read_archives(manifest, folder).count() == 6
