@@ -8,6 +8,7 @@ from querylight.llm import (  # noqa: F401
     language_id,
     line_templates,
     lm_score,
+    merkle,
     packing,
     repeat_index,
     simhash,
