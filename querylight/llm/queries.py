@@ -5,6 +5,7 @@ from __future__ import annotations
 from querylight.llm import (  # noqa: F401
     dart_minhash,
     decontaminate,
+    exact_fill,
     language_id,
     line_templates,
     lm_score,
