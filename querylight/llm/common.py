@@ -47,3 +47,10 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """`df` with a broadcast hint when its counted rows fit the limit, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of an ASCII text."""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split({text}, ''),
+      lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end))"""

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylight.llm.common import LOWER, UPPER, lower_az
+from querylight.llm.common import LOWER, UPPER, crc32_sql, lower_az
 from querylight.llm.registry import query, table
 from querylight.operators.numbering import number_rows
 from querylight.session import stage
@@ -171,12 +171,8 @@ def manifest(
 
 
 ORACLE = f"""with recursive plain as (
-  select doc_id, source, lang, n_chars, text, doc_id::varchar as t,
-    list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::varchar, ''),
-      lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
-      lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as crc
-  from documents),
-  altered as (select *, case when xor(crc, 4294967295) % {TAMPERED_SHARE} = 0 then translate(text, '{UPPER}', '{LOWER}') else text end as other from plain),
+  select doc_id, source, lang, n_chars, text, {crc32_sql("doc_id::varchar")} as crc from documents),
+  altered as (select *, case when crc % {TAMPERED_SHARE} = 0 then translate(text, '{UPPER}', '{LOWER}') else text end as other from plain),
   hashed as (select doc_id, source, {", ".join(
     "sha256(" + " || ".join(
         f"coalesce(strlen({f}::varchar) || ':' || {f}::varchar, '-')" for f in ("doc_id", "source", "lang", "n_chars", text)

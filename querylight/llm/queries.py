@@ -11,6 +11,7 @@ from querylight.llm import (  # noqa: F401
     lm_score,
     merkle,
     packing,
+    prefix_trie,
     repeat_index,
     simhash,
     url_reputation,
