@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ ORDER = 5
 SAMPLE_ROWS = 1000  # labelled documents per language for the models, and as many for the bounds
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 LEAST_Z, SLACK = 6.0, 2.0  # a rejected text lies beyond both
-BATCH_BYTES = 4 << 20  # text judged at once
+BATCH_BYTES = 1 << 20  # text judged at once
 START, END = 2, 3
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -278,15 +279,20 @@ def train_models(docs: DataFrame, rows: int = SAMPLE_ROWS, order: int = ORDER) -
         words[lang] = (part["word"].to_pylist(), part["n"].to_numpy())
     models = CharModels.train(words, order)
     known = labelled.filter(F.col("lang").isin(models.langs)) if models.langs else labelled.limit(0)
-    judged = judge_texts(sampled(known.filter(F.col("fold") == CALIBRATION), rows), "text", models)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    judged = judge_with(sampled(known.filter(F.col("fold") == CALIBRATION), rows), "text", shared)
     right = judged.filter((F.col("lang") == F.col("lang_pred"))).select("lang", "cross_entropy", "signs").toPandas()
+    shared.destroy()
     models.calibrate(right["lang"].tolist(), right["cross_entropy"].to_numpy(), right["signs"].to_numpy())
     return models
 
 
 def judge_texts(docs: DataFrame, text_col: str, models: CharModels) -> DataFrame:
     """`docs` with lang_pred, score, cross_entropy, signs and rejected (replaced where `docs` has such columns)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return judge_with(docs, text_col, docs.sparkSession.sparkContext.broadcast(models))
+
+
+def judge_with(docs: DataFrame, text_col: str, shared: Broadcast) -> DataFrame:
     added = "lang_pred string, score double, cross_entropy double, signs double, rejected boolean"
     names = [x.split()[0] for x in added.split(", ")]
     rest = [c for c in docs.columns if c not in names or c == text_col]
@@ -297,14 +303,27 @@ def judge_texts(docs: DataFrame, text_col: str, models: CharModels) -> DataFrame
             out = shared.value.judge(batch.column(text_col))
             arrays = [pa.array(out["lang"], pa.string()), *[pa.array(out[c]) for c in ("score", "cross_entropy", "signs", "rejected")]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*rest).mapInArrow(judged, f"{schema}, {added}")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang, …) whose language is recognised."""
-    models = train_models(docs)
-    return judge_texts(docs, "text", models).filter(~F.col("rejected")).select(*docs.columns)
+    """The rows of `docs` (doc_id, text, lang, …) whose language is recognised.
+
+    Only texts go to Python, and only a flag comes back.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train_models(docs))
+
+    @F.arrow_udf("boolean")
+    def recognised(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            parts = small_batches(pa.RecordBatch.from_arrays([whole], names=["text"]), "text")
+            flags = [~shared.value.judge(part.column("text"))["rejected"] for part in parts]
+            yield pa.array(np.concatenate(flags))
+            pa.default_memory_pool().release_unused()
+
+    return docs.filter(recognised(F.col("text")))
 
 
 @query("op4_language_id")

@@ -35,25 +35,30 @@ SPECIAL = "<|endoftext|>"
 
 
 @lru_cache(maxsize=2)
-def encoders(model: str, ranks: str):
-    """The tokenizer, and a quicker coder of the same vocabulary for texts without special tokens."""
+def exact_coder(model: str):
+    """The tokenizer itself; it takes much memory, and few texts need it."""
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path(model))
+    return Tokenizer.from_file(public_tokenizers.path(model))
+
+
+@lru_cache(maxsize=2)
+def quick_coder(ranks: str):
+    """A quicker coder of the same vocabulary for texts without special tokens."""
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path(ranks), "rb") as lines:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    return exact, quick
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
 def encode(text: str, model: str, ranks: str) -> np.ndarray:
     """Ids of `tokenizers` for one text; the quick coder gives the same for all but special tokens."""
-    exact, quick = encoders(model, ranks)
     if SPECIAL in text:
-        return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-    return quick.encode_to_numpy(text).astype(np.uint32)
+        return np.array(exact_coder(model).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return quick_coder(ranks).encode_to_numpy(text).astype(np.uint32)
 
 
 def pieces(
