@@ -1,7 +1,8 @@
 """Database catalogues: flatten, render as schema text, parse back, foreign keys.
 
 Flat form: `cols(db_id, tab_idx, tab, col_idx, col, type)`, optionally with `description` and
-`table_description`; `fks(db_id, fk_idx, t1, c1, t2, c2)`; `enums(db_id, tab, col, value, enum_desc)`.
+`table_description`; `fks(db_id, fk_idx, t1, c1, t2, c2)`; `enums([db_id,] tab, col, value, enum_desc)`, without db_id when all
+databases share them.
 One database is one text value in the end, so its columns meet in one row and nowhere earlier.
 """
 
@@ -17,6 +18,7 @@ DB_MARK = "【DB_ID】 "
 SCHEMA_MARK = "【Schema】"
 FK_MARK = "【Foreign keys】"
 EXAMPLES_MARK = "Value examples: "
+BLOCK_START = "# Table: "
 BLOCK_PATTERN = r"# Table: (.+?)\n\[([\s\S]+?)\]\n"
 
 
@@ -112,9 +114,18 @@ def schema_text(cols: DataFrame, fks: DataFrame) -> DataFrame:
     )
 
 
+def enum_key(enums: DataFrame) -> list[str]:
+    """What an enumeration belongs to: a column of one database, or the same column of all of them."""
+    return [c for c in ("db_id", "tab", "col") if c in enums.columns]
+
+
 def value_examples(enums: DataFrame, seed: str = "0", least: int = 2, most: int = 8) -> DataFrame:
-    """`least` to `most` values per column, picked by hash, so the same input gives the same sample."""
-    key = ["db_id", "tab", "col"]
+    """`least` to `most` values per column, picked by hash, so the same input gives the same sample.
+
+    Enumerations that all databases share come without db_id and are sampled once. The sample is the values of the
+    smallest hashes, so each partition sends no more than `most` rows per column, however many values there are.
+    """
+    key = enum_key(enums)
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *key)), 1, 8), 16, 10).cast("bigint")
     size = least + draw % (most - least + 1)
     by_hash = Window.partitionBy(*key).orderBy(F.md5(F.concat_ws("|", F.lit(seed), *key, "value")), "value")
@@ -138,16 +149,17 @@ def schema_text_rich(cols: DataFrame, fks: DataFrame, enums: DataFrame, seed: st
     The description of an enumeration is appended unless every one of its values already occurs
     in the column description.
     """
-    key = ["db_id", "tab", "col"]
+    key = enum_key(enums)
+    notes = cols.select(*key, "description").distinct()
     named = (
-        enums.join(cols.select(*key, "description"), key)
-        .groupBy(*key)
+        enums.join(notes, key)
+        .groupBy(*key, "description")
         .agg(
             F.bool_and(F.contains("description", "value")).alias("all_named"),
             F.first("enum_desc", ignorenulls=True).alias("enum_desc"),
         )
     )
-    known = cols.join(named, key, "left").join(value_examples(enums, seed), key, "left")
+    known = cols.join(named, [*key, "description"], "left").join(value_examples(enums, seed), key, "left")
     typed = F.coalesce(F.concat(F.lit(":"), "type", F.lit(",")), F.lit(","))
     enum_note = F.coalesce(F.when(F.col("all_named") == F.lit(False), F.concat(F.lit(", "), "enum_desc")), F.lit(""))
     described = F.coalesce(F.concat(F.lit(" "), "description", enum_note, F.lit(".")), F.lit(""))
@@ -163,7 +175,7 @@ def schema_text_names(
     cols: DataFrame, fks: DataFrame, enums: DataFrame, describe: bool = False, seed: str = "0"
 ) -> DataFrame:
     """Schema text without types; with `describe` the column name doubles as its description."""
-    known = cols.join(value_examples(enums, seed, least=1), ["db_id", "tab", "col"], "left")
+    known = cols.join(value_examples(enums, seed, least=1), enum_key(enums), "left")
     name = F.concat("col", F.lit(", "), "col", F.lit(".")) if describe else F.col("col")
     gap = " " if describe else ", "
     shown = F.coalesce(F.concat(F.lit(gap + EXAMPLES_MARK), "examples", F.lit(".")), F.lit(""))
@@ -175,13 +187,12 @@ def schema_text_names(
 
 def parse_columns(texts: DataFrame) -> DataFrame:
     """Schema texts back to `(db_id, tab_idx, tab, col_idx, col, line)`."""
-    blocks = F.arrays_zip(
-        F.regexp_extract_all("schema_text", F.lit(BLOCK_PATTERN), F.lit(1)).alias("tab"),
-        F.regexp_extract_all("schema_text", F.lit(BLOCK_PATTERN), F.lit(2)).alias("body"),
-    )
-    tables = texts.select("db_id", F.posexplode(blocks).alias("tab_idx", "b"))
-    items = F.split(strip_blank(F.col("b.body")), ",\n")
-    each = tables.select("db_id", "tab_idx", F.col("b.tab").alias("tab"), F.posexplode(items).alias("col_idx", "item"))
+    blocks = F.regexp_extract_all("schema_text", F.lit(BLOCK_PATTERN), F.lit(0))
+    tables = texts.select("db_id", F.posexplode(blocks).alias("tab_idx", "block"))
+    name = F.substring_index(F.substr("block", F.lit(len(BLOCK_START) + 1)), "\n[\n", 1)
+    body = F.substr("block", F.length(name) + len(BLOCK_START) + len("\n[\n") + 1)
+    items = F.split(strip_blank(F.regexp_replace(body, r"\]\n$", "")), ",\n")
+    each = tables.select("db_id", "tab_idx", name.alias("tab"), F.posexplode(items).alias("col_idx", "item"))
     inner = F.regexp_extract("item", r"(?s)^[^(]*\((.*)\)[^)]*$", 1)
     name = F.trim(F.split(F.split(F.trim(inner), ",")[0], ":")[0])
     return each.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylight.plans.registry import table
@@ -90,11 +90,51 @@ def enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def enums(spark: SparkSession, sf_dir: str, cols: DataFrame) -> DataFrame:
-    """The values per database, with the description of the enumeration."""
-    values = enum_values(spark, sf_dir)
-    note = F.concat(F.lit("a code of "), "col")
-    return cols.select("db_id", "tab", "col").join(values, ["tab", "col"]).withColumn("enum_desc", note)
+def enums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that all databases share, with the description of the enumeration."""
+    return enum_values(spark, sf_dir).withColumn("enum_desc", F.concat(F.lit("a code of "), "col"))
+
+
+# Every other database has no types, every third no descriptions, every fifth an empty table, every seventh no keys.
+TYPED, DESCRIBED_DB, EMPTY_TABLE, KEYED = "k % 2 = 0", "k % 3 <> 0", "events", "k % 7 <> 0"
+EMPTIED = "k % 5 = 0"
+LISTED = ["nation.n_name", "part.p_brand", "customer.c_mktsegment"]
+
+
+def dict_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(db_id, catalog): the same databases as JSON objects, with optional parts left out here and there."""
+
+    def listed(name: str) -> Column:
+        tab, col = name.split(".")
+        return table(spark, sf_dir, tab).select(F.sort_array(F.collect_set(col))).scalar()
+
+    def when(rule: str, value: Column) -> Column:
+        return F.when(F.expr(rule), value)
+
+    fields = []
+    for tab, text in LAYOUT.items():
+        columns = [c.split(":") for c in text.split()]
+        filled = f"not ({EMPTIED})" if tab == EMPTY_TABLE else "true"
+        entries = []
+        for name in ENUMERATED:
+            if name.startswith(f"{tab}."):
+                col = name.split(".")[1]
+                whole = F.struct(listed(name).alias("values"), F.lit(f"a code of {col}").alias("desc"))
+                entries.append((listed(name) if name in LISTED else whole).alias(col))
+        parts = [
+            when(filled, F.array(*[F.lit(c) for c, _ in columns])).alias("header"),
+            when(f"{filled} and {TYPED}", F.array(*[F.lit(t) for _, t in columns])).alias("type"),
+            when(f"{filled} and {DESCRIBED_DB}", F.array(*[F.lit(column_note(c)) for c, _ in columns])).alias("column_description"),
+        ]
+        if tab in TABLE_NOTES:
+            parts.append(F.lit(TABLE_NOTES[tab]).alias("table_description"))
+        if entries:
+            parts.append(when(filled, F.struct(*entries)).alias("enumerations"))
+        fields.append(F.struct(*parts).alias(tab))
+    pairs = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in KEYS])
+    fields.append(when(KEYED, pairs).alias("foreign_key_map"))
+    dbs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return dbs.select(F.concat(F.lit("db_"), F.col("k").cast("string")).alias("db_id"), F.to_json(F.struct(*fields)).alias("catalog"))
 
 
 def _values(rows: list[tuple]) -> str:
@@ -116,7 +156,6 @@ enum_values as ({" union all ".join(
     f"select distinct '{n.split('.')[0]}' as tab, '{n.split('.')[1]}' as col, {n.split('.')[1]} as value "
     f"from {n.split('.')[0]}" for n in ENUMERATED
 )}),
-enums as (select db_id, tab, col, value from cols join enum_values using (tab, col)),
 plain_tables as (select db_id, tab_idx, '# Table: ' || tab || chr(10) || '[' || chr(10)
     || string_agg('  (' || col || ':' || type || '),' || chr(10), '' order by col_idx) || ']' || chr(10) as text
   from cols group by db_id, tab_idx, tab),
@@ -127,11 +166,24 @@ plain_schema as (select db_id, '【DB_ID】 ' || db_id || chr(10) || '【Schema
         from fks group by db_id) using (db_id))"""
 
 
-def examples_cte(least: int, most: int) -> str:
+DICT_CTE = f"""
+dict_dbs as (select 'db_' || c_custkey as db_id, c_custkey as k from customer),
+dict_cols as (select db_id, k, tab_idx, tab, col_idx - first_idx as col_idx, col,
+    case when {TYPED} then type end as type, case when {DESCRIBED_DB} then description end as description, table_description
+  from dict_dbs, (select *, min(col_idx) over (partition by tab) as first_idx from layout)
+  where not (tab = '{EMPTY_TABLE}' and {EMPTIED})),
+dict_fks as (select db_id, layout_keys.* from dict_dbs, layout_keys where {KEYED}),
+dict_enums as (select db_id, tab, col, value,
+    case when tab || '.' || col not in ({", ".join(f"'{n}'" for n in LISTED)}) then 'a code of ' || col end as enum_desc
+  from dict_cols join enum_values using (tab, col))"""
+
+
+def examples_cte(least: int, most: int, source: str = "enum_values", key: str = "tab, col", name: str = "examples") -> str:
+    mark = " || '|' || ".join(key.split(", "))
     return f"""
-ranked as (select db_id, tab, col, value, row_number() over (partition by db_id, tab, col
-    order by md5('0|' || db_id || '|' || tab || '|' || col || '|' || value), value) as rn from enums),
-examples as (select db_id, tab, col, '[' || string_agg('''' || value || '''', ', ' order by rn) || ']' as examples
-  from ranked where rn <= {least} + cast('0x' || substr(md5('0|' || db_id || '|' || tab || '|' || col), 1, 8) as bigint)
+{name}_ranked as (select {key}, value, row_number() over (partition by {key}
+    order by md5('0|' || {mark} || '|' || value), value) as rn from {source}),
+{name} as (select {key}, '[' || string_agg('''' || value || '''', ', ' order by rn) || ']' as examples
+  from {name}_ranked where rn <= {least} + cast('0x' || substr(md5('0|' || {mark}), 1, 8) as bigint)
     % {most - least + 1}
-  group by db_id, tab, col)"""
+  group by {key})"""

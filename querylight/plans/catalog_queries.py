@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querylight.operators import catalog as ops
-from querylight.plans.catalog_inputs import CATALOG_CTE, catalog, enums, examples_cte, with_notes
+from querylight.operators import catalog_dict
+from querylight.plans.catalog_inputs import CATALOG_CTE, DICT_CTE, catalog, dict_catalogs, enums, examples_cte, with_notes
 from querylight.plans.registry import query
 from querylight.session import stage
 
@@ -57,24 +58,24 @@ def cat_schema_text(spark, sf_dir):
 @query(
     "cat_schema_text_rich",
     f"""with {CATALOG_CTE}, {examples_cte(2, 8)},
-    named as (select db_id, tab, col, bool_and(contains(description, value)) as all_named
-              from enums join cols using (db_id, tab, col) group by all),
+    named as (select tab, col, bool_and(contains(description, value)) as all_named
+              from enum_values join layout using (tab, col) group by all),
     lines as (
       select cols.*, '  (' || col || ':' || type || ', ' || description
           || case when all_named = false then ', a code of ' || col else '' end || '.'
           || coalesce(' Value examples: ' || examples || '.', '') || ')' as line
-      from cols left join named using (db_id, tab, col) left join examples using (db_id, tab, col)),
+      from cols left join named using (tab, col) left join examples using (tab, col)),
     {assembled("line", "tab || case when table_description <> '' then ', ' || table_description else '' end", TICKED)}""",
 )
 def cat_schema_text_rich(spark, sf_dir):
     cols = with_notes(flat(spark, sf_dir))
-    return ops.schema_text_rich(cols, keys(spark, sf_dir), stage(enums(spark, sf_dir, cols), "enums"))
+    return ops.schema_text_rich(cols, keys(spark, sf_dir), stage(enums(spark, sf_dir), "enums"))
 
 
 @query(
     "cat_schema_text_names",
     f"""with {CATALOG_CTE}, {examples_cte(1, 8)},
-    known as (select cols.*, examples from cols left join examples using (db_id, tab, col)),
+    known as (select cols.*, examples from cols left join examples using (tab, col)),
     lines as (select *, '  (' || col || coalesce(', Value examples: ' || examples || '.', '') || ')' as line from known),
     names_only as ({assembled("line", "tab", TICKED).replace("tables as", "with tables as", 1)}),
     lines2 as (select *, '  (' || col || ', ' || col || '.' || coalesce(' Value examples: ' || examples || '.', '')
@@ -84,7 +85,7 @@ def cat_schema_text_rich(spark, sf_dir):
 )
 def cat_schema_text_names(spark, sf_dir):
     cols, fks = flat(spark, sf_dir), keys(spark, sf_dir)
-    values = stage(enums(spark, sf_dir, cols), "enums")
+    values = stage(enums(spark, sf_dir), "enums")
     names = ops.schema_text_names(cols, fks, values)
     described = ops.schema_text_names(cols, fks, values, describe=True)
     both = F.array(
@@ -97,10 +98,11 @@ def cat_schema_text_names(spark, sf_dir):
 
 @query(
     "cat_value_examples",
-    f"with {CATALOG_CTE}, {examples_cte(2, 8)} select db_id, tab, col, examples from examples",
+    f"with {CATALOG_CTE}, {examples_cte(2, 8)} select db_id, tab, col, examples from cols join examples using (tab, col)",
 )
 def cat_value_examples(spark, sf_dir):
-    return ops.value_examples(enums(spark, sf_dir, flat(spark, sf_dir)))
+    sampled = ops.value_examples(enums(spark, sf_dir))
+    return flat(spark, sf_dir).join(sampled, ["tab", "col"]).select("db_id", "tab", "col", "examples")
 
 
 @query(
@@ -158,3 +160,52 @@ def cat_fk_normalise(spark, sf_dir):
 def cat_fk_filter(spark, sf_dir):
     given = flat(spark, sf_dir).filter("tab <> 'supplier'")
     return ops.filter_fks(keys(spark, sf_dir), given).select("db_id", "fk_idx", "t1", "c1", "t2", "c2")
+
+
+@query(
+    "cat_flatten_dict",
+    f"""with {CATALOG_CTE}, {DICT_CTE},
+    listed as (select db_id, tab, col, count(*) as n_values, any_value(enum_desc) as enum_desc,
+        string_agg(value, '|' order by value) as enum_text from dict_enums group by db_id, tab, col)
+    select db_id, tab_idx, tab, col_idx, col, type, description, table_description, coalesce(n_values, 0) as n_values, enum_desc, enum_text
+    from dict_cols left join listed using (db_id, tab, col)
+    union all select db_id, -1, t1, fk_idx, c1, t2, c2, '', 0, null, null from dict_fks""",
+)
+def cat_flatten_dict(spark, sf_dir):
+    """Columns with their enumerations, and the keys as rows of their own."""
+    given = stage(dict_catalogs(spark, sf_dir), "dicts")
+    values = F.array_join(F.sort_array(F.collect_list("value")), "|")
+    listed = catalog_dict.enumerations(given).groupBy("db_id", "tab", "col").agg(
+        F.count("*").alias("n_values"), F.first("enum_desc").alias("enum_desc"), values.alias("enum_text")
+    )
+    columns = catalog_dict.flatten_dict(given).join(listed, ["db_id", "tab", "col"], "left").na.fill(0, ["n_values"])
+    nothing = F.lit(None).cast("string")
+    fks = catalog_dict.foreign_keys(given).select(
+        "db_id", F.lit(-1).alias("tab_idx"), F.col("t1").alias("tab"), F.col("fk_idx").alias("col_idx"), F.col("c1").alias("col"),
+        F.col("t2").alias("type"), F.col("c2").alias("description"), F.lit("").alias("table_description"),
+        F.lit(0).cast("long").alias("n_values"), nothing.alias("enum_desc"), nothing.alias("enum_text"),
+    )
+    return columns.unionByName(fks)
+
+
+@query(
+    "cat_schema_text_dict",
+    f"""with {CATALOG_CTE}, {DICT_CTE}, {examples_cte(2, 8, "dict_enums", "db_id, tab, col")},
+    named as (select db_id, tab, col, bool_and(contains(description, value)) as all_named, any_value(enum_desc) as enum_desc
+              from dict_enums join dict_cols using (db_id, tab, col) group by all),
+    lines as (
+      select c.*, '  (' || col || coalesce(':' || type, '') || ',' || coalesce(' ' || description
+          || case when all_named = false and enum_desc is not null then ', ' || enum_desc else '' end || '.', '')
+          || coalesce(' Value examples: ' || examples || '.', '') || ')' as line
+      from dict_cols c left join named using (db_id, tab, col) left join examples using (db_id, tab, col)),
+    tables as (select db_id, tab_idx, '# Table: ' || tab || case when table_description <> '' then ', ' || table_description else '' end
+        || chr(10) || '[' || chr(10) || string_agg(line, ',' || chr(10) order by col_idx) || chr(10) || ']' as text
+      from lines group by db_id, tab_idx, tab, table_description)
+    select db_id, {DB_TEXT.replace("|| k as", "|| coalesce(k, '') as")}
+    from (select db_id, string_agg(text, chr(10) order by tab_idx) as t from tables group by db_id)
+    left join (select db_id, string_agg({TICKED}, chr(10) order by fk_idx) as k from dict_fks group by db_id) using (db_id)""",
+)
+def cat_schema_text_dict(spark, sf_dir):
+    given = stage(dict_catalogs(spark, sf_dir), "dicts")
+    values = stage(catalog_dict.enumerations(given), "enums")
+    return ops.schema_text_rich(catalog_dict.flatten_dict(given), catalog_dict.foreign_keys(given), values)
