@@ -7,16 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querylight.operators.merging import bpe, merge_word  # noqa: F401
 from querylight.operators.numbering import number_rows
+from querylight.operators.pieces import PieceAutomaton
 from querylight.session import fan_out, stage
 
 # Special tokens, in id order.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 LONGEST_WORD = 200
+VOCAB_BYTES, NODE_BYTES = 256 << 20, 200
 
 
 def build_vocab(lists: DataFrame, size: int = 2000) -> DataFrame:
@@ -78,10 +81,26 @@ def token_lists(lists: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 def wordpiece(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """`(word, pieces)` for the distinct words: greedy longest match, `##` before inner pieces.
 
-    A word with an unmatched rest, or of more than 200 characters, becomes `[UNK]`. Only the substrings
-    of distinct words that are no longer than the longest entry meet the vocabulary.
+    A word with an unmatched rest, or of more than 200 characters, becomes `[UNK]`. A vocabulary within `VOCAB_BYTES`
+    goes to the tasks as an automaton; a larger one is met by join.
     """
-    return _wordpiece_joined(words, vocab)
+    tokens = stage(vocab.select("token"), "tokens")
+    count, size = tokens.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    # An entry takes a node per character at most, and each node some hundred bytes.
+    if NODE_BYTES * (count + size) > VOCAB_BYTES:
+        return _wordpiece_joined(words, tokens)
+    automaton = PieceAutomaton(sorted(r["token"] for r in tokens.collect()))
+    shared = words.sparkSession.sparkContext.broadcast(automaton)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                None if w is None else (shared.value.pieces(w) if len(w) <= LONGEST_WORD else None) or (["[UNK]"] if w else [])
+                for w in batch.column("word").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.list_(pa.string()))], names=["word", "pieces"])
+
+    return fan_out(words.select("word").distinct()).mapInArrow(split, "word string, pieces array<string>")
 
 
 def _wordpiece_joined(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -135,54 +154,6 @@ def top_merges(pairs: DataFrame, size: int) -> DataFrame:
     return number_rows(top, [], ["m", "left", "right"], out="rank").select("left", "right", "rank")
 
 
-def bpe(words: DataFrame, merges: DataFrame) -> DataFrame:
-    """`(word, pieces)` for the distinct words: merge the best ranked adjacent pair until none is ranked.
-
-    A merge can only matter to a word that contains its joined text, so each word carries the merges
-    found by joining its substrings with them; the table of merges may have any size.
-    """
-    longest = merges.agg(F.max(F.length(F.concat("left", "right")))).first()[0] or 0
-    distinct = stage(fan_out(words.select("word").distinct()), "words")
-    starts = distinct.filter(F.length("word") > 1).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("start"))
-    room = F.least(F.lit(longest), F.length("word") - F.col("start") + 1)
-    cut = starts.filter(room >= 2).select("word", "start", F.explode(F.sequence(F.lit(2), room)).alias("len"))
-    texts = cut.select("word", F.substring("word", F.col("start"), F.col("len")).alias("joined")).distinct()
-    found = texts.join(merges.withColumn("joined", F.concat("left", "right")), "joined")
-    ranks = found.groupBy("word").agg(F.collect_list(F.struct("left", "right", "rank")).alias("ranks"))
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pieces = [
-                merge_word(w, {(m["left"], m["right"]): m["rank"] for m in own} if own is not None else {})
-                for w, own in zip(batch["word"], batch["ranks"])
-            ]
-            yield pd.DataFrame({"word": batch["word"], "pieces": pieces})
-
-    return distinct.join(ranks, "word", "left").mapInPandas(encode, "word string, pieces array<string>")
-
-
-def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The merges of one word."""
-    parts = list(word)
-    while len(parts) > 1:
-        ranked = [(ranks[p], p) for p in zip(parts, parts[1:]) if p in ranks]
-        if not ranked:
-            break
-        best = min(ranked)[1]
-        merged: list[str] = []
-        skip = False
-        for here, after in zip(parts, [*parts[1:], None]):
-            if skip:
-                skip = False
-            elif (here, after) == best:
-                merged.append(here + after)
-                skip = True
-            else:
-                merged.append(here)
-        parts = merged
-    return parts
-
-
 # Blanks removed before punctuation and short forms, in this order.
 TIDY = [
     (" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"),

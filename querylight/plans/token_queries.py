@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querylight.functions import text as tx
+from querylight.operators import merging as mg
 from querylight.operators import vocab as vb
 from querylight.plans.registry import query, table
 from querylight.session import spread, stage, stage_path
-from querylight.sources.files import read_vocab, write_lines
+from querylight.sources.files import read_tokenizer, read_vocab, write_lines
 
 CLEAN = r"regexp_replace(regexp_replace({}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}\p{{Cf}}\x{{FFFD}}]', '', 'g'), '[ \t\n\r\p{{Zs}}]', ' ', 'g')"
 CJK = r"regexp_replace({}, '([\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{20000}}-\x{{2A6DF}}\x{{2A700}}-\x{{2B73F}}\x{{2B740}}-\x{{2B81F}}\x{{2B820}}-\x{{2CEAF}}\x{{F900}}-\x{{FAFF}}\x{{2F800}}-\x{{2FA1F}}])', ' \1 ', 'g')"
@@ -216,6 +217,64 @@ def tok_pretoken(spark, sf_dir):
     return each.select("doc_id", "style", F.size("l").alias("n"), F.array_join("l", "¦").alias("tokens"))
 
 
+# The merge table of a public tokenizer; it is read where it lies.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+END_OF_TEXT = "<|endoftext|>"
+SHOWN_BYTES = "".join(chr(b) if b in mg.PRINTABLE else mg.BYTES_AS_SHOWN[mg.BYTES_AS_READ.index(chr(b))] for b in range(256)).replace("'", "''")
+# Every symbol stands between two blanks, as in `tok_bpe`.
+MERGED_CTE = f"""words as materialized (select token, count(*) as n from (select unnest({PLAIN_ORACLE}) as token from documents) group by token),
+    tokenizer as materialized (select content::json as j from read_text('{TOKENIZER}')),
+    merges as materialized (select pair[1] as l, pair[2] as r, i as rank
+      from (select unnest(json_transform(j->'$.model.merges', '[["VARCHAR"]]')) as pair, unnest(range(50000)) as i from tokenizer)),
+    ids as materialized (select e.key as piece, e.value as id
+      from (select unnest(map_entries(cast(j->'$.model.vocab' as map(varchar, bigint)))) as e from tokenizer)),
+    walk as (
+      select token, ' ' || array_to_string(list_transform(range(strlen(token)),
+        lambda i: substr('{SHOWN_BYTES}', ('0x' || substr(hex(encode(token)), 2 * i::int + 1, 2))::int + 1, 1)), '  ') || ' ' as s, 0 as step from words
+      union all
+      select token, replace(s, ' ' || m[1] || '  ' || m[2] || ' ', ' ' || m[1] || m[2] || ' '), step + 1
+      from (select token, s, step, arg_min([l, r], rank) as m
+            from (select token, s, step, unnest(list_zip(parts[:-2], parts[2:])) as p
+                  from (select token, s, step, string_split(trim(s), '  ') as parts from walk))
+            join merges on l = p[1] and r = p[2] group by token, s, step)),
+    merged as materialized (select token, replace(trim(arg_max(s, step)), '  ', ' ') as pieces from walk group by token),
+    numbered as materialized (select token, string_agg(coalesce(id, 0), ' ' order by i) as ids
+      from (select token, unnest(string_split(pieces, ' ')) as piece, unnest(range(len(string_split(pieces, ' ')))) as i from merged)
+      left join ids using (piece) group by token)"""
+
+
+@query(
+    "tok_bpe_pretokens",
+    f"with recursive {MERGED_CTE} select token, n, pieces, ids from words join merged using (token) join numbered using (token)",
+)
+def tok_bpe_pretokens(spark, sf_dir):
+    """Distinct pre-tokens through 50,000 byte-level merges to pieces and ids."""
+    merges, vocab = read_tokenizer(spark, f"file://{TOKENIZER}")
+    each = spread(documents(spark, sf_dir)).select(F.explode(tx.pretokens(F.col("text"))).alias("token"))
+    words = stage(each.groupBy("token").agg(F.count("*").alias("n")).withColumn("word", mg.byte_text(F.col("token"))), "words")
+    pieces = mg.bpe(words, merges)
+    both = stage(words.join(pieces, "word").drop("word"), "pieces")
+    lists = both.select(F.col("token").alias("word"), F.col("pieces").alias("tokens"))
+    shown = both.join(vb.id_lists(lists, vocab, "word", unknown=0), F.col("token") == F.col("word"))
+    return shown.select("token", "n", F.array_join("pieces", " ").alias("pieces"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query(
+    "tok_byte_ids",
+    f"""with recursive {MERGED_CTE},
+    spots as (select doc_id, unnest(l) as token, unnest(range(len(l))) as pos from (select doc_id, {PLAIN_ORACLE} as l from documents))
+    select doc_id, string_agg(ids, ' ' order by pos) || ' ' || (select max(id) + 1 from ids) as ids
+    from spots join numbered using (token) group by doc_id""",
+)
+def tok_byte_ids(spark, sf_dir):
+    """Whole documents, closed by a special token behind the vocabulary: pre-tokens, merges and ids in one pass."""
+    merges, vocab = read_tokenizer(spark, f"file://{TOKENIZER}")
+    tokens = F.transform(tx.pretokens(F.col("text")), mg.byte_text)
+    lists = spread(documents(spark, sf_dir)).filter("text <> ''").select("doc_id", F.array_append(tokens, F.lit(END_OF_TEXT)).alias("tokens"))
+    ids = mg.encode_lists(lists, "doc_id", "tokens", merges, vocab, unknown=0, specials=[END_OF_TEXT])
+    return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 @query(
     "tok_paragraphs",
     f"""with lists as (select doc_id, string_split({WITH_CJK}, chr(10) || chr(10)) as l from documents),
@@ -230,6 +289,22 @@ def tok_paragraphs(spark, sf_dir):
     return paras.select("doc_id", F.col("para").cast("bigint").alias("para"), tx.mark_ideographs(F.col("t")).alias("t"))
 
 
+@query(
+    "tok_paragraph_tokens",
+    f"""with paras as (select doc_id, string_split({WITH_CJK}, chr(10) || chr(10)) as l from documents),
+    parts as (select doc_id, len(l) as n, unnest(range(len(l))) as para, unnest(l) as t from paras),
+    marked as (select doc_id, para, string_split(regexp_replace(t || case when para < n - 1 then chr(10) || chr(10) else '' end,
+      '([\\x{{4E00}}-\\x{{9FFF}}\\x{{3400}}-\\x{{4DBF}}\\x{{3006}}\\x{{3007}}])', '¦\\1¦', 'g'), '¦') as l from parts),
+    stretches as (select doc_id, para, unnest(range(len(l))) as spot, unnest(l) as text from marked),
+    tokens as (select doc_id, para, spot, {PLAIN_ORACLE} as l from stretches where text <> '')
+    select doc_id, cast(sum(len(l)) as bigint) as n, string_agg(array_to_string(l, '¦'), '¦' order by para, spot) as tokens from tokens group by doc_id""",
+)
+def tok_paragraph_tokens(spark, sf_dir):
+    mixed = spread(documents(spark, sf_dir)).selectExpr("doc_id", f"{WITH_CJK} as text")
+    lists = mixed.select("doc_id", tx.paragraph_tokens(F.col("text")).alias("l")).filter(F.size("l") > 0)
+    return lists.select("doc_id", F.size("l").cast("bigint").alias("n"), F.array_join("l", "¦").alias("tokens"))
+
+
 @query(
     "tok_detokenize",
     f"""with {VOCAB_CTE},

@@ -82,3 +82,13 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("value", r"^\s+|\s+$", "").alias("token"),
     )
     return number_rows(lines, [], ["block", "at"], out="id").select("id", "token")
+
+
+def read_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """`merges(left, right, rank)` and `vocab(id, token)` of a tokenizer's JSON file; merges are pairs, or texts with a blank between."""
+    parsed = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    merges = parsed.select(F.try_variant_get("v", "$.model.merges", "array<array<string>>").alias("pairs"), F.try_variant_get("v", "$.model.merges", "array<string>").alias("texts"))
+    listed = F.coalesce("pairs", F.transform("texts", lambda t: F.split(t, " ")))
+    ranked = merges.select(F.posexplode(listed).alias("rank", "pair"))
+    vocab = parsed.select(F.variant_get("v", "$.model.vocab", "map<string,bigint>").alias("m")).select(F.explode("m").alias("token", "id"))
+    return ranked.select(F.get("pair", F.lit(0)).alias("left"), F.get("pair", F.lit(1)).alias("right"), "rank"), vocab.select("id", "token")
