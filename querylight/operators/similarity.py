@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from querylight.functions.strings import jaro_winkler
 from querylight.operators.cells import as_rows
+from querylight.operators.fuzzy import fuzzy_join, fuzzy_pairs, text_similarity  # noqa: F401
 from querylight.operators.match import bags_equal, side_bit
 from querylight.operators.numbering import number_rows
 from querylight.session import fan_out, stage
@@ -181,54 +181,3 @@ def _align_large(sided: DataFrame, counts: DataFrame) -> DataFrame:
         )
         open_rows = stage(open_rows.filter(F.col("j") > i), "open")
     return gains.groupBy("pair_id").agg(F.sum("shared").alias("shared"))
-
-
-def text_similarity(pairs: DataFrame, left: str, right: str, out: str = "similarity") -> DataFrame:
-    """Jaro-Winkler similarity of two text columns, computed once per distinct text pair."""
-    distinct = fan_out(pairs.filter(F.col(left) != F.col(right)).select(left, right).distinct())
-    scored = distinct.withColumn(out, jaro_winkler(F.col(left), F.col(right)))
-    same = F.when(F.col(left) == F.col(right), 1.0)
-    return pairs.join(scored, [left, right], "left").withColumn(out, F.coalesce(F.col(out), same))
-
-
-def fuzzy_to_representative(names: DataFrame, key: str, name: str, block: list[str], at_least: float) -> DataFrame:
-    """Names that resemble the representative of their block, the name with the smallest key.
-
-    Every name meets one other name, so the work is linear whatever the size of a block.
-    """
-    first = names.groupBy(*block).agg(F.min_by(name, key).alias("representative"))
-    met = names.join(first, block)
-    return text_similarity(met, name, "representative").filter(F.col("similarity") >= at_least)
-
-
-def fuzzy_pairs(names: DataFrame, name: str, block: list[str], at_least: float, salts: int = 8) -> DataFrame:
-    """All pairs of names that resemble each other within their block, each with how many rows hold it.
-
-    (block, left_name, right_name, left_rows, right_rows, similarity), left_name before right_name; a name of several
-    rows is paired with itself, so that the copies are those rows. Names are met once per block, whatever their copies. A
-    name too short or long to reach `at_least` with another meets it only in the join condition: Jaro-Winkler is at most
-    0.6 Jaro + 0.4 above 0.7, and Jaro at most (2 + shorter / longer) / 3. The left side of a block is dealt out to
-    `salts` keys. Rows without a name or block have no pair.
-    """
-    jaro = at_least if at_least <= 0.7 else (at_least - 0.4) / 0.6
-    counted = names.filter(F.col(name).isNotNull()).groupBy(*block, name).agg(F.count("*").alias("n"))
-    counted = stage(counted, "names")
-    left = counted.select(
-        *block, F.col(name).alias("left_name"), F.col("n").alias("left_rows"), F.pmod(F.xxhash64(name), F.lit(salts)).alias("salt")
-    )
-    right = counted.select(
-        *block,
-        F.col(name).alias("right_name"),
-        F.col("n").alias("right_rows"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
-    )
-    shorter = F.least(F.char_length("left_name"), F.char_length("right_name"))
-    longer = F.greatest(F.char_length("left_name"), F.char_length("right_name"))
-    close = shorter >= (3 * jaro - 2 - 1e-9) * longer
-    met = left.join(right, [*block, "salt"]).filter(
-        close & ((F.col("left_name") < F.col("right_name")) | ((F.col("left_name") == F.col("right_name")) & (F.col("left_rows") > 1)))
-    )
-    scored = text_similarity(met.drop("salt"), "left_name", "right_name")
-    return scored.filter(F.col("similarity") >= at_least).select(
-        *block, "left_name", "right_name", "left_rows", "right_rows", "similarity"
-    )

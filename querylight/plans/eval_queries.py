@@ -237,15 +237,17 @@ def sim_jaro_winkler(spark, sf_dir):
 
 @query(
     "sim_fuzzy_join",
-    """with rep as (select p_type, p_size, min_by(p_name, p_partkey) as representative from part group by all)
-    select p_partkey, p_name, representative, round(jaro_winkler_similarity(p_name, representative), 6) as similarity
-    from part join rep using (p_type, p_size)
-    where jaro_winkler_similarity(p_name, representative) >= 0.7""",
+    """with named as (select distinct p_type, p_size, p_name from part)
+    select 'pair' as kind, p_type, p_size, null as p_partkey, l.p_name as left_name, r.p_name as right_name,
+      round(jaro_winkler_similarity(l.p_name, r.p_name), 6) as similarity
+    from named l join named r using (p_type, p_size)
+    where l.p_name < r.p_name and jaro_winkler_similarity(l.p_name, r.p_name) >= 0.7
+    union all select 'member', p_type, p_size, p_partkey, p_name, null, null from part""",
 )
 def sim_fuzzy_join(spark, sf_dir):
     names = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
-    near = similarity.fuzzy_to_representative(names, "p_partkey", "p_name", ["p_type", "p_size"], 0.7)
-    return near.select("p_partkey", "p_name", "representative", F.round("similarity", 6).alias("similarity"))
+    joined = similarity.fuzzy_join(names, "p_partkey", "p_name", ["p_type", "p_size"], 0.7)
+    return joined.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
