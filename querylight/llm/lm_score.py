@@ -1,13 +1,16 @@
 """Scores of texts under a causal self-attention model of subword ids.
 
 The model. A text is its words (between ASCII blanks, A-Z lower-cased), each as subword ids, and an
-end. The next id's class depends on the context, the id on its class and the last id:
+end. Whether a word ends depends on the last id, the next id's class on that and the context, the id on its
+class and the last id:
 
-    p(id | context) = p(class | context) * p(id | class, last)
+    p(begins, id | context) = p(begins | last) * p(class | context, begins) * p(id | class, last)
+    p(begins | last) = (times that `last` ended a word + 1/2) / (times of `last` + 1)
     class logits = table[last] + attention . U
     p(id | class, last) = (n(last, id) + A * p(id | class)) / (n(last, class) + A)
 
-where `last` is the last id, or `word start` when the next id begins a word.
+where `last` in the last two lines is the last id, or `word start` when the next id begins a word (the end
+does). Over all ids, beginning a word or not, the probabilities sum to one.
 
 One head of attention over the last `WINDOW` ids, with an embedding each for queries, keys and values
 and a learned bias per distance, adds what the table does not know. Windows overlap by `OVERLAP` ids,
@@ -115,6 +118,7 @@ class AttentionModel:
     v: np.ndarray
     u: np.ndarray
     bias: np.ndarray  # by distance
+    word_ends: np.ndarray  # p(a word ends | last id)
     _v_one: np.ndarray | None = None
 
     @classmethod
@@ -127,6 +131,7 @@ class AttentionModel:
         pair_n: np.ndarray,
         seed: int = 1,
         pair_sums: np.ndarray | None = None,
+        word_ends: np.ndarray | None = None,
     ) -> AttentionModel:
         """`pair_sums` are given when `pairs` are not all there are."""
         rng = np.random.default_rng(seed)
@@ -140,7 +145,15 @@ class AttentionModel:
         q, k, v = (rng.normal(0, 0.3, shape).astype(np.float32) for _ in range(3))
         u = rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32)
         base, bias = base.astype(np.float32), np.zeros(WINDOW, np.float32)
-        return cls(class_of, in_class, pairs, pair_n, pair_sums, base, row_of, q, k, v, u, bias)
+        # What does not follow an id inside a word is a word's end behind it.
+        ends = unigrams - pair_sums[:IDS].sum(axis=1) if word_ends is None else word_ends
+        chance = (np.clip(ends, 0, unigrams) + 0.5) / (unigrams + 1)
+        return cls(class_of, in_class, pairs, pair_n, pair_sums, base, row_of, q, k, v, u, bias, chance)
+
+    def borders(self, last: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Natural log of the probability that the word ends (`begins`) or goes on behind the last id."""
+        chance = self.word_ends[last]
+        return np.log(np.where(begins, chance, 1 - chance))
 
     def inside(self, last: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of p(id | class, last), as if pairs that the model does not hold had no count."""
@@ -165,9 +178,8 @@ class AttentionModel:
         w = np.matmul(q, k.transpose(0, 2, 1))
         w *= np.float32(WIDTH**-0.5)
         w += self.mask(rows.shape[1], first)
-        w -= w.max(axis=2, keepdims=True)
-        np.exp(w, out=w)
-        w /= w.sum(axis=2, keepdims=True)
+        np.exp(w, out=w)  # `bounded` keeps the logits in range
+        w /= np.matmul(w, np.ones((rows.shape[1], 1), dtype=np.float32))
         return q, k, v, w
 
     def bounded(self) -> None:
@@ -234,9 +246,8 @@ class AttentionModel:
         q, k, v, w = self.attend(rows, 0)
         mixed = np.matmul(w, v)
         p = self.base[np.where(starts_word[:, 1:], WORD_START, x).ravel()] + mixed.reshape(-1, WIDTH) @ self.u
-        p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
+        p /= p @ np.ones((CLASSES, 1), dtype=np.float32)
         p[np.arange(len(p)), self.class_of[np.maximum(y, 0).ravel()]] -= 1
         p *= real[:, None]
         d_mixed = (p @ self.u.T).reshape(mixed.shape)
@@ -272,7 +283,8 @@ class AttentionModel:
             for a in range(0, len(order), BATCH):
                 own = order[a : a + BATCH]
                 self.take(adam.step(*self.gradients(ids[own], starts_word[own])))
-        self.bounded()
+                self.bounded()
+                adam.flat[:] = self.weights()
 
     def take(self, flat: np.ndarray) -> None:
         other = self.with_weights(flat)
@@ -387,7 +399,8 @@ def train_model(keyed: DataFrame, counts: DataFrame, docs: int, passages: int =
     keys = np.append(kept["last"].to_numpy() * IDS + kept["id"].to_numpy(), WORD_START * IDS + END)
     order = np.argsort(keys)
     held_n = np.append(kept["n"].to_numpy(), docs)[order].astype(np.float32)
-    model = AttentionModel.start(unigrams, class_of, base, keys[order], held_n, pair_sums=sums.astype(np.float32))
+    ends = unigrams - sums[:IDS].sum(axis=1)
+    model = AttentionModel.start(unigrams, class_of, base, keys[order], held_n, pair_sums=sums.astype(np.float32), word_ends=ends)
     if others is not None:
         others = pair_gains(others, model.in_class)
 
@@ -434,9 +447,9 @@ def fit_on_all(keyed: DataFrame, model: AttentionModel, ranks: str = RANKS, roun
     for i in range(rounds):
         n, total = slice_gradients(keyed, fixed, adam.flat, i, rounds, ranks)
         if n:
-            adam.step(n, total)
-    model.take(adam.flat)
-    model.bounded()
+            model.take(adam.step(n, total))
+            model.bounded()
+            adam.flat[:] = model.weights()
 
 
 def slice_gradients(keyed: DataFrame, fixed, flat: np.ndarray, i: int, rounds: int, ranks: str = RANKS) -> tuple[int, np.ndarray]:
@@ -574,6 +587,7 @@ def scored(
                 before = ids_before(text.word_ids, text.offsets)
                 within = model.inside(before, text.word_ids)
                 chances[text.inside] = within[text.place]
+                chances[1:] += model.borders(text.ids[:-1], text.begins[1:])
                 lacks = np.zeros(len(before), dtype=bool) if whole else ~model.held(before, text.word_ids)[1]
                 lacking = lacks[text.place]
                 lacking_sizes = np.bincount(np.repeat(np.arange(n), text.sizes - 2)[lacking], minlength=n)

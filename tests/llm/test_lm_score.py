@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entrypoint
 from odd import LOW, SF, no_documents, odd_documents
 from querylight.llm import lm_score
+from querylight.session import stage
 from querylight.llm.lm_score import CLASSES, END, IDS, AttentionModel, lm_scores
 
 TOKEN = re.compile("[^\x20\x09-\x0d]+")
@@ -57,6 +58,68 @@ def test_next_ids_sum_to_one():
     assert math.isclose(total, 1, rel_tol=1e-4)
 
 
+def test_ids_and_word_borders_sum_to_one():
+    m = model()
+    ids, every = np.array([[END, 5, 77, 900]]), np.arange(IDS)
+    total = 0.0
+    for begins in (False, True):
+        last = np.full(IDS, lm_score.WORD_START if begins else 900)
+        within = np.exp(m.inside(last, every))
+        marks = np.array([[True, True, False, begins]])
+        border = np.exp(m.borders(np.array([900]), np.array([begins]))[0])
+        for c in range(CLASSES):
+            some = every[m.class_of == c]
+            targets = ids.copy()
+            targets[0, 3] = some[0]
+            total += border * np.exp(m.window_scores(ids, targets, marks, 0)[0, 3]) * within[some].sum()
+    assert math.isclose(total, 1, rel_tol=1e-4)
+
+
+def naive_score(m, words):
+    """The log probability of a text, id by id, with plain loops over the context."""
+    own = [lm_score.word_ids(lm_score.pa.array([w]))[0].tolist() for w in words]
+    ids = [END, *[i for w in own for i in w], END]
+    begins = [True, *[n == 0 for w in own for n in range(len(w))], True]
+    total = 0.0
+    for t in range(1, len(ids)):
+        start = 0 if t <= 32 else 24 * ((t - 9) // 24)
+        seen, last = ids[start:t], ids[t - 1]
+        rows = [m.row_of[i] for i in seen]
+        q = m.q[rows[-1]]
+        weights = [math.exp(float(q @ m.k[r]) / math.sqrt(lm_score.WIDTH) + float(m.bias[len(rows) - 1 - j])) for j, r in enumerate(rows)]
+        mixed = sum(w * m.v[r].astype(float) for w, r in zip(weights, rows)) / sum(weights)
+        row = lm_score.WORD_START if begins[t] else last
+        logits = m.base[row] + mixed @ m.u
+        kind = m.class_of[ids[t]]
+        total += logits[kind] - math.log(np.exp(logits.astype(float)).sum())
+        n = dict(zip(m.pairs.tolist(), m.pair_n.tolist())).get(row * IDS + ids[t], 0)
+        total += math.log((n + 2 * m.in_class[ids[t]]) / (m.pair_sums[row, kind] + 2))
+        total += math.log(m.word_ends[last] if begins[t] else 1 - m.word_ends[last])
+    return total / math.log(10)
+
+
+def test_scores_match_a_naive_pass(spark):
+    m = model(7)
+    m.bias[:] = 0.1
+    texts = ["", "one", "a few words of no great length", " ".join(f"word{i % 13}s unlikely" for i in range(40))]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", F.lit(0).cast("long"))
+    common = (lm_score.pa.array(["one"]), np.array([3.0]))
+    got = {r["id"]: r["score"] for r in lm_score.scored(keyed, m, common).collect()}
+    for i, text in enumerate(texts):
+        assert math.isclose(got[i], naive_score(m, text.split()), rel_tol=1e-4)
+
+
+def test_words_at_once_does_not_change_scores(spark, monkeypatch):
+    m = model(8)
+    texts = [" ".join(f"w{i * j % 17}" for j in range(i * 3)) for i in range(9)]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", F.lit(0).cast("long")).coalesce(1)
+    common = (lm_score.pa.array(["w0"]), np.array([3.0]))
+    score = lambda: {r["id"]: r["score"] for r in lm_score.scored(keyed, m, common).collect()}
+    whole = score()
+    monkeypatch.setattr(lm_score, "WORDS_AT_ONCE", 10)
+    assert all(math.isclose(whole[i], s, rel_tol=1e-5) for i, s in score().items())
+
+
 def test_windows_score_each_id_once_and_look_back_only():
     m = model(1)
     rng = np.random.default_rng(2)
@@ -134,7 +197,7 @@ def test_weights_follow_texts_outside_the_passages(spark):
 def test_pairs_beyond_the_most_frequent_count(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "EPOCHS", 1)
     monkeypatch.setattr(lm_score, "ROUNDS", 2)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40).localCheckpoint()
+    docs = stage(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40))
     docs = docs.union(docs.filter("doc_id % 5 = 0"))  # rows that agree in id and text
     held = F.col("id") % 4 == 0
     scores = lambda: sorted((r["id"], r["score"]) for r in lm_scores(docs, held).select("id", "score").collect())
