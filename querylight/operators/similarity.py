@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from querylight.operators.cells import as_rows
 from querylight.operators.fuzzy import fuzzy_join, fuzzy_pairs, text_similarity  # noqa: F401
 from querylight.operators.match import bags_equal, side_bit
 from querylight.operators.numbering import number_rows
+from querylight.operators.replay import shared_values
 from querylight.session import fan_out, stage
 
 
@@ -75,14 +77,15 @@ def df_sim_is_one(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def align_score(cells: DataFrame, pairs: DataFrame, small: int = 256) -> DataFrame:
+def align_score(cells: DataFrame, pairs: DataFrame, small: int = 256, at_once: int = 1_000_000) -> DataFrame:
     """`score`: frame similarity after greedy row alignment.
 
     The shorter side drives; its row i takes the most similar of the rows still open at places
     i and up (the first of equals), which swaps places with row i. The choice at i depends on all
     choices before it, so a pair is walked in order: results of at most `small` rows as one array
-    per pair, larger ones one place per round, each round a distributed search over the
-    open rows of all large pairs together. Both give the same score.
+    per pair, those of at most `at_once` values as one group per pair, on postings; only what would not
+    fit a task goes one place per round, each round a distributed search over the
+    open rows of all such pairs together. All give the same score.
     """
     # Places are ranks from 0, whatever numbers the rows came with.
     placed = number_rows(row_sets(cells), ["pair_id", "side"], ["row_idx"], out="place")
@@ -96,11 +99,14 @@ def align_score(cells: DataFrame, pairs: DataFrame, small: int = 256) -> DataFra
     driver = F.when(F.col("gold_n") > F.col("pred_n"), "pred").otherwise("gold")
     sided = sets.join(counts, "pair_id").withColumn("drives", F.col("side") == driver)
     is_small = F.greatest("gold_n", "pred_n") <= small
+    fits = ~is_small & (F.col("total") + F.col("gold_n") + F.col("pred_n") <= at_once)
     by_array = _align_small(sided.filter(is_small)).withColumnRenamed("shared", "by_array")
-    by_rounds = _align_large(sided.filter(~is_small), counts.filter(~is_small)).withColumnRenamed("shared", "by_rounds")
-    shared = F.coalesce("by_array", "by_rounds", F.lit(0))
+    by_postings = _align_on_postings(sided.filter(fits)).withColumnRenamed("shared", "by_postings")
+    by_rounds = _align_large(sided.filter(~is_small & ~fits), counts.filter(~is_small & ~fits)).withColumnRenamed("shared", "by_rounds")
+    shared = F.coalesce("by_array", "by_postings", "by_rounds", F.lit(0))
     scored = (
         counts.join(by_array, "pair_id", "left")
+        .join(by_postings, "pair_id", "left")
         .join(by_rounds, "pair_id", "left")
         .select("pair_id", (shared / (F.col("total") - shared)).alias("score"))
     )
@@ -109,6 +115,22 @@ def align_score(cells: DataFrame, pairs: DataFrame, small: int = 256) -> DataFra
     )
 
 
+def _align_on_postings(sided: DataFrame) -> DataFrame:
+    """Shared values after alignment; both sides of a pair fit one task."""
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("row_idx", kind="stable")
+        sizes = part["vals"].map(len).to_numpy()
+        codes, known = pd.factorize(np.concatenate(part["vals"].to_list()), sort=True)
+        rows = [np.sort(own) for own in np.split(codes, np.cumsum(sizes)[:-1])]
+        short, long = ([r for r, drives in zip(rows, part["drives"]) if drives == side] for side in (True, False))
+        return pd.DataFrame({"pair_id": part["pair_id"].iloc[:1], "shared": [shared_values(short, long, len(known))]})
+
+    kind = sided.schema["pair_id"].dataType.simpleString()
+    rows = sided.select("pair_id", "drives", "row_idx", "vals")
+    return rows.groupBy("pair_id").applyInPandas(solve, f"pair_id {kind}, shared long")
+
+
 def _align_small(sided: DataFrame) -> DataFrame:
     """Shared values after alignment; both sides of a pair have a bounded number of rows."""
 

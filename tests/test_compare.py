@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import brute_align, brute_equal, brute_subset, cells_frame, random_tables, verdict_map
-from querylight.operators import frames, match, similarity, verdicts
+from querylight.operators import frames, match, replay, similarity, verdicts
 from querylight.operators.cells import canonical_cell
 
 
@@ -100,11 +101,31 @@ def test_subset_float_tolerance(spark):
     assert verdict_map(frames.subset_match(cells, pairs), "subset")[1] is True
 
 
+def test_replay_on_postings(spark):
+    rng = random.Random(8)
+    for n in range(300):
+        rows = [[sorted(rng.sample(range(6), rng.randint(0, 3))) for _ in range(rng.randint(0, 9))] for _ in range(2)]
+        short, long = sorted(rows, key=len)
+        want = similarity._shared_after_swaps(short, long)
+        assert replay.shared_values(*[[np.array(r, dtype=np.int64) for r in side] for side in (short, long)], 6) == want
+
+
+def test_align_score_of_ten_thousand_rows(spark):
+    rng = random.Random(9)
+    gold = [(f"str:{i}", f"str:{i % 700}", "str:same") for i in range(10_000)]
+    pred = gold[:9_900] + [(f"str:{i}x", f"str:{i % 50}", "str:same") for i in range(150)]
+    rng.shuffle(pred)
+    cells, pairs = cells_frame(spark, {1: (gold, pred), 2: ([], []), 3: (gold[:300], gold[:300][::-1])})
+    got = verdict_map(similarity.align_score(cells, pairs), "score")
+    assert got[2] == got[3] == 1.0 and 0.97 < got[1] < 1.0
+
+
 def test_align_score_small_and_large_agree_with_greedy(spark, tables):
     cells, pairs = cells_frame(spark, tables)
     want = {p: pytest.approx(brute_align(g, q)) for p, (g, q) in tables.items()}
     assert verdict_map(similarity.align_score(cells, pairs), "score") == want
     assert verdict_map(similarity.align_score(cells, pairs, small=2), "score") == want
+    assert verdict_map(similarity.align_score(cells, pairs, small=2, at_once=0), "score") == want
 
 
 def test_similarity_one_means_equal_bags_of_row_sets(spark, tables):
