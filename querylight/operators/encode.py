@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType
 
 from querylight.operators.numbering import number_rows
+from querylight.session import stage
 
 # Fixed values.
 IGNORE = -100
@@ -63,12 +62,22 @@ def split_label(label: Column) -> list[Column]:
     return [parts[0].alias("db_name"), parts[1].alias("sql_type"), F.element_at(parts, -1).alias("target")]
 
 
-def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Consecutive batches of `size` rows in `order`, the last one short."""
-    numbered = number_rows(rows, [], order, out="_at")
-    return numbered.select(
-        *rows.columns, F.floor(F.col("_at") / size).alias("batch_id"), (F.col("_at") % size).alias("slot")
-    )
+def batches(rows: DataFrame, order: list[str], size: int, widest: str | None = None) -> DataFrame:
+    """Consecutive batches of `size` rows in `order`, the last one short; with `widest`, the batch's largest size of that
+    array as `width`.
+
+    `order` is unique and not null. Only the keys are numbered and measured; the rows then meet their key once. Rows without
+    arrays are numbered as they are.
+    """
+    place = [F.floor(F.col("_at") / size).alias("batch_id"), (F.col("_at") % size).alias("slot")]
+    if widest is None and not any(isinstance(f.dataType, ArrayType) for f in rows.schema):
+        return number_rows(rows, [], order, out="_at").select(*rows.columns, *place)
+    measure = [F.size(widest).alias("_size")] if widest else []
+    keys = number_rows(rows.select(*order, *measure), [], order, out="_at").select(*order, *place, *(["_size"] if widest else []))
+    if widest:
+        keys = stage(keys, "batch-keys")
+        keys = keys.join(keys.groupBy("batch_id").agg(F.max("_size").alias("width")), "batch_id").drop("_size")
+    return rows.join(keys, order)
 
 
 def _fill(values: Column, width: Column, filler: int, left: bool) -> Column:
@@ -77,21 +86,25 @@ def _fill(values: Column, width: Column, filler: int, left: bool) -> Column:
 
 
 def pad_batches(rows: DataFrame, pad_id: int = 0, left: bool = True) -> DataFrame:
-    """Pad `ids`, `labels` and a new `mask` to the longest `ids` of each batch; batches have a fixed size."""
-    width = F.max(F.size("ids")).over(Window.partitionBy("batch_id"))
-    ones = F.transform("ids", lambda _: F.lit(1).cast("long"))
+    """Pad `ids`, `labels` and a new `mask` to the longest `ids` of each batch: `width` when the rows have it."""
+    ones = F.array_repeat(F.lit(1).cast("long"), F.size("ids"))
+    if "width" not in rows.columns:
+        rows = rows.withColumn("width", F.max(F.size("ids")).over(Window.partitionBy("batch_id")))
     return (
-        rows.withColumn("width", width)
-        .withColumn("mask", _fill(ones, F.col("width"), 0, left))
+        rows.withColumn("mask", _fill(ones, F.col("width"), 0, left))
         .withColumn("ids", _fill(F.col("ids"), F.col("width"), pad_id, left))
         .withColumn("labels", _fill(F.col("labels"), F.col("width"), IGNORE, left))
     )
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def positions(mask: pd.Series) -> pd.Series:
-    """Position ids: the running sum of the mask minus one, 1 where the mask is 0."""
-    return mask.map(lambda m: np.where(np.asarray(m) == 0, 1, np.cumsum(m) - 1), na_action="ignore")
+def positions(mask: Column, length: Column) -> Column:
+    """Position ids: the running sum of the mask minus one, 1 where the mask is 0. Padding is on one side, so the
+    `length` ones stand in a row and count up from 0."""
+    lead = F.greatest(F.array_position(mask, F.lit(1).cast("long")) - 1, F.lit(0)).cast("int")
+    filler = F.lit(1).cast("long")
+    count = F.when(length > 0, F.sequence(F.lit(0).cast("long"), length - 1)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.size(mask) - lead - length.cast("int")
+    return F.concat(F.array_repeat(filler, lead), count, F.array_repeat(filler, tail))
 
 
 def pack_offsets(padded: DataFrame) -> DataFrame:
@@ -103,7 +116,7 @@ def pack_offsets(padded: DataFrame) -> DataFrame:
         padded.withColumn("length", length)
         .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
         .withColumn("max_length", F.max("length").over(batch))
-        .withColumn("position_ids", positions(F.col("mask")))
+        .withColumn("position_ids", positions(F.col("mask"), F.col("length")))
     )
 
 

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from querylight.session import fan_out, stage
 # Special tokens, in id order.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 LONGEST_WORD = 200
-VOCAB_BYTES, NODE_BYTES = 256 << 20, 200
+VOCAB_BYTES, NODE_BYTES, ENTRY_BYTES = 256 << 20, 200, 64
 
 
 def build_vocab(lists: DataFrame, size: int = 2000) -> DataFrame:
@@ -42,13 +44,40 @@ def build_vocab(lists: DataFrame, size: int = 2000) -> DataFrame:
 def _map_lists(lists: DataFrame, key: str, column: str, pairs: DataFrame, out: str, fallback) -> DataFrame:
     """`(key, out)`: every element of an array column looked up in `pairs`.
 
-    The elements of all lists join the table, which Spark sends to the tasks when it is small, and the
-    lists are put together again. A null list stays null, an empty one empty; a repeated entry of the
-    table counts once, with its smallest value.
+    A table within `VOCAB_BYTES` goes to the tasks, which look up whole Arrow batches, and no row moves; a larger
+    one is met by join. A null list stays null, an empty one empty; a repeated entry of the table counts once, with its
+    smallest value.
     """
     old, new = pairs.columns
     kind = dict(pairs.dtypes)[new]
-    entries = pairs.groupBy(old).agg(F.min(new).alias(new))
+    entries = stage(pairs.groupBy(old).agg(F.min(new).alias(new)), "entries")
+    text = F.octet_length(F.col(old).cast("string")) + F.octet_length(F.col(new).cast("string"))
+    count, size = entries.agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    if ENTRY_BYTES * count + size > VOCAB_BYTES:
+        return _map_by_join(lists, key, column, entries, out, fallback)
+    shared = lists.sparkSession.sparkContext.broadcast(entries.filter(F.col(old).isNotNull()).toArrow().combine_chunks())
+    kind_of = f"`{key}` {lists.schema[key].dataType.simpleString()}"
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = (shared.value.column(i) for i in (0, 1))
+        known = known.combine_chunks()
+        values = pa.concat_arrays([values.combine_chunks().cast(pa.string() if kind == "string" else pa.int64()), pa.array([fallback], pa.string() if kind == "string" else pa.int64())])
+        for batch in batches:
+            column = batch.column(1)
+            at = pc.fill_null(pc.index_in(column.flatten().cast(known.type), value_set=known), len(values) - 1)
+            offsets = pa.array(np.asarray(column.offsets) - column.offsets[0].as_py())
+            found = pa.ListArray.from_arrays(offsets, pc.coalesce(values.take(at), values[-1]), mask=column.is_null())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[key, out])
+
+    element = "string" if kind == "string" else "bigint"
+    found = lists.select(key, column).mapInArrow(look_up, f"{kind_of}, `{out}` array<{element}>")
+    return found.withColumn(out, F.col(out).cast(f"array<{kind}>"))
+
+
+def _map_by_join(lists: DataFrame, key: str, column: str, entries: DataFrame, out: str, fallback) -> DataFrame:
+    """The same by join of all elements, and the lists are put together again."""
+    old, new = entries.columns
+    kind = dict(entries.dtypes)[new]
     each = lists.select(key, F.posexplode(column).alias("pos", old))
     named = each.join(entries, old, "left").withColumn(new, F.coalesce(F.col(new), F.lit(fallback).cast(kind)))
     ordered = F.array_sort(F.collect_list(F.struct("pos", new)))

@@ -74,7 +74,7 @@ def masked(spark, sf_dir):
 
 
 def padded(spark, sf_dir, left):
-    rows = encode.batches(stage(masked(spark, sf_dir), "masked"), ["id"], BATCH)
+    rows = encode.batches(stage(masked(spark, sf_dir), "masked"), ["id"], BATCH, widest="ids")
     return encode.pad_batches(rows, left=left)
 
 
