@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,16 +47,41 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_stages(spark: SparkSession) -> int:
     """Delete the staged tables of this process; call it once the results built on them are written."""
-    conf = spark._jsc.hadoopConfiguration()
     count = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        count += bool(path.getFileSystem(conf).delete(path, True))
+        count += _delete(spark, _written.pop())
     return count
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables staged in the block when it ends, but for those handed to the function it gives.
+
+    What is read after the block must come from kept tables or other sources; a lost executor's work is then
+    done again from those. Blocks may be nested: a table kept by an inner one ends with the outer one, unless kept again.
+    """
+    before, kept = set(_written), set()
+
+    def keep(staged: DataFrame) -> DataFrame:
+        kept.add(staged._staged_at)
+        return staged
+
+    try:
+        yield keep
+    finally:
+        gone = [p for p in _written if p not in before and p not in kept]
+        for path in gone:
+            _written.remove(path)
+            _delete(spark, path)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once and continue from the written table.
 
@@ -63,7 +90,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
 
 
 def spread(scan: DataFrame) -> DataFrame:
