@@ -82,6 +82,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _delete(spark, path)
 
 
+def release(staged: DataFrame) -> None:
+    """Delete one staged table; nothing built on it is read any more."""
+    _written.remove(staged._staged_at)
+    _delete(staged.sparkSession, staged._staged_at)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once and continue from the written table.
 
