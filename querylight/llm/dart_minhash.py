@@ -37,7 +37,7 @@ from querylight.functions.vectors import let
 from querylight.llm.common import small, text_or_empty, with_row_key, words
 from querylight.llm.components import components
 from querylight.llm.registry import query, table
-from querylight.session import stage
+from querylight.session import scratch, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -336,15 +336,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The row of the smallest id stays; of equal ids the one of the smallest hash over all columns, and
     of rows equal throughout, one.
     """
-    members, _ = near_classes(docs)
-    members = stage(members.select("id", "h", "root"), "classed_rows")
-    order = F.struct(F.coalesce(F.col("id").cast("long"), F.lit(2**63 - 1)), "h", "id")
-    first = members.groupBy("root").agg(F.min(order).alias("o"), F.count("*").alias("rows")).select("o.id", "o.h")
-    first = stage(first.select(F.col("id").alias("_id"), F.col("h").alias("_h")), "kept_rows")
+    with scratch(docs.sparkSession) as keep:
+        members, _ = near_classes(docs)
+        members = stage(members.select("id", "h", "root"), "classed_rows")
+        order = F.struct(F.coalesce(F.col("id").cast("long"), F.lit(2**63 - 1)), "h", "id")
+        first = members.groupBy("root").agg(F.min(order).alias("o")).select("o.id", "o.h")
+        first = keep(stage(first.select(F.col("id").alias("_id"), F.col("h").alias("_h")), "kept_rows"))
+        repeated = members.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("c")).filter("c > 1")
+        repeated = keep(stage(repeated.select("_id", "_h"), "repeated_rows"))
     rows = docs.withColumn("_hash", F.xxhash64(F.lit(7), text_or_empty(F.col("text"))))
     kept = rows.join(first, rows["doc_id"].eqNullSafe(first["_id"]) & (rows["_hash"] == first["_h"]), "left_semi")
-    repeated = members.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("c")).filter("c > 1")
-    repeated = stage(repeated.select("_id", "_h"), "repeated_rows")
     if repeated.isEmpty():
         return kept.drop("_hash")
     again = kept["doc_id"].eqNullSafe(repeated["_id"]) & (kept["_hash"] == repeated["_h"])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from querylight.llm.common import same_row, small, text_or_empty, with_row_key
 from querylight.llm.registry import query, table
-from querylight.session import stage
+from querylight.session import scratch, stage
 
 MIN_DOCS = 5
 LEAD = 2
@@ -127,26 +127,27 @@ def drop_templates(
     """All rows and columns of `docs` with the kept lines in `text_col`, and how many lines there were and
     went as the columns named in `added` (replaced where there)."""
     keyed = with_row_key(docs, id_col, text_col)
-    lines = stage(
-        tree_lines(keyed, lead).select("id", "h", "doc", "line_no", "leaf", "line", "has_fixed"), "tree_lines"
-    )
-    recurring = stage(keepers(keyed, lines, min_docs, lead, similarity), "recurring")
-    judged = lines.join(recurring, ["leaf", "line"], "left").select(
-        "id", "h", "line_no", F.coalesce(F.col("doc") != F.col("keeper"), F.lit(False)).alias("drop")
-    )
-    marks = (
-        judged.groupBy("id", "h")
-        .agg(F.sort_array(F.collect_set(F.struct("line_no", "drop"))).alias("marks"))
-        .select(
-            "id",
-            "h",
-            F.transform("marks", lambda m: m["drop"]).alias("_drops"),
-            F.size("marks").cast("long").alias("n_lines"),
-            F.size(F.filter("marks", lambda m: m["drop"])).cast("long").alias("n_dropped"),
+    with scratch(docs.sparkSession) as keep:
+        lines = stage(
+            tree_lines(keyed, lead).select("id", "h", "doc", "line_no", "leaf", "line", "has_fixed"), "tree_lines"
         )
-    )
-    # Dropped lines become null, and array_join passes over nulls.
-    marks = stage(marks.filter("n_dropped > 0"), "line_marks")
+        recurring = stage(keepers(keyed, lines, min_docs, lead, similarity), "recurring")
+        judged = lines.join(recurring, ["leaf", "line"], "left").select(
+            "id", "h", "line_no", F.coalesce(F.col("doc") != F.col("keeper"), F.lit(False)).alias("drop")
+        )
+        marks = (
+            judged.groupBy("id", "h")
+            .agg(F.sort_array(F.collect_set(F.struct("line_no", "drop"))).alias("marks"))
+            .select(
+                "id",
+                "h",
+                F.transform("marks", lambda m: m["drop"]).alias("_drops"),
+                F.size("marks").cast("long").alias("n_lines"),
+                F.size(F.filter("marks", lambda m: m["drop"])).cast("long").alias("n_dropped"),
+            )
+        )
+        # Dropped lines become null, and array_join passes over nulls.
+        marks = keep(stage(marks.filter("n_dropped > 0"), "line_marks"))
     rows = docs.withColumn("_h", F.xxhash64(F.lit(7), text_or_empty(F.col(text_col))))
     joined = rows.join(marks, rows[id_col].eqNullSafe(marks["id"]) & (rows["_h"] == marks["h"]), "left")
     kept = F.array_join(F.zip_with(F.split(rows[text_col], "\n"), marks["_drops"], lambda x, d: F.when(~d, x)), "\n")

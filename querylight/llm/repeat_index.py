@@ -35,12 +35,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylight.llm.common import text_or_empty
 from querylight.llm.registry import query, table
-from querylight.session import stage
+from querylight.session import release, scratch, stage
 
 LENGTH = 100
 GRAM = 20
@@ -342,19 +342,18 @@ def agreeing_parts(known: DataFrame) -> DataFrame:
     return parts.join(several, "anchor")
 
 
-def repeated_ranges(keyed: DataFrame) -> DataFrame:
-    """(id, h, start, end): byte ranges to remove from the texts of `keyed` (id, h, text); they may overlap."""
-    found = stage(anchor_hashes(keyed), "anchors")
-    repeated = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    per_text = found.join(repeated, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("repeated"))
-    cut = stage(segments(keyed.join(per_text, "id")), "segments")
+def not_first() -> Column:
+    """Whether a row is another than the one in its column `first`."""
+    return ~((F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("start") == F.col("first.start")))
 
+
+def unlike_segments(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ranges of segments that repeat as wholes, and one of each kind of an anchor that has several, with its bytes."""
     place = F.struct("id", "h", "start", "strings")
     kinds = cut.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.count("*").alias("c"))
     kinds = stage(kinds, "segment_kinds")
     again = cut.select("anchor", "digest", "id", "h", "start", "strings").join(kinds.filter("c > 1").drop("c"), ["anchor", "digest"])
-    differs = ~((F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("start") == F.col("first.start")))
-    whole = again.filter(differs).select("id", "h", "start", (F.col("start") + F.col("strings") + LENGTH - 1).alias("end"))
+    whole = again.filter(not_first()).select("id", "h", "start", (F.col("start") + F.col("strings") + LENGTH - 1).alias("end"))
 
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     several = stage(kinds.join(several, "anchor").select("anchor", "digest", "kinds", "first"), "several")
@@ -362,7 +361,21 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     bytes_of = bytes_of.groupBy("anchor", "digest").agg(
         F.first("seg").alias("seg"), F.first("anchor_at").alias("anchor_at"), F.first("kinds").alias("kinds"), F.first("first").alias("f")
     )
-    known = stage(bytes_of.select("anchor", "f.id", "f.h", "f.start", "f.strings", "anchor_at", "kinds", "seg"), "different")
+    return whole, bytes_of.select("anchor", "f.id", "f.h", "f.start", "f.strings", "anchor_at", "kinds", "seg")
+
+
+def repeated_ranges(keyed: DataFrame) -> DataFrame:
+    """(id, h, start, end): byte ranges to remove from the texts of `keyed` (id, h, text); they may overlap."""
+    spark = keyed.sparkSession
+    with scratch(spark) as keep:
+        found = stage(anchor_hashes(keyed), "anchors")
+        repeated = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+        per_text = found.join(repeated, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("repeated"))
+        cut = keep(stage(segments(keyed.join(per_text, "id")), "segments"))
+    with scratch(spark) as keep:
+        whole, known = unlike_segments(cut)
+        whole, known = keep(stage(whole, "whole")), keep(stage(known, "different"))
+    release(cut)
     parts = stage(agreeing_parts(known.filter(F.col("kinds") > FEW)), "parts")
     hot = parts.filter(F.col("kinds") > BUCKET_SEGMENTS)
     usual = known.filter(F.col("kinds") <= FEW).select(*parts.columns).unionByName(parts.filter(F.col("kinds") <= BUCKET_SEGMENTS))
@@ -379,7 +392,7 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     )
     strings = stage(strings, "strings")
     origin = strings.groupBy("string").agg(F.min(F.struct("id", "h", "start")).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    later = strings.join(origin, "string").filter(differs).select("id", "h", "start", (F.col("start") + LENGTH).alias("end"))
+    later = strings.join(origin, "string").filter(not_first()).select("id", "h", "start", (F.col("start") + LENGTH).alias("end"))
     return whole.unionByName(indexed).unionByName(later)
 
 
@@ -414,8 +427,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.xxhash64(F.lit(7), text_or_empty(F.col(text_col))).alias("h"),
         text_or_empty(F.col(text_col)).alias("text"),
     )
-    ranges = repeated_ranges(keyed.select("id", "h", "text")).groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    joined = keyed.join(stage(ranges, "ranges"), ["id", "h"], "left")
+    with scratch(docs.sparkSession) as keep:
+        ranges = repeated_ranges(keyed.select("id", "h", "text"))
+        ranges = ranges.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+        ranges = keep(stage(ranges, "ranges"))
+    joined = keyed.join(ranges, ["id", "h"], "left")
     removed = F.pandas_udf(cut_out, "n_removed long, n_spans long, kept binary")
     cut = joined.withColumn("cut", removed(F.when(F.col("ranges").isNotNull(), F.col("text")), F.col("ranges")))
     return cut.select(
