@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from querylight.operators import frames, match, similarity, verdicts
@@ -275,21 +277,17 @@ def eval_valid_gold(spark, sf_dir):
     return verdicts.valid_gold(*eval_inputs(spark, sf_dir))
 
 
-# The oracle decides execution match from the known change of each pair: bags of whole rows with
-# column order in place, plus the swapped variant compared with its two columns swapped back.
+# The same search over all column permutations as in `eval_result_eq`, under names of its own.
+EQUAL = re.sub(r"\b(shape|perms|wide|laid|balance|per_perm|hit)\b", r"eq_\1", PERMUTED.format(place=""))
+EQUAL_CTE = EQUAL.replace("\n    select pair_id, case when eq_shape.pair_id", ",\n    eq as (select pair_id, case when eq_shape.pair_id") + ")"
 VERDICTS = (
     SUBSET.format(place="")
     + ","
     + SAME_FRAME.replace("marks", "cell_marks")
     + """,
-    straight as (
-      select pair_id, side, case when side = 'pred' and pair_id % 8 = 1
-          then list(cell order by case col_idx when 0 then 1 when 1 then 0 else col_idx end)
-          else list(cell order by col_idx) end as vals
-      from cells group by pair_id, side, row_idx),
-    row_balance as (select pair_id, vals, sum(case side when 'gold' then 1 else -1 end) as b
-                    from straight group by all),
-    eq as (select pair_id, bool_and(b = 0) as match from row_balance group by all),
+    """
+    + EQUAL_CTE.strip()
+    + """,
     valid_v as (select pair_id, count(*) filter (cell = 'null:') = 0 as valid
                 from cells where side = 'gold' group by all),
     coded as (
