@@ -9,8 +9,12 @@ Each stage works on the rows that the one before has kept and wrote:
 - `decontamination` drops documents with benchmark passages in a twentieth of their words or more;
 - `packing` cuts and packs the tokens of what is left.
 
-Null and empty texts go at the first stage. Extra columns are carried through all stages but the
-last. An empty table passes through all stages as an empty table.
+Null and empty texts go at the first stage. Repeated rows are copies of each other, of which the third stage
+keeps one; ties there go to the smallest id, then to the smallest hash of the row. Texts of any length are judged
+whole by each stage. Extra columns are carried through all stages but the last. An empty table passes through all stages
+as an empty table.
+
+What a stage writes on its way is deleted when its result is written, and each result when the next one is.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from querylight.llm.language_id import drop_rejected
 from querylight.llm.line_templates import drop_recurring_lines
 from querylight.llm.packing import pack_documents
 from querylight.llm.registry import table
-from querylight.session import stage
+from querylight.session import release, scratch, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = keep(stage(step(spark, docs, sf_dir), name))
+        if before is not None:
+            release(before)
+        before = docs
     name, step = STAGES[-1]
     return step(spark, docs, sf_dir)
