@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querylight.functions.strings import strip_blank
 from querylight.operators.numbering import number_rows
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
@@ -43,8 +44,8 @@ def write_json_arrays(df: DataFrame, path: str, key: str, per_file: int = 1000)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines, stripped."""
-    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+    """Text lines, stripped of blanks of every kind."""
+    return spark.read.text(path).select(strip_blank(F.col("value")).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -75,13 +76,14 @@ def head_by(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """`vocab(id, token)`: the 0-based line number of each stripped line of one file."""
+    """`vocab(id, token)`: the 0-based line number of each stripped line; several files count on in the order of their paths."""
     lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
-        F.regexp_replace("value", r"^\s+|\s+$", "").alias("token"),
+        strip_blank(F.col("value")).alias("token"),
     )
-    return number_rows(lines, [], ["block", "at"], out="id").select("id", "token")
+    return number_rows(lines, [], ["file", "block", "at"], out="id").select("id", "token")
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

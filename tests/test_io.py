@@ -103,3 +103,11 @@ def test_writes_are_refused_at_any_depth(spark):
     assert cells.select("query_id").distinct().count() == 2
     assert {r["err"] for r in errors.collect()} == {"not a read-only query"} and errors.count() == 3
     assert spark.read.parquet(path).count() == 1
+
+
+def test_lines_lose_every_kind_of_blank(spark, tmp_path):
+    for name, lines in (("b.txt", ["\u3000c\u00a0", "d"]), ("a.txt", [" a\t", "b\u2003"])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    assert sorted(r["value"] for r in files.read_lines(spark, str(tmp_path)).collect()) == ["a", "b", "c", "d"]
+    vocab = files.read_vocab(spark, str(tmp_path))
+    assert [(r["id"], r["token"]) for r in vocab.orderBy("id").collect()] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
