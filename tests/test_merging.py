@@ -98,3 +98,12 @@ def test_wordpiece_by_join_agrees(spark, monkeypatch):
     monkeypatch.setattr(vocab, "VOCAB_BYTES", 0)
     assert near == {r["word"]: r["pieces"] for r in vocab.wordpiece(frame, entries).collect()}
     assert near["a" * 201] == ["[UNK]"] and near[""] == []
+
+
+def test_ids_by_join_agree(spark, monkeypatch):
+    entries = spark.createDataFrame([(0, "a"), (5, "b"), (2, "b"), (9, None)], "id long, token string")
+    lists = spark.createDataFrame([(1, ["a", "b", "c", None]), (2, None), (3, []), (4, ["<x>", "a"])], "k long, tokens array<string>")
+    ids = lambda: {r["k"]: r["ids"] for r in vocab.id_lists(lists, entries, "k", unknown=0, specials=["<x>"]).collect()}
+    near = ids()
+    monkeypatch.setattr(vocab, "VOCAB_BYTES", 0)
+    assert near == ids() == {1: [0, 2, 0, 0], 2: None, 3: [], 4: [10, 0]}
