@@ -37,7 +37,7 @@ def shown(df):
 def src_json_array(spark, sf_dir):
     path = stage_path(spark, "json-arrays")
     files.write_json_arrays(written(spark, sf_dir), path, "id")
-    return shown(files.read_json_array(spark, f"{path}/*", EXAMPLE_SCHEMA))
+    return shown(files.read_json_array(spark, path, EXAMPLE_SCHEMA))
 
 
 @query("src_jsonl", f"with {EXAMPLE_CTE} select {COLUMNS} from examples")

@@ -10,23 +10,36 @@ from querylight.session import stage_path
 from querylight.streaming import jobs
 
 
-@query(
-    "steplog_interval_mean",
-    """with log as (select event_id + 1 as step, user_id % 4 as process, value as loss,
+INTERVAL_SQL = """with log as (select event_id + 1 as step, user_id % 4 as process, value as loss,
         cast(length(event_type) as double) as aux from events),
     p as (select cast(floor((step - 1) / 100) as bigint) as "interval", process, max(step) as last, sum(loss) as loss,
         sum(aux) as aux from log group by 1, 2)
     select "interval", max(last) as step, round(avg(loss) / (max(last) - "interval" * 100), 6) as loss,
-      round(avg(aux) / (max(last) - "interval" * 100), 6) as aux from p group by "interval" """,
-)
-def steplog_interval_mean(spark, sf_dir):
-    log = table(spark, sf_dir, "events").selectExpr(
+      round(avg(aux) / (max(last) - "interval" * 100), 6) as aux from p group by "interval" """
+
+
+def step_log(events):
+    return events.selectExpr(
         "event_id + 1 as step",
         "user_id % 4 as process",
         "value as loss",
         "cast(length(event_type) as double) as aux",
     )
-    return jobs.interval_means(log, ["loss", "aux"], 100, digits=6)
+
+
+@query("steplog_interval_mean", INTERVAL_SQL)
+def steplog_interval_mean(spark, sf_dir):
+    return jobs.interval_means(step_log(table(spark, sf_dir, "events")), ["loss", "aux"], 100, digits=6)
+
+
+@query("steplog_interval_stream", INTERVAL_SQL)
+def steplog_interval_stream(spark, sf_dir):
+    """The log arrives in four parts, the rows dealt to them by hash, so that most intervals span several batches."""
+    events = table(spark, sf_dir, "events")
+    path = stage_path(spark, "step-log")
+    events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))).write.partitionBy("part").parquet(path)
+    stream = step_log(jobs.file_stream(spark, f"{path}/part=*", events.schema, per_batch=1))
+    return jobs.drain_interval_means(stream, ["loss", "aux"], 100, digits=6)
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +38,34 @@ def write_json_lines(df: DataFrame, path: str, partition_by: list[str] | None =
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, key: str, per_file: int = 1000) -> None:
-    """JSON array files of at most `per_file` records; `key` is a unique whole number."""
-    record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    chunks = df.groupBy(F.floor(F.col(key) / per_file).alias("part")).agg(F.collect_list(record).alias("records"))
-    text = F.concat(F.lit("["), F.array_join("records", ",\n"), F.lit("]"))
-    chunks.select("part", text.alias("value")).write.partitionBy("part").text(path)
+def write_json_arrays(df: DataFrame, path: str, key: str, file_bytes: int = 32 << 20) -> None:
+    """JSON array files of about `file_bytes` bytes at most, in one folder; the files' names follow the order of `key`.
+
+    Records are range-sorted by `key`, and a task fills one array at a time, so neither a hot key nor many equal ones
+    gather in memory. A record larger than `file_bytes` is a file of its own; a table without rows gives no array.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, size = [], 0
+        for batch in batches:
+            for record in batch.column(0).to_pylist():
+                length = len(record.encode())
+                if records and size + length > file_bytes:
+                    yield json_array(records)
+                    records, size = [], 0
+                records.append(record)
+                size += length
+        if records:
+            yield json_array(records)
+
+    record = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    ranged = df.select(record.alias("record"), F.col(key).alias("key")).repartitionByRange("key").sortWithinPartitions("key")
+    # The writer begins a file with each row, and a row is a whole array.
+    ranged.select("record").mapInArrow(fill, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def json_array(records: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"value": ["[" + ",\n".join(records) + "]"]})
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -10,19 +10,38 @@ from querylight.operators.verdicts import scores, tally
 from querylight.session import stage_path
 
 
+def process_sums(log: DataFrame, losses: list[str], interval: int) -> DataFrame:
+    """Sums of the losses and the last step per logging interval and process, batch or streaming."""
+    keyed = log.withColumn("interval", F.floor((F.col("step") - 1) / interval))
+    return keyed.groupBy("interval", "process").agg(F.max("step").alias("last"), *[F.sum(c).alias(c) for c in losses])
+
+
+def means_of(sums: DataFrame, losses: list[str], interval: int, digits: int) -> DataFrame:
+    steps = F.max("last") - F.col("interval") * interval
+    means = [F.round(F.avg(c) / steps, digits).alias(c) for c in losses]
+    return sums.groupBy("interval").agg(F.max("last").alias("step"), *means)
+
+
 def interval_means(log: DataFrame, losses: list[str], interval: int, digits: int = 4) -> DataFrame:
     """Mean of each loss per logging interval of a step log `(step, process, …)`.
 
     Per interval the losses are summed within each process, averaged over the processes and divided
     by the number of steps since the last log, which is smaller in the last interval.
     """
-    keyed = log.withColumn("interval", F.floor((F.col("step") - 1) / interval))
-    per_process = keyed.groupBy("interval", "process").agg(
-        F.max("step").alias("last"), *[F.sum(c).alias(c) for c in losses]
-    )
-    steps = F.max("last") - F.col("interval") * interval
-    means = [F.round(F.avg(c) / steps, digits).alias(c) for c in losses]
-    return per_process.groupBy("interval").agg(F.max("last").alias("step"), *means)
+    return means_of(process_sums(log, losses, interval), losses, interval, digits)
+
+
+def drain_interval_means(
+    stream: DataFrame, losses: list[str], interval: int, digits: int = 4, folder: str | None = None
+) -> DataFrame:
+    """`interval_means` over the step-log files at hand, which may come in any order and any number of batches.
+
+    The state holds one row per interval and process, so its size follows the log's intervals and not its steps, and a
+    late step still meets the sums of its interval. Each batch writes the sums that changed; the means are taken over the
+    newest of each. With a `folder` of the caller's, the next call goes on where the last one ended.
+    """
+    sums = process_sums(stream, losses, interval)
+    return means_of(drain_update(sums, "interval-sums", ["interval", "process"], folder), losses, interval, digits)
 
 
 def window_means(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -42,35 +61,26 @@ def window_means(events: DataFrame, every: str = "1 day", late: str = "1 hour")
     return sums.select(start.alias("window_start"), "event_type", "mean_value", "n")
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
+def file_stream(
+    spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, per_batch: int | None = None
+) -> DataFrame:
+    """Parquet files as they arrive, at most `per_batch` of them in a batch."""
     reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
-def drain_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Run over the files at hand in complete mode; the newest full result replaces the one before."""
-    spark = stream.sparkSession
-    out = stage_path(spark, name)
-    query = (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-        .option("checkpointLocation", stage_path(spark, f"{name}-state"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-def drain_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def drain_update(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """Run over the files at hand in update mode: each batch adds only the rows that changed, and the
-    newest row of each key is the result. State older than the watermark is dropped."""
+    newest row of each key is the result. State older than the watermark is dropped. A `folder` of the
+    caller's keeps rows and progress for a later call; else both are staged."""
     spark = stream.sparkSession
-    out = stage_path(spark, name)
+    out = f"{folder}/rows" if folder else stage_path(spark, name)
+    state = f"{folder}/state" if folder else stage_path(spark, f"{name}-state")
     query = (
         stream.writeStream.outputMode("update")
         .foreachBatch(lambda batch, at: batch.write.mode("overwrite").parquet(f"{out}/batch={at}"))
-        .option("checkpointLocation", stage_path(spark, f"{name}-state"))
+        .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )

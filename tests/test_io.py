@@ -23,10 +23,25 @@ def test_drop_stages_removes_only_what_was_staged(spark):
 
 def test_json_array_files(spark):
     path = stage_path(spark, "t")
-    files.write_json_arrays(spark.range(25).withColumn("t", F.lit("é\n\"x\"")), path, "id", per_file=10)
-    schema = "id long, t string"
-    back = files.read_json_array(spark, f"{path}/*", spark.createDataFrame([], schema).schema)
-    assert back.count() == 25 and {r["t"] for r in back.collect()} == {"é\n\"x\""}
+    rows = spark.range(25).withColumn("t", F.when(F.col("id") != 7, F.lit("é\n\"x\"")))
+    files.write_json_arrays(rows.unionByName(rows.filter("id = 3")), path, "id", file_bytes=90)
+    back = files.read_json_array(spark, path, rows.schema)
+    named = back.withColumn("file", F.col("_metadata.file_name"))
+    assert sorted(r["id"] for r in back.collect()) == sorted([*range(25), 3])
+    assert {r["id"]: r["t"] for r in back.collect()} == {i: None if i == 7 else "é\n\"x\"" for i in range(25)}
+    per_file = [[r["id"] for r in f["rows"]] for f in named.groupBy("file").agg(F.collect_list(F.struct("id")).alias("rows")).orderBy("file").collect()]
+    assert sum(per_file, []) == sorted([*range(25), 3]) and max(map(len, per_file)) <= 4 and len(per_file) >= 7
+
+
+def test_json_array_files_of_large_records_and_empty_tables(spark):
+    path = stage_path(spark, "t")
+    rows = spark.createDataFrame([(1, "x" * 500), (None, "y"), (2, None)], "id long, t string")
+    files.write_json_arrays(rows, path, "id", file_bytes=100)
+    back = files.read_json_array(spark, path, rows.schema)
+    assert {(r["id"], r["t"]) for r in back.collect()} == {(1, "x" * 500), (None, "y"), (2, None)}
+    path = stage_path(spark, "t")
+    files.write_json_arrays(rows.limit(0), path, "id")
+    assert files.read_json_array(spark, path, rows.schema).count() == 0
 
 
 def test_chat_rows_keep_their_nesting(spark, tmp_path):
@@ -70,6 +85,27 @@ def test_interval_means(spark):
     assert [(r["step"], r["loss"]) for r in got] == [(2, 1.5), (3, 6.0)]
 
 
+def test_interval_means_follow_files_in_any_order(spark):
+    path = stage_path(spark, "log")
+    rows = [(step, process, float(step * 3 % 7 + process)) for step in range(1, 38) for process in range(3)]
+    for part in (rows[60:], rows[10:30], rows[:10], rows[30:60]):
+        spark.createDataFrame(part, "step long, process long, loss double").coalesce(1).write.mode("append").parquet(path)
+    log = spark.read.parquet(path)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = jobs.drain_interval_means(stream, ["loss"], 10).orderBy("interval").collect()
+    assert got == jobs.interval_means(log, ["loss"], 10).orderBy("interval").collect() and len(got) == 4
+
+
+def test_interval_means_after_a_restart(spark):
+    path, name = stage_path(spark, "log"), stage_path(spark, "means")
+    schema = "step long, process long, loss double"
+    for part in ([(1, 0, 2.0), (2, 0, 3.0)], [(3, 0, 5.0), (2, 1, 7.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        got = jobs.drain_interval_means(stream, ["loss"], 2, folder=name).orderBy("interval").collect()
+    assert [(r["step"], r["loss"]) for r in got] == [(2, 3.0), (3, 5.0)]
+
+
 def test_append_mode_drops_late_rows_and_keeps_closed_windows(spark):
     path = stage_path(spark, "events")
     rows = [("2024-01-01 00:00:00", 1.0), ("2024-01-01 12:00:00", 3.0), ("2024-01-03 00:00:00", 5.0)]
