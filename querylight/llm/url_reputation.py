@@ -13,6 +13,8 @@ when the url's path starts with the rule's path.
 Results for odd input: a null url, or one without `://`, has host and path '', fits no rule, teaches
 nothing and takes the prior over all pages. Pages without an outcome teach nothing. A host of digits
 and dots only is its own domain. Without any outcome all rates are one half and nothing is blocked.
+Repeated rows are pages each and keep their verdicts; urls of any length are cut by patterns that read
+them once. Of rules that fit with equal length the first in order of host and path wins.
 Host sums are made before any shuffle of pages, so a host with a third of the pages is one row.
 """
 
@@ -27,8 +29,28 @@ from querylight.session import stage
 
 # (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-# Public suffixes of two labels; every other suffix is the last label.
-TWO_LABELS = ["co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "com.cn", "co.in", "co.kr", "com.mx"]
+# Public suffixes of two labels, by country. Where a caller's table names none, the suffix is the last label.
+SECOND_LEVEL = {
+    "ar": "com edu gob net org",
+    "au": "asn com edu gov id net org",
+    "br": "com edu gov net org",
+    "cn": "ac com edu gov net org",
+    "hk": "com edu gov net org",
+    "id": "ac co go or web",
+    "il": "ac co gov net org",
+    "in": "ac co edu gov net org",
+    "jp": "ac co ed go ne or",
+    "kr": "ac co go ne or re",
+    "mx": "com edu gob net org",
+    "my": "com edu gov net org",
+    "nz": "ac co govt net org school",
+    "sg": "com edu gov net org",
+    "th": "ac co go in or",
+    "tr": "com edu gov net org",
+    "tw": "com edu gov net org",
+    "uk": "ac co gov ltd me net nhs org plc police sch",
+    "za": "ac co gov net org web",
+}
 THRESHOLD = 0.35
 Z = 1.645  # the lower bound leaves one twentieth below
 
@@ -52,15 +74,34 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found.otherwise(F.lit(None).cast(kind))
 
 
-def with_domain(hosts: DataFrame) -> DataFrame:
-    """Adds domain and suffix of `host`, without user and port."""
+def known_suffixes(spark: SparkSession) -> DataFrame:
+    """`suffix` rows of `SECOND_LEVEL`."""
+    names = " ".join(f"{label}.{country}" for country, labels in SECOND_LEVEL.items() for label in labels.split())
+    return spark.range(1).select(F.explode(F.split(F.lit(names), " ")).alias("suffix"))
+
+
+def with_domain(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Adds domain and suffix of `host`, without user and port: the longest of `suffixes` (suffix) that the host
+    ends with, label by label, else its last label; the domain has one label more."""
+    listed = stage(suffixes.filter("suffix is not null").select("suffix").distinct(), "listed")
+    labels = F.size(F.split("suffix", r"\."))
+    rows, deepest = listed.agg(F.count("*"), F.coalesce(F.max(labels), F.lit(1))).first()
     bare = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
-    last_two = F.substring_index(bare, ".", -2)
-    suffix = F.when(last_two.isin(TWO_LABELS), last_two).otherwise(F.substring_index(bare, ".", -1))
-    domain = F.when(last_two.isin(TWO_LABELS), F.substring_index(bare, ".", -3)).otherwise(last_two)
-    numeric = bare.rlike(r"^[0-9.]*$")
-    return hosts.withColumns(
-        {"domain": F.when(numeric, bare).otherwise(domain), "suffix": F.when(numeric, F.lit("")).otherwise(suffix)}
+    found = hosts.withColumn("_bare", bare)
+    for n in range(2, deepest + 1):
+        of_length = listed.filter(labels == n).select(F.col("suffix").alias(f"_s{n}"))
+        tail = F.substring_index("_bare", ".", -n)
+        found = found.join(small(of_length, rows, 256), tail == F.col(f"_s{n}"), "left")
+    longest = F.coalesce(*[F.col(f"_s{n}") for n in range(deepest, 1, -1)], F.substring_index("_bare", ".", -1))
+    found = found.withColumn("_suffix", longest)
+    # A label before the suffix, if there is one.
+    label = F.substring_index(F.expr("left(_bare, greatest(length(_bare) - length(_suffix) - 1, 0))"), ".", -1)
+    domain = F.when(F.length("_bare") > F.length("_suffix") + 1, F.concat(label, F.lit("."), "_suffix")).otherwise(F.col("_bare"))
+    numeric = F.col("_bare").rlike(r"^[0-9.]*$")
+    return found.select(
+        *hosts.columns,
+        F.when(numeric, F.col("_bare")).otherwise(domain).alias("domain"),
+        F.when(numeric, F.lit("")).otherwise(F.col("_suffix")).alias("suffix"),
     )
 
 
@@ -76,10 +117,12 @@ def strength(groups: DataFrame) -> float:
     return 1 / min(max(rho, 1e-4), 0.99) - 1
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, rate, bound) per host of `outcomes` (host, bad: 1, 0 or null)."""
+def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """(host, n, bad, rate, bound) per host of `outcomes` (host, bad: 1, 0 or null). `suffixes` (suffix) lists public
+    suffixes of two and more labels, a table of any size; without it those of `SECOND_LEVEL` count."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = stage(with_domain(hosts), "hosts")
+    listed = known_suffixes(outcomes.sparkSession) if suffixes is None else suffixes
+    hosts = stage(with_domain(hosts, listed), "hosts")
     named = hosts.filter("host <> ''")
     total = named.agg(F.sum("n"), F.sum("bad")).first()
     overall = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
@@ -106,22 +149,25 @@ def judge_urls(
     url_col: str = "url",
     rules: list[tuple[str, str, str]] | None = None,
     threshold: float = THRESHOLD,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
-    """`pages` with host, path, rule, verdict (replaced where there). `outcomes` (host, bad) covers every host of `pages`."""
+    """`pages` with host, path, rule, verdict (replaced where there). `outcomes` (host, bad) covers every host of `pages`,
+    `suffixes` are those of `reputation`."""
     added = ["host", "path", "rule", "verdict"]
     keep = [c for c in pages.columns if c not in added or c == url_col]
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rated = stage(reputation(outcomes).select(F.col("host").alias("_host"), "bound"), "reputation")
-    parts = pages.select(*keep, host_of(url).alias("_h"), path_of(url).alias("_p"))
-    parts = parts.withColumn("_m", matched_rule(F.col("_h"), F.col("_p"), RULES if rules is None else rules))
-    joined = parts.join(small(rated, rated.count(), 256), F.col("_h") == F.col("_host"), "left")
+    rated = stage(reputation(outcomes, suffixes).select(F.col("host").alias("rated_host"), "bound"), "reputation")
+    # The caller's columns travel as one, so that none of their names meets another.
+    parts = pages.select(F.struct(*keep).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
+    parts = parts.withColumn("fit", matched_rule(F.col("host"), F.col("path"), RULES if rules is None else rules))
+    joined = parts.join(small(rated, rated.count(), 256), F.col("host") == F.col("rated_host"), "left")
     own = F.when(F.col("bound") > threshold, "block").otherwise("allow")
     return joined.select(
-        *keep,
-        F.col("_h").alias("host"),
-        F.col("_p").alias("path"),
-        F.col("_m.rule").alias("rule"),
-        F.coalesce(F.col("_m.verdict"), own).alias("verdict"),
+        *[F.col("row").getField(c).alias(c) for c in keep],
+        "host",
+        "path",
+        F.col("fit.rule").alias("rule"),
+        F.coalesce(F.col("fit.verdict"), own).alias("verdict"),
     )
 
 

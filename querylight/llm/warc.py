@@ -11,11 +11,13 @@ name, which can be repeated, and last the manifest is written beside the archive
 attempts stay outside the manifest and are never read.
 
 Equal payloads of `REVISIT_BYTES` or more are stored once, with the largest id; the others become
-revisit records. The table of repeated digests is aggregated before any join.
+revisit records that name the response's record id and address. The table of repeated digests is aggregated
+before any join. Every shard is a task of its own, and a payload of any length one record of its shard.
 
 Results for odd input: a null payload is empty, a null url an empty header. Rows of equal id and
 payload are records each; those of the largest id are responses all. A null id sorts first and loses
-to any other; a group of null ids alone is responses all. An empty table writes no archive.
+to any other; a group of null ids alone is responses all. An empty table writes no archive. Columns beyond id,
+url and payload are not archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,8 +63,10 @@ def record_urn(page: int | None, url: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest} {url}')}>"
 
 
-def record_bytes(page: int | None, url: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record: a response with its payload, or a revisit with the HTTP headers alone."""
+def record_bytes(
+    page: int | None, url: str, payload: bytes, refers_to: int | None, refers_url: str | None = None, date: str = DATE
+) -> bytes:
+    """One record: a response with its payload, or a revisit of the record (refers_to, refers_url) with the HTTP headers alone."""
     url = " ".join(url.split())
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     digest = sha1_base32(payload)
@@ -81,7 +85,14 @@ def record_bytes(page: int | None, url: str, payload: bytes, refers_to: int | No
     if page is not None:
         head.append(f"Page-Id: {page}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"Refers-To-Page-Id: {refers_to}"]
+        kept = " ".join((refers_url or "").split())
+        head += [
+            f"WARC-Profile: {PROFILE}",
+            f"WARC-Refers-To: {record_urn(refers_to, kept, digest)}",
+            f"WARC-Refers-To-Target-URI: {kept}",
+            f"WARC-Refers-To-Date: {date}",
+            f"Refers-To-Page-Id: {refers_to}",
+        ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -92,7 +103,7 @@ def gzip_member(data: bytes) -> bytes:
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(page, url, payload, refers_to): refers_to is null for responses."""
+    """(page, url, payload, refers_to, refers_url): the last two, id and url of the response, are null for responses."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("page"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
@@ -100,11 +111,14 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str)
     )
     keyed = rows.withColumn("digest", F.sha1("payload"))
     large = keyed.filter(F.octet_length("payload") >= REVISIT_BYTES)
-    repeated = large.groupBy("digest").agg(F.count("*").alias("c"), F.max("page").alias("kept"))
-    repeated = stage(repeated.filter("c > 1 and kept is not null").select("digest", "kept"), "repeated")
-    joined = keyed.join(small(repeated, repeated.count(), 96), "digest", "left")
+    repeated = large.groupBy("digest").agg(F.count("*").alias("c"), F.max(F.struct("page", "url")).alias("kept"))
+    repeated = repeated.filter("c > 1 and kept.page is not null")
+    repeated = stage(repeated.select("digest", F.col("kept.page").alias("kept"), F.col("kept.url").alias("kept_url")), "repeated")
+    n, url_bytes = repeated.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("kept_url")), F.lit(0))).first()
+    joined = keyed.join(small(repeated, n, 160 + url_bytes // max(n, 1)), "digest", "left")
     other = F.col("kept").isNotNull() & ~F.col("page").eqNullSafe(F.col("kept"))
-    return joined.select("page", "url", "payload", F.when(other, F.col("kept")).alias("refers_to"))
+    refers = [F.when(other, F.col("kept")).alias("refers_to"), F.when(other, F.col("kept_url")).alias("refers_url")]
+    return joined.select("page", "url", "payload", *refers)
 
 
 def shard_cuts(records: DataFrame, shard_bytes: int) -> np.ndarray:
@@ -119,8 +133,18 @@ def shard_cuts(records: DataFrame, shard_bytes: int) -> np.ndarray:
     return np.unique(ids[[len(ids) * i // shards for i in range(1, shards)]])
 
 
+def give_name(store, temp: str, final: str, size: int) -> None:
+    """Move a written file to its final name; a repeated task finds it there already."""
+    from pyarrow import fs
+
+    if store.get_file_info(temp).type != fs.FileType.NotFound:
+        store.move(temp, final)
+    if store.get_file_info(final).size != size:
+        raise FileNotFoundError(f"{final} is not there with its {size} bytes")
+
+
 def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write `records` (page, url, payload, refers_to) as archives below `folder`; returns the manifest
+    """Write `records` of `with_revisits` as archives below `folder`; returns the manifest
     (file, shard, part, records, bytes, sha256)."""
     spark = records.sparkSession
     cuts = shard_cuts(records, shard_bytes)
@@ -131,7 +155,7 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
 
     sorted_rows = (
         records.withColumn("shard", shard_of("page"))
-        .repartition(len(cuts) + 1, "shard")
+        .repartitionById(len(cuts) + 1, "shard")
         .sortWithinPartitions("shard", "page", "url", F.sha1("payload"))
     )
 
@@ -148,7 +172,8 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
         for batch in batches:
             pages = batch["page"].astype("object").where(batch["page"].notna(), None)
             refers = batch["refers_to"].astype("object").where(batch["refers_to"].notna(), None)
-            for own, page, url, payload, refer in zip(batch["shard"], pages, batch["url"], batch["payload"], refers):
+            fields = (batch["shard"], pages, batch["url"], batch["payload"], refers, batch["refers_url"])
+            for own, page, url, payload, refer, refer_url in zip(*fields):
                 if out is not None and (own != shard or out["size"] >= roll_bytes):
                     close()
                     part, out = (part + 1 if own == shard else 0), None
@@ -157,7 +182,7 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
                     shard, name = own, f"data/.{uuid.uuid4().hex}.tmp"
                     out = {"name": name, "stream": store.open_output_stream(f"{root}/{name}"), "n": 0, "size": 0, "sum": hashlib.sha256()}
                 page, refer = (None if v is None else int(v) for v in (page, refer))
-                data = gzip_member(record_bytes(page, url, bytes(payload), refer))
+                data = gzip_member(record_bytes(page, url, bytes(payload), refer, refer_url))
                 out["stream"].write(data)
                 out["sum"].update(data)
                 out["n"], out["size"] = out["n"] + 1, out["size"] + len(data)
@@ -171,13 +196,10 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
     )
 
     def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         store, root = open_store(folder)
         for batch in batches:
-            for temp, file in zip(batch["temp"], batch["file"]):
-                if store.get_file_info(f"{root}/{temp}").type != fs.FileType.NotFound:
-                    store.move(f"{root}/{temp}", f"{root}/data/{file}")
+            for temp, file, size in zip(batch["temp"], batch["file"], batch["bytes"]):
+                give_name(store, f"{root}/{temp}", f"{root}/data/{file}", size)
             yield batch.drop(columns="temp")
 
     committed = manifest.mapInPandas(commit, "file string, shard int, part int, records long, bytes long, sha256 string")
@@ -224,11 +246,13 @@ def parse_record(data: bytes) -> dict:
         "payload_bytes": int(http["content-length"]),
         "payload_digest": b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex(),
         "refers_to": None if refers is None else int(refers),
+        "record_id": head["warc-record-id"],
+        "refers_to_id": head.get("warc-refers-to"),
         "payload": payload if head["warc-type"] == "response" else None,
     }
 
 
-RECORD = "page long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORD = "page long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_id string, payload binary"
 
 
 def read_archives(manifest: DataFrame, folder: str, columns: list[str] | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
 import uuid
 
+import pytest
+
 import __spark_entry__ as entrypoint
 from odd import SF
 from oracle_compare import compare, duck
-from querylight.llm.warc import open_store, read_archives, with_revisits, write_archives
+from querylight.llm.warc import give_name, open_store, read_archives, with_revisits, write_archives
 from querylight.session import stage_path
 
 ROWS = [
@@ -58,6 +60,40 @@ def test_equal_tables_give_equal_files(spark, monkeypatch):
     assert sorted(map(tuple, written(spark, again, shard_bytes=4000)[1].collect())) == first
 
 
+def test_revisits_name_a_record_that_is_there(spark):
+    rows = [(1, "http://a/1", "x" * 1500), (2, "http://a/2", "x" * 1500), (9, "http://a/  9", "x" * 1500), (9, "http://a/8", "x" * 1500)]
+    folder, manifest = written(spark, pages(spark, rows))
+    read = read_archives(manifest, folder).collect()
+    responses = {r["record_id"]: r for r in read if r["record_type"] == "response"}
+    revisits = [r for r in read if r["record_type"] == "revisit"]
+    assert len(revisits) == 2 and all(responses[r["refers_to_id"]]["page"] == 9 for r in revisits)
+    assert all(r["refers_to_id"] is None for r in responses.values())
+
+
+def test_clashing_columns_do_no_harm(spark):
+    clash = pages(spark).selectExpr("*", "1 as digest", "2 as shard", "'k' as kept", "'u' as kept_url", "3 as page", "4 as refers_to", "5 as payload")
+    folder, manifest = written(spark, clash)
+    assert read_archives(manifest, folder).count() == len(ROWS)
+
+
+def test_each_shard_is_one_task(spark):
+    rows = [(i, f"http://a/{i}", f"{i}" * 3000) for i in range(40)]
+    _, manifest = written(spark, pages(spark, rows), shard_bytes=6000)
+    got = manifest.orderBy("shard").collect()
+    assert [r["part"] for r in got] == [0] * len(got) and len(got) > 10 and sum(r["records"] for r in got) == 40
+
+
+def test_a_commit_can_be_repeated_but_not_made_up(tmp_path):
+    store, root = open_store(str(tmp_path))
+    (tmp_path / "t").write_bytes(b"12345")
+    for _ in range(2):
+        give_name(store, f"{root}/t", f"{root}/f", 5)
+    assert (tmp_path / "f").read_bytes() == b"12345" and not (tmp_path / "t").exists()
+    for final, size in (("f", 6), ("none", 5)):
+        with pytest.raises(FileNotFoundError):
+            give_name(store, f"{root}/t", f"{root}/{final}", size)
+
+
 def test_only_committed_files_are_read(spark):
     folder, manifest = written(spark, pages(spark))
     store, root = open_store(folder)
