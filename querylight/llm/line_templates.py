@@ -8,15 +8,16 @@ token count, then `LEAD` leading tokens, then the leaf's templates. Inside a lea
 - the other lines are generalised: a token stays where the lines of the leaf that hold it at that
   place come from `min_docs` documents or more, and every other token behind the leading ones
   becomes `<*>`. Lines that agree after that share a template, which recurs when its lines come from
-  `min_docs` documents and at least `similarity` of its tokens stay. A document counts once for each
-  of its different lines here.
+  `min_docs` documents and at least `similarity` of its tokens stay. A document counts once for a
+  token or template, however many of its lines hold it.
 
 A recurring template is dropped from all documents but the first (smallest id) that holds it, so a
 passage that many documents share survives once. Repetition inside one document is left alone.
 
 Results for odd input: null texts stay null and have no lines; blank lines are never dropped; a null
 id counts as the largest id, and rows of one id as one document; documents keep their rows even when
-every line goes (the text is then empty). Lines compare by two 64-bit hashes, of leaf and line.
+every line goes (the text is then empty). Ties cannot arise, as the keeper is the smallest id. A text or
+line of any length is one row of words in its task and is read whole. Lines compare by two 64-bit hashes, of leaf and line.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def keepers(keyed: DataFrame, lines: DataFrame, min_docs: int, lead: int, simila
     rest = classes.filter(F.col("docs") < min_docs)
     leaves = rest.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines"))
     leaves = leaves.filter((F.col("leaf_docs") >= min_docs) & (F.col("leaf_lines") > 1)).select("leaf")
-    rest = stage(rest.join(leaves, "leaf").select("leaf", "line", "docs", "keeper"), "leaf_lines")
+    rest = stage(rest.join(leaves, "leaf").select("leaf", "line", "keeper"), "leaf_lines")
 
     # Only documents that hold such a line are read again.
     rest = small(rest, rest.count(), 32)
@@ -82,11 +83,14 @@ def keepers(keyed: DataFrame, lines: DataFrame, min_docs: int, lead: int, simila
     holders = stage(holders, "holders")
     found = F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))
     again = keyed.join(small(holders, holders.count(), 32), found, "left_semi")
-    said = tree_lines(again, lead).select("leaf", "line", "norm").join(rest, ["leaf", "line"]).groupBy("leaf", "line")
-    said = stage(said.agg(F.first("docs").alias("docs"), F.first("keeper").alias("keeper"), F.first("norm").alias("norm")), "leaf_texts")
+    said = tree_lines(again, lead).select("leaf", "line", "norm", "doc").join(rest, ["leaf", "line"]).groupBy("leaf", "line")
+    # Such a line has fewer than `min_docs` documents, so they fit its row.
+    said = said.agg(F.collect_set("doc").alias("docs"), F.first("keeper").alias("keeper"), F.first("norm").alias("norm"))
+    said = stage(said, "leaf_texts")
     tokens = said.select("leaf", "line", "docs", F.posexplode(F.split("norm", " ")).alias("place", "token"))
     tokens = tokens.filter((F.col("place") >= lead) & (F.col("token") != FIELD))
-    fixed = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("token_docs"))
+    held = tokens.select("leaf", "place", "token", F.explode("docs").alias("doc")).distinct()
+    fixed = held.groupBy("leaf", "place", "token").agg(F.count("*").alias("token_docs"))
     fixed = fixed.filter(F.col("token_docs") >= min_docs).drop("token_docs")
     stays = (
         tokens.join(fixed, ["leaf", "place", "token"])
@@ -105,12 +109,16 @@ def keepers(keyed: DataFrame, lines: DataFrame, min_docs: int, lead: int, simila
         F.size(F.filter(F.slice(F.split("norm", " "), 1, lead), lambda t: t != FIELD)).alias("lead_fixed"),
     )
     shaped = shaped.withColumn("template", F.xxhash64("stays"))
-    recurring = shaped.groupBy("leaf", "template").agg(
-        F.sum("docs").alias("t_docs"),
-        F.min("keeper").alias("t_keeper"),
-        F.first((F.size("stays") + F.col("lead_fixed")) >= F.col("n") * similarity).alias("close"),
+    close = (F.size("stays") + F.col("lead_fixed")) >= F.col("n") * similarity
+    recurring = (
+        shaped.filter(close)
+        .select("leaf", "template", "keeper", F.explode("docs").alias("doc"))
+        .groupBy("leaf", "template", "doc")
+        .agg(F.min("keeper").alias("keeper"))
+        .groupBy("leaf", "template")
+        .agg(F.count("*").alias("t_docs"), F.min("keeper").alias("t_keeper"))
+        .filter(F.col("t_docs") >= min_docs)
     )
-    recurring = recurring.filter((F.col("t_docs") >= min_docs) & F.col("close"))
     general = shaped.join(recurring, ["leaf", "template"]).select("leaf", "line", F.col("t_keeper").alias("keeper"))
     return whole.unionByName(general)
 
@@ -183,24 +191,28 @@ treed as (
   from toks where norm <> ''),
 classes as (
   select norm, any_value(t) as t, any_value(n) as n, any_value(lead) as lead, any_value(has_fixed) as has_fixed,
-    count(distinct doc_id) as docs, min(doc_id) as keeper from treed group by norm),
+    count(distinct doc_id) as docs, list(distinct doc_id) as holders, min(doc_id) as keeper from treed group by norm),
 whole as (select norm, keeper from classes where docs >= 5 and has_fixed),
 rest as (
   select * from (
     select *, sum(docs) over (partition by n, lead) as leaf_docs, count(*) over (partition by n, lead) as leaf_lines
     from classes where docs < 5) where leaf_docs >= 5 and leaf_lines > 1),
-tokens as (select norm, n, lead, docs, p, t[p] as token from (select *, unnest(range(3, n + 1)) as p from rest)),
-fixed as (select n, lead, p, token from tokens where token <> '<*>' group by all having sum(docs) >= 5),
+tokens as (select norm, n, lead, holders, p, t[p] as token from (select *, unnest(range(3, n + 1)) as p from rest)),
+fixed as (
+  select n, lead, p, token from (select n, lead, p, token, unnest(holders) as doc from tokens where token <> '<*>')
+  group by n, lead, p, token having count(distinct doc) >= 5),
 stays as (
   select norm, list((p, token) order by p) as stays from tokens join fixed using (n, lead, p, token) group by norm),
 shaped as (
   select r.*, coalesce(cast(s.stays as varchar), '') as template, coalesce(len(s.stays), 0) as n_stays,
     len(list_filter(r.lead, lambda x: x <> '<*>')) as lead_fixed
   from rest r left join stays s using (norm)),
+supported as (
+  select n, lead, template, count(distinct doc) as t_docs, min(keeper) as t_keeper
+  from (select n, lead, template, keeper, unnest(holders) as doc from shaped) group by n, lead, template),
 general as (
-  select norm, t_keeper as keeper from (
-    select *, sum(docs) over w as t_docs, min(keeper) over w as t_keeper from shaped window w as (partition by n, lead, template))
-  where t_docs >= 5 and n_stays + lead_fixed >= n * 0.8),
+  select s.norm, u.t_keeper as keeper from shaped s join supported u using (n, lead, template)
+  where u.t_docs >= 5 and s.n_stays + s.lead_fixed >= s.n * 0.8),
 recurring as (select * from whole union all select * from general),
 judged as (
   select l.doc_id, l.line_no, l.raw, coalesce(l.doc_id <> r.keeper, false) as gone

@@ -31,6 +31,20 @@ def test_variable_fields_share_a_template(spark):
     assert [n for _, n in kept(spark, prose)] == [0] * 6
 
 
+def test_a_document_counts_once_for_a_template(spark):
+    said = [f"Posted by user {w} on our great community board" for w in ("anna", "bert", "cleo", "dora", "emil", "fritz")]
+    assert [n for _, n in kept(spark, ["\n".join(said[:4]), said[4]])] == [0, 0]
+    assert [n for _, n in kept(spark, ["\n".join(said[:2]), *said[2:5]])] == [0, 0, 0, 0]
+    assert [n for _, n in kept(spark, ["\n".join(said[:2]), *said[2:]])] == [0, 1, 1, 1, 1]
+
+
+def test_long_lines_are_read_whole(spark):
+    long = " ".join(f"w{chr(97 + i % 26)}x" for i in range(60_000))
+    texts = [f"start of it {long} {w}" for w in ("anna", "bert", "cleo", "dora", "emil")]
+    # The last line lacks a word that the others hold at their 60,003rd place, so it is no line of their template.
+    assert [n for _, n in kept(spark, [*texts, f"start of it {long[:-2]} emil"])] == [0, 1, 1, 1, 1, 0]
+
+
 def test_repetition_inside_one_document_stays(spark):
     assert kept(spark, ["same line here\n" * 50, "other"])[0][1] == 0
 
