@@ -6,11 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 _written: list[str] = []
+# What the innermost `scratch` block of this thread has staged.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def local_session(cores: int | str = "*", app: str = "querylight") -> SparkSession:
@@ -44,6 +47,8 @@ def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the stage root."""
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
@@ -66,8 +71,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
     What is read after the block must come from kept tables or other sources; a lost executor's work is then
     done again from those. Blocks may be nested: a table kept by an inner one ends with the outer one, unless kept again.
+    A block deletes what its own thread staged, so blocks of several threads leave each other's tables alone.
     """
-    before, kept = set(_written), set()
+    mine: list[str] = []
+    kept: set[str] = set()
+    outer = _scope.set(mine)
 
     def keep(staged: DataFrame) -> DataFrame:
         kept.add(staged._staged_at)
@@ -76,10 +84,15 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        gone = [p for p in _written if p not in before and p not in kept]
-        for path in gone:
-            _written.remove(path)
-            _delete(spark, path)
+        _scope.reset(outer)
+        around = _scope.get()
+        for path in mine:
+            if path in kept:
+                if around is not None:
+                    around.append(path)
+            elif path in _written:
+                _written.remove(path)
+                _delete(spark, path)
 
 
 def release(staged: DataFrame) -> None:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querylight.operators.cells import canonical_cells, melt
 from querylight.operators.numbering import number_rows
-from querylight.session import stage, stage_path
+from querylight.session import scratch, stage, stage_path
 
 CELLS = T.StructType(
     [
@@ -32,26 +35,31 @@ REFUSED = (
 
 
 def run_queries(
-    spark: SparkSession, queries: DataFrame, seconds: float | None = None
+    spark: SparkSession, queries: DataFrame, seconds: float | None = None, at_once: int = 4, batch: int = 256
 ) -> tuple[DataFrame, DataFrame]:
     """`queries(sql)` to result cells `(query_id, row_idx, col_idx, cell)` and errors `(query_id, err)`.
 
-    A query id is the md5 of the text. The driver walks the distinct texts one at a time and sees
-    no result rows: each result is numbered, melted and written by the executors. A query that
-    fails, runs longer than `seconds` or is not read-only ends as an error row.
+    A query id is the md5 of the text. The driver walks the distinct texts in batches, keeps `at_once` of them running,
+    and sees no result rows: each result is numbered, melted and written by the executors, and its staged tables go
+    when it is written. A query that fails, is not done after `seconds` (waits for cores included) or is not read-only ends as
+    an error row; the error rows of a batch are appended to a table, so the driver holds one batch of texts whatever
+    their number.
     """
-    path = stage_path(spark, "results")
-    errors: list[tuple[str, str]] = []
-    wrote = False
+    found, failed = stage_path(spark, "results"), stage_path(spark, "errors")
+    spark.createDataFrame([], CELLS).write.parquet(f"{found}/none")
+    spark.createDataFrame([], ERRORS).write.parquet(failed)
     texts = queries.select("sql").distinct().withColumn("query_id", F.md5("sql"))
-    for row in texts.toLocalIterator():
-        error = _run_one(spark, row["sql"], row["query_id"], path, seconds)
-        if error is None:
-            wrote = True
-        else:
-            errors.append((row["query_id"], error))
-    cells = spark.read.schema(CELLS).parquet(f"{path}/*") if wrote else spark.createDataFrame([], CELLS)
-    return cells, spark.createDataFrame(errors, ERRORS)
+
+    @inheritable_thread_target(spark)
+    def run(row: Row) -> tuple[str, str | None]:
+        return row["query_id"], _run_one(spark, row["sql"], row["query_id"], found, seconds)
+
+    with ThreadPoolExecutor(at_once, "query") as pool:
+        for some in batched(texts.filter("sql is not null").toLocalIterator(), batch):
+            errors = [(query_id, error) for query_id, error in pool.map(run, some) if error is not None]
+            if errors:
+                spark.createDataFrame(errors, ERRORS).write.mode("append").parquet(failed)
+    return spark.read.schema(CELLS).parquet(f"{found}/*"), spark.read.schema(ERRORS).parquet(failed)
 
 
 def is_read_only(spark: SparkSession, sql: str) -> bool:
@@ -81,15 +89,16 @@ def _run_one(spark: SparkSession, sql: str, query_id: str, path: str, seconds: f
     try:
         if timer:
             timer.start()
-        result = spark.sql(sql)
-        named = result.toDF(*[f"col_{i + 1}" for i in range(len(result.columns))])
-        # The written table keeps the result order as a column before anything is shuffled again.
-        placed = stage(named.withColumn("_at", F.monotonically_increasing_id()), "result")
-        numbered = number_rows(placed, [], ["_at"])
-        raw = melt(numbered, ["row_idx"], named.columns)
-        keyed = raw.withColumn("pair_id", F.lit(query_id)).withColumn("side", F.lit(""))
-        cells = canonical_cells(keyed).select(F.col("pair_id").alias("query_id"), "row_idx", "col_idx", "cell")
-        cells.write.parquet(f"{path}/{query_id}")
+        with scratch(spark):
+            result = spark.sql(sql)
+            named = result.toDF(*[f"col_{i + 1}" for i in range(len(result.columns))])
+            # The written table keeps the result order as a column before anything is shuffled again.
+            placed = stage(named.withColumn("_at", F.monotonically_increasing_id()), "result")
+            numbered = number_rows(placed, [], ["_at"])
+            raw = melt(numbered, ["row_idx"], named.columns)
+            keyed = raw.withColumn("pair_id", F.lit(query_id)).withColumn("side", F.lit(""))
+            cells = canonical_cells(keyed).select(F.col("pair_id").alias("query_id"), "row_idx", "col_idx", "cell")
+            cells.write.parquet(f"{path}/{query_id}")
         return None
     except Exception as error:  # noqa: BLE001
         return str(error).split("\n")[0]

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,29 @@ def test_run_queries_stops_late_ones(spark):
     assert errors.count() == 1
 
 
+def test_many_queries_run_at_once_and_leave_nothing_behind(spark):
+    spark.range(40).createOrReplaceTempView("forty")
+    good = [f"select id, id * {k} as b from forty where id < {k} order by id desc" for k in range(1, 13)]
+    bad = ["select none from forty", "select", "select raise_error('late') as x from forty", None]
+    frame = spark.createDataFrame([(t,) for t in [*good, *good, *bad]], "sql string")
+    root = stage_root(spark)
+    before = set(os.listdir(root))
+    cells, errors = runner.run_queries(spark, frame, at_once=3, batch=4)
+    assert {n.split("-")[0] for n in set(os.listdir(root)) - before} == {"results", "errors"}
+    sizes = {r["query_id"]: r["count"] for r in cells.groupBy("query_id").count().collect()}
+    assert sizes == {hashlib.md5(t.encode()).hexdigest(): 2 * k for k, t in enumerate(good, 1)}
+    first = cells.filter((F.col("query_id") == hashlib.md5(good[11].encode()).hexdigest()) & (F.col("col_idx") == 1))
+    assert [r["cell"] for r in first.orderBy("row_idx").collect()] == [f"num:{12.0 * i}" for i in range(11, -1, -1)]
+    failed = {r["query_id"]: r["err"] for r in errors.collect()}
+    assert set(failed) == {hashlib.md5(t.encode()).hexdigest() for t in bad if t} and errors.count() == 3
+
+
+def test_a_late_query_does_not_stop_those_beside_it(spark):
+    texts = ["select sum(hash(id)) as s from range(0, 900000000000, 1, 2)", *[f"select {k} as k" for k in range(5)]]
+    cells, errors = runner.run_queries(spark, spark.createDataFrame([(t,) for t in texts], "sql string"), seconds=15, at_once=2)
+    assert errors.count() == 1 and cells.select("query_id").distinct().count() == 5
+
+
 def test_interval_means(spark):
     log = spark.createDataFrame([(1, 0, 2.0), (2, 1, 4.0), (3, 0, 6.0)], "step long, process long, loss double")
     got = jobs.interval_means(log, ["loss"], 2).orderBy("interval").collect()

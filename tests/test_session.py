@@ -1,4 +1,5 @@
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from querylight.session import scratch, stage
 
@@ -26,3 +27,16 @@ def test_scratch_deletes_after_an_error(spark):
     except KeyError:
         pass
     assert made and not os.path.exists(made[0])
+
+
+def test_scratch_blocks_of_two_threads_are_apart(spark):
+    def other():
+        with scratch(spark) as keep:
+            stage(spark.range(2), "others")
+            return keep(stage(spark.range(4), "others-kept"))
+
+    with scratch(spark), ThreadPoolExecutor(1) as pool:
+        own = stage(spark.range(3), "own")
+        kept = pool.submit(other).result()
+        assert own.count() == 3 and kept.count() == 4
+    assert not os.path.exists(own._staged_at) and kept.count() == 4
