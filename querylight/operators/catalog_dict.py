@@ -66,15 +66,20 @@ def flatten_dict(catalogs: DataFrame) -> DataFrame:
     )
 
 
-def enumerations(catalogs: DataFrame) -> DataFrame:
-    """(db_id, tab, col, value, enum_desc): every listed value; a plain list has no description."""
+def enum_lists(catalogs: DataFrame) -> DataFrame:
+    """(db_id, tab, col, values, enum_desc): the values of each column as one list; a plain list has no description."""
     given = _tables(catalogs).select("db_id", "tab", _part("content", "$.enumerations", "variant").alias("enums"))
     fields = catalogs.sparkSession.tvf.variant_explode(F.col("enums").outer())
     each = given.filter("enums is not null").lateralJoin(fields).select("db_id", "tab", F.col("key").alias("col"), F.col("value").alias("entry"))
     plain = F.schema_of_variant("entry").startswith("ARRAY")
     values = F.when(plain, _part("entry", "$", "array<string>")).otherwise(_part("entry", "$.values", "array<string>"))
     described = F.when(~plain, _part("entry", "$.desc", "string"))
-    return each.select("db_id", "tab", "col", F.explode(values).alias("value"), described.alias("enum_desc"))
+    return each.select("db_id", "tab", "col", values.alias("values"), described.alias("enum_desc"))
+
+
+def enumerations(catalogs: DataFrame) -> DataFrame:
+    """(db_id, tab, col, value, enum_desc): every listed value."""
+    return enum_lists(catalogs).select("db_id", "tab", "col", F.explode("values").alias("value"), "enum_desc")
 
 
 def foreign_keys(catalogs: DataFrame) -> DataFrame:
