@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylight.session import fan_out, stage
+from querylight.session import SLICE_ROWS, fan_out, stage
 
 MERGE_BYTES = 64 << 20
 PAIR_BYTES = 64  # of a merge in the arrays, beside its texts
@@ -195,7 +195,7 @@ def encode_lists(lists: DataFrame, key: str, column: str, merges: DataFrame, voc
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ids, extra = shared.value
         known: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             column = batch.column("tokens")
             flat = column.flatten().dictionary_encode()
             words = []

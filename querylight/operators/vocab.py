@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from querylight.operators.merging import bpe, merge_word  # noqa: F401
 from querylight.operators.numbering import number_rows
 from querylight.operators.pieces import PieceAutomaton
-from querylight.session import fan_out, stage
+from querylight.session import SLICE_ROWS, fan_out, stage
 
 # Special tokens, in id order.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
@@ -62,7 +62,7 @@ def _map_lists(lists: DataFrame, key: str, column: str, pairs: DataFrame, out: s
         known, values = (shared.value.column(i) for i in (0, 1))
         known = known.combine_chunks()
         values = pa.concat_arrays([values.combine_chunks().cast(pa.string() if kind == "string" else pa.int64()), pa.array([fallback], pa.string() if kind == "string" else pa.int64())])
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             column = batch.column(1)
             at = pc.fill_null(pc.index_in(column.flatten().cast(known.type), value_set=known), len(values) - 1)
             offsets = pa.array(np.asarray(column.offsets) - column.offsets[0].as_py())

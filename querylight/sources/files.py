@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from querylight.functions.strings import strip_blank
 from querylight.operators.numbering import number_rows
+from querylight.session import SLICE_ROWS
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 CHAT_ROW = T.StructType(
@@ -47,7 +48,7 @@ def write_json_arrays(df: DataFrame, path: str, key: str, file_bytes: int = 32 <
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, size = [], 0
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             for record in batch.column(0).to_pylist():
                 length = len(record.encode())
                 if records and size + length > file_bytes:
