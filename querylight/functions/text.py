@@ -19,6 +19,35 @@ CJK = (
     r"\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
 )
 PUNCTUATION = r"[\x{21}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7E}\p{P}]"
+# A basic token: a run of anything but blanks, ideographs and punctuation, or one of the latter; and the same for ASCII texts.
+# The first range holds letters and no punctuation, which is quicker to see than what the other classes leave.
+BASIC_TOKEN = rf"(?U)(?:[A-Za-z0-9\x{{C0}}-\x{{24F}}]|[\x{{80}}-\x{{10FFFF}}&&[^\s{CJK[1:-1]}{PUNCTUATION[1:-1]}]])++|[^\s]"
+ASCII_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+ASCII_TOKEN = r"[A-Za-z0-9]++|[^\s]"
+
+
+def _without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
+def _ranges(chars: list[str]) -> str:
+    """Characters as the ranges of a character class."""
+    points = sorted(map(ord, chars))
+    starts = [p for i, p in enumerate(points) if i == 0 or points[i - 1] != p - 1]
+    ends = [p for i, p in enumerate(points) if i == len(points) - 1 or points[i + 1] != p + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends))
+
+
+# Characters that decompose to one character and marks, and those characters. The odd rest makes several characters or
+# none (Hangul syllables, two-part vowel signs), or is put in another order by the decomposition and may be no mark to
+# an older Unicode table, such as Java's.
+_decomposed = {c: _without_marks(c) for c in map(chr, range(0x80, 0x110000)) if unicodedata.decomposition(c)[:1] not in ("", "<")}
+_single = {c: bare for c, bare in _decomposed.items() if len(bare) == 1}
+MARKED, BARE = "".join(_single), "".join(_single.values())
+_moved = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.combining(c) and unicodedata.ucd_3_2_0.category(c) != "Mn"]
+_odd = [*map(chr, range(0xAC00, 0xD7A4)), *(c for c in {*_decomposed, *_moved} if c not in _single)]
+# Most characters fail the first range, which is quicker than to try all.
+ODD = rf"[\x{{{min(map(ord, _odd)):X}}}-\x{{10FFFF}}&&[{_ranges(_odd)}]]"
 
 # Pre-token patterns.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,11 +79,19 @@ def decompose(text: pd.Series) -> pd.Series:
 
 
 def strip_accents(text: Column | str) -> Column:
-    """Decompose and drop the combining marks. Only texts beyond ASCII pass through Python."""
+    """Decompose and drop the combining marks. Only texts with odd characters pass through Python."""
     plain = F.col(text) if isinstance(text, str) else text
-    ascii_only = F.octet_length(plain) == F.char_length(plain)
-    rest = F.regexp_replace(decompose(F.when(~ascii_only, plain)), r"\p{Mn}+", "")
-    return F.when(ascii_only, plain).otherwise(rest)
+    return F.when(is_ascii(plain), plain).otherwise(_bare(plain, plain))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _bare(plain: Column, source: Column) -> Column:
+    """A text without its marks; odd characters have no case, so they are looked for in the text that `plain` came from."""
+    decomposed = F.coalesce(decompose(F.when(source.rlike(ODD), plain)), F.translate(plain, MARKED, BARE))
+    return F.regexp_replace(decomposed, r"\p{Mn}+", "")
 
 
 def space_punctuation(text: Column) -> Column:
@@ -73,7 +110,10 @@ def basic_text(text: Column) -> Column:
 
 
 def basic_tokens(text: Column) -> Column:
-    return words(basic_text(text))
+    """The words of `basic_text`, found in one pass: blanks part tokens of their own accord, and so do ideographs."""
+    plain = F.lower(F.regexp_replace(text, CONTROL, ""))
+    narrow = F.regexp_extract_all(F.lower(F.regexp_replace(text, ASCII_CONTROL, "")), F.lit(ASCII_TOKEN), F.lit(0))
+    return F.when(is_ascii(text), narrow).otherwise(F.regexp_extract_all(_bare(plain, text), F.lit(BASIC_TOKEN), F.lit(0)))
 
 
 def pretokens(text: Column, single_digits: bool = False) -> Column:
