@@ -1,5 +1,6 @@
 import json
 
+import __spark_entry__ as entrypoint
 from querylight.operators import catalog, catalog_dict
 
 
@@ -77,3 +78,24 @@ def test_shared_and_own_enumerations_agree(spark):
     assert 2 <= got["t", "a"].count("'") // 2 <= 8 and got["t", "b"] == "['v0']"
     own = shared.selectExpr("'db' as db_id", "*")
     assert {(r["tab"], r["col"]) for r in catalog.value_examples(own).collect()} == set(got)
+
+
+def test_all_rows_in_one_pass(spark):
+    """Columns, enumerations and keys come from one parse of each text, without join or shuffle."""
+    given = catalogs(spark, {"zoo": ZOO, "bad": "{", "none": None, "list": '[{"header": ["a"]}]', "odd": {"t": "text", "foreign_key_map": [["a", "b.c"]]}})
+    got = catalog_dict.flatten_all(given)
+    assert rows(got) == sorted(
+        [
+            ("zoo", 0, "zebra", 0, "id", "int", "number", "striped", 2, None, "1|3"),
+            ("zoo", 0, "zebra", 1, "state", "text", "state A or B", "striped", 2, "codes", "A|B"),
+            ("zoo", 1, "ant", 0, "x", None, None, "", 2, None, "b|it's"),
+            ("zoo", -1, "ant", 0, "x", "zebra", "id", "", 0, None, None),
+            ("zoo", -1, "zebra", 1, "state", "ant", "x", "", 0, None, None),
+            ("odd", -1, "a", 0, None, "b", "c", "", 0, None, None),
+        ],
+        key=repr,
+    )
+    for df in (got, entrypoint.queries()["cat_flatten_dict"](spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        main = plan.split("Subqueries")[0]
+        assert "Join" not in main and "Exchange hashpartitioning" not in main and main.lower().count("parsejson(") == 1
