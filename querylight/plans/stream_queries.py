@@ -18,6 +18,10 @@ INTERVAL_SQL = """with log as (select event_id + 1 as step, user_id % 4 as proce
       round(avg(aux) / (max(last) - "interval" * 100), 6) as aux from p group by "interval" """
 
 
+# Batches in which the step log arrives.
+ARRIVALS = 4
+
+
 def step_log(events):
     return events.selectExpr(
         "event_id + 1 as step",
@@ -34,11 +38,15 @@ def steplog_interval_mean(spark, sf_dir):
 
 @query("steplog_interval_stream", INTERVAL_SQL)
 def steplog_interval_stream(spark, sf_dir):
-    """The log arrives in four parts, the rows dealt to them by hash, so that most intervals span several batches."""
-    events = table(spark, sf_dir, "events")
+    """The log arrives in four batches, the rows dealt to their files by hash, so that most intervals span several batches.
+
+    The number of batches does not grow with the table: each one reads and writes the whole state.
+    """
+    log = step_log(table(spark, sf_dir, "events"))
+    files = max(ARRIVALS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = stage_path(spark, "step-log")
-    events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))).write.partitionBy("part").parquet(path)
-    stream = step_log(jobs.file_stream(spark, f"{path}/part=*", events.schema, per_batch=1))
+    log.repartition(files, F.xxhash64("step")).write.parquet(path)
+    stream = jobs.file_stream(spark, path, log.schema, per_batch=-(-files // ARRIVALS))
     return jobs.drain_interval_means(stream, ["loss", "aux"], 100, digits=6)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import json
 import os
 
+import __spark_entry__ as entrypoint
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,18 @@ def test_lines_lose_every_kind_of_blank(spark, tmp_path):
     assert sorted(r["value"] for r in files.read_lines(spark, str(tmp_path)).collect()) == ["a", "b", "c", "d"]
     vocab = files.read_vocab(spark, str(tmp_path))
     assert [(r["id"], r["token"]) for r in vocab.orderBy("id").collect()] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
+def test_step_log_arrives_in_four_batches_from_any_number_of_files(spark, tmp_path):
+    events = spark.range(4000).selectExpr(
+        "id as event_id", "timestamp_seconds(id) as ts", "id % 7 as user_id", "'click' as event_type", "cast(id % 3 as double) as value", "'' as props"
+    )
+    events.repartition(12).write.parquet(f"{tmp_path}/events.parquet")
+    before = set(os.listdir(stage_root(spark)))
+    queries = entrypoint.queries()
+    got = queries["steplog_interval_stream"](spark, str(tmp_path))
+    assert sorted(got.collect()) == sorted(queries["steplog_interval_mean"](spark, str(tmp_path)).collect())
+    sums = [n for n in set(os.listdir(stage_root(spark))) - before if n.startswith("interval-sums-") and "state" not in n]
+    assert len(sums) == 1
+    batches = [n for n in os.listdir(f"{stage_root(spark)}/{sums[0]}") if n.startswith("batch=")]
+    assert 2 <= len(batches) <= 4
