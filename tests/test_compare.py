@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import brute_align, brute_equal, brute_subset, cells_frame, random_tables, verdict_map
 from querylight.operators import frames, match, replay, similarity, verdicts
-from querylight.operators.cells import canonical_cell
+from querylight.operators.cells import canonical_cell, column_prints, result_rows
 
 
 @pytest.fixture(scope="module")
@@ -212,3 +212,30 @@ def test_tolerance_is_relative(spark):
         },
     )
     assert verdict_map(frames.subset_match(cells, pairs), "subset") == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_columns_are_printed_once_and_meet_without_join(spark):
+    tables = {1: ([("num:1.0", "str:a"), ("num:2.0", "str:a")], [("str:a", "num:1.0000001", "str:b"), ("str:a", "num:2.0", "str:b")]), 2: ([("str:a",)], [("str:b",)])}
+    cells, pairs = cells_frame(spark, tables)
+    mapped = match.mapped_by_rank(column_prints(result_rows(cells), key=frames.rounded_cell))
+    assert [(r["pair_id"], r["perm"]) for r in mapped.collect()] == [(1, [1, 0])]
+    plan = mapped._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+    assert "Join" not in plan and plan.count("Generate posexplode") == 1
+    assert verdict_map(frames.subset_match(cells, pairs), "subset") == {1: True, 2: False}
+
+
+def test_ordered_subset_ranks_only_rows_that_moved(spark):
+    a, b, c = ("str:a",), ("str:b",), ("str:c",)
+    tables = {1: ([a, b, c], [a, b, c]), 2: ([a, b, c], [a, c, b]), 3: ([a, a, b, c, c], [a, b, b, c, c]), 4: ([a, b, b], [b, a, b]), 5: ([a, a, b], [a, b, a])}
+    cells, pairs = cells_frame(spark, tables)
+    got = verdict_map(frames.subset_match(cells, pairs, ordered=True), "subset")
+    assert got == {p: brute_subset(g, q, True) for p, (g, q) in tables.items()}
+    assert got[1] is True and got[2] is False and got[5] is True
+
+
+def test_verdicts_do_not_move_whole_rows_to_find_their_pairs(spark):
+    """Pairs that are not asked for leave no trace, whatever cells come with them."""
+    tables = {1: ([("str:a", "str:b")], [("str:b", "str:a")]), 2: ([("str:a", "str:b"), ("str:b", "str:a")], [("str:a", "str:b"), ("str:b", "str:a")])}
+    cells, pairs = cells_frame(spark, tables)
+    assert verdict_map(match.result_eq(cells, pairs.filter("pair_id = 1")), "match") == {1: True}
+    assert verdict_map(frames.subset_match(cells, pairs.filter("pair_id = 2")), "subset") == {2: True}

@@ -170,3 +170,16 @@ def test_batches_and_labels(spark):
     label = encode.sep_label(F.lit("d"), F.lit("mysql"), F.lit("select '[sep]'"))
     parts = spark.range(1).select(*encode.split_label(label)).first()
     assert (parts["db_name"], parts["sql_type"], parts["target"]) == ("d", "mysql", "'")
+
+
+def test_row_numbers_join_only_the_groups_that_lie_in_several_chunks(spark):
+    df = spark.range(3000).selectExpr("case when id < 2000 then -1 else id end as g", "id as v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = number_rows(df, ["g"], ["v"], "at", total="n")
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        got = {r["v"]: (r["at"], r["n"]) for r in numbered.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {v: (v, 2000) if v < 2000 else (0, 1) for v in range(3000)}
