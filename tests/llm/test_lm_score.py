@@ -206,3 +206,20 @@ def test_pairs_beyond_the_most_frequent_count(spark, monkeypatch):
     few = scores()
     assert len(every) == len(few)
     assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-4) for a, b in zip(every, few))
+
+
+def test_fitting_and_scoring_read_written_ids_not_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "EPOCHS", 1)
+    monkeypatch.setattr(lm_score, "ROUNDS", 2)
+    read, gradients = [], lm_score.slice_gradients
+    monkeypatch.setattr(lm_score, "slice_gradients", lambda keyed, *a, **b: read.append(keyed.columns) or gradients(keyed, *a, **b))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(30)
+    assert lm_scores(docs, F.col("id") % 4 == 0).count() == 30
+    assert len(read) == 2 and all("text" not in columns and {"ids", "slice"} <= set(columns) for columns in read)
+
+
+def test_words_in_arrow_are_those_of_spark(spark):
+    texts = [None, "", " ", "\t a\x0bB\x0c\r\nc ", "x\x1cy\x85z Ä É", "  Ab\x00c  d", "one"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(lm_score.words_of(F.col("text")).alias("w"), "i")
+    want = [r["w"] for r in rows.orderBy("i").collect()]
+    assert lm_score.split_words(lm_score.pa.array(texts, lm_score.pa.string())).to_pylist() == want
