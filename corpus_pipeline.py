@@ -14,7 +14,8 @@ keeps one; ties there go to the smallest id, then to the smallest hash of the ro
 whole by each stage. Extra columns are carried through all stages but the last. An empty table passes through all stages
 as an empty table.
 
-What a stage writes on its way is deleted when its result is written, and each result when the next one is.
+What a stage writes on its way is deleted when its result is written, and each result when the next one is. Stages that run
+Python set the session to small Arrow batches, so that rows on their way there take little memory beside the heap.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from querylight.llm.language_id import drop_rejected
 from querylight.llm.line_templates import drop_recurring_lines
 from querylight.llm.packing import pack_documents
 from querylight.llm.registry import table
-from querylight.session import release, scratch, stage
+from querylight.session import release, scratch, small_arrow_batches, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_arrow_batches(spark)
     return drop_rejected(docs)
 
 
@@ -39,6 +41,7 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_arrow_batches(spark)
     return keep_one(docs)
 
 
@@ -47,6 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_arrow_batches(spark)
     return pack_documents(docs)
 
 

@@ -44,7 +44,7 @@ SIMILARITY = 0.8
 ROWS_PER_BAND = 5
 BANDS = 25
 SALT_ROWS = 512  # pairs of one pivot that share a copy of its elements
-DARTS_AT_ONCE = 1 << 19
+DARTS_AT_ONCE = 1 << 18
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 

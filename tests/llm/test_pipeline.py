@@ -46,3 +46,23 @@ def test_odd_and_empty_tables(spark, tmp_path):
         for name, step in corpus_pipeline.STAGES:
             docs = stage(step(spark, docs, str(tmp_path)), name)
         assert docs.columns[0] == "doc_id"
+
+
+def test_python_gets_small_batches_of_large_rows(spark):
+    docs = spark.range(0, 2000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), 2000), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang")
+    )
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(name)
+    for step in (corpus_pipeline.language_id, corpus_pipeline.near_duplicates, corpus_pipeline.packing):
+        spark.conf.set(name, usual)
+        step(spark, docs.limit(5), SF)
+        assert docs.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 6 << 20
+    spark.conf.set(name, usual)
