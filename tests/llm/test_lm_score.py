@@ -223,3 +223,31 @@ def test_words_in_arrow_are_those_of_spark(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(lm_score.words_of(F.col("text")).alias("w"), "i")
     want = [r["w"] for r in rows.orderBy("i").collect()]
     assert lm_score.split_words(lm_score.pa.array(texts, lm_score.pa.string())).to_pylist() == want
+
+
+def test_words_to_send_are_picked_without_sorting_all(spark, monkeypatch):
+    rows = [(f"w{i}", c) for i, c in enumerate([9, 7, 7, 5, 5, 5, 1, 1, 1, 1])]
+    counts = spark.createDataFrame(rows, "word string, c long")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    for limit, want in ((1, 1), (2, 1), (3, 3), (5, 3), (6, 6), (9, 6), (10, 10), (50, 10)):
+        top = lm_score.most_frequent(counts, limit)
+        assert sorted(r["c"] for r in top.collect()) == sorted(c for _, c in rows)[len(rows) - want :]
+        assert "Sort" not in plan(top) and "Limit" not in plan(top)
+    monkeypatch.setattr(lm_score, "COUNT_BINS", 5)
+    assert sorted(r["word"] for r in lm_score.most_frequent(counts, 2).collect()) == ["w0", "w1"]
+    assert lm_score.most_frequent(counts, 6).count() == 6
+    assert lm_score.most_frequent(counts.limit(0), 6).count() == 0
+
+
+def test_common_words_are_cut_into_ids_once(spark):
+    m = model(9)
+    texts = ["one two three", "two odd one", "", "zebras"]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", F.lit(0).cast("long")).coalesce(1)
+    rows = lambda common: {r["id"]: r for r in lm_score.tokenised(keyed, m, common).collect()}
+    plain, told = rows(lm_score.NO_WORDS), rows((lm_score.pa.array(["one", "two", "unused"]), np.array([3.0, 9.0, 1.0])))
+    for i, text in enumerate(texts):
+        assert all(plain[i][c] == told[i][c] for c in ("n_tokens", "ids", "begins", "open")) and math.isclose(plain[i]["fixed"], told[i]["fixed"])
+        assert told[i]["rare"] == [w for w in text.split() if w not in ("one", "two")] and plain[i]["rare"] == text.split()
+    a, b = (lm_score.word_table(lm_score.pa.array(w), m, True) for w in (["one", "unlikely"], ["zebras", "x"]))
+    both = lm_score.word_table(lm_score.pa.array(["one", "unlikely", "zebras", "x"]), m, True)
+    assert all(np.array_equal(x, y) for x, y in zip(lm_score.with_words(a, b), both))
