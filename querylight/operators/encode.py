@@ -22,8 +22,9 @@ def truncate(ids: Column, max_len: int) -> Column:
 
 
 def label_mask(ids: Column, n_prompt: Column) -> Column:
-    """Labels: prompt positions ignored, the rest keep their id."""
-    return F.transform(ids, lambda x, i: F.when(i < n_prompt, F.lit(IGNORE).cast("long")).otherwise(x))
+    """Labels: prompt positions ignored, the rest keep their id. Two runs, as a function per id would be interpreted for each."""
+    ignored = F.greatest(F.least(F.coalesce(n_prompt, F.lit(0)), F.size(ids)), F.lit(0)).cast("int")
+    return F.concat(F.array_repeat(F.lit(IGNORE).cast("long"), ignored), F.slice(ids, ignored + 1, F.size(ids)))
 
 
 def mask_rows(encoded: DataFrame, max_len: int) -> DataFrame:
